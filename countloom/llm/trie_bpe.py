@@ -13,6 +13,7 @@ of finished words, so hot words, long texts and lost executors need no care.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import re
@@ -190,7 +191,11 @@ class TextEncoder:
             new.update(chunks)
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        self.learn(new.difference(self.cache, self.special))
+        gc.disable()  # a trie is many objects and no cycles: collections would only walk it again and again
+        try:
+            self.learn(new.difference(self.cache, self.special))
+        finally:
+            gc.enable()
         for token, i in self.special.items():
             self.cache[token] = array("I", [i]).tobytes()
         out, get = [], self.cache.__getitem__
