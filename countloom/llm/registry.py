@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from countloom.llm import trie_bpe
+from countloom.llm import crf_toxicity, ftrl_quality, simhash, trie_bpe
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_crf_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return crf_toxicity.score(docs, crf_toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_simhash_gray_index(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_trie_bpe(spark, sf_dir):
     return trie_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op8_trie_bpe,)}
+def op10_ftrl_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ftrl_quality.score(docs, ftrl_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_crf_toxicity, op6_simhash_gray_index, op8_trie_bpe, op10_ftrl_quality)}
 ORACLE: dict[str, str] = {}
