@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from countloom.llm import crf_toxicity, ftrl_quality, simhash, trie_bpe
+from countloom.llm import crf_toxicity, ftrl_quality, positional_index, quality_rules, simhash, trie_bpe
 
 
 def table(spark, sf_dir: str, name: str):
@@ -16,6 +16,10 @@ def op3_crf_toxicity(spark, sf_dir):
     return crf_toxicity.score(docs, crf_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_ngram_ratio(spark, sf_dir):
+    return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_gray_index(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,10 +28,14 @@ def op8_trie_bpe(spark, sf_dir):
     return trie_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_positional_index(spark, sf_dir):
+    return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ftrl_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return ftrl_quality.score(docs, ftrl_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_crf_toxicity, op6_simhash_gray_index, op8_trie_bpe, op10_ftrl_quality)}
+QUERIES = {f.__name__: f for f in (op3_crf_toxicity, op5_ngram_ratio, op6_simhash_gray_index, op8_trie_bpe, op9_positional_index, op10_ftrl_quality)}
 ORACLE: dict[str, str] = {}
