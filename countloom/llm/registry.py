@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from countloom.llm import crf_toxicity, ftrl_quality, positional_index, quality_rules, simhash, trie_bpe
+from countloom.llm import compact_windows, crf_toxicity, ftrl_quality, positional_index, quality_rules, simhash, trie_bpe
 
 
 def table(spark, sf_dir: str, name: str):
@@ -24,6 +24,10 @@ def op6_simhash_gray_index(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_compact_windows(spark, sf_dir):
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_trie_bpe(spark, sf_dir):
     return trie_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,5 +41,5 @@ def op10_ftrl_quality(spark, sf_dir):
     return ftrl_quality.score(docs, ftrl_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_crf_toxicity, op5_ngram_ratio, op6_simhash_gray_index, op8_trie_bpe, op9_positional_index, op10_ftrl_quality)}
+QUERIES = {f.__name__: f for f in (op3_crf_toxicity, op5_ngram_ratio, op6_simhash_gray_index, op7_compact_windows, op8_trie_bpe, op9_positional_index, op10_ftrl_quality)}
 ORACLE: dict[str, str] = {}
