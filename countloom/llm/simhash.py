@@ -139,3 +139,13 @@ def near_duplicates(docs: DataFrame, *, limit: int = LIMIT, block: int = BLOCK,
     joined = components(near_edges(nodes.filter("node is not null"), limit=limit, block=block))
     classes = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_copies(docs: DataFrame, *, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """The rows of `docs`, all columns, without those whose component has a smaller doc_id.
+
+    Rows without an id stay.  Of rows with one doc_id all or none stay.
+    """
+    marked = near_duplicates(docs, limit=limit, block=block)
+    copies = marked.filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    return docs.join(copies, docs["doc_id"].cast("bigint") == F.col("__copy"), "left_anti")
