@@ -52,8 +52,9 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, *, label: str = "quality"
     chosen = F.broadcast(good.orderBy(F.xxhash64(F.lit("target"), F.col("__good")), "__good").limit(rows))
     own = docs.select(docs["doc_id"].cast("bigint").alias("__id"), F.coalesce(docs["text"], F.lit("")).alias("__text"))
     marked = _with_buckets(own.join(chosen, F.col("__id") == F.col("__good"), "left"))
-    grams = marked.select(F.col("__good").isNotNull().cast("bigint").alias("t"), F.explode("__b").alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    # explode() would first test whether the array is empty, and for that make it once more, with all it is made of
+    grams = marked.select(F.col("__good").isNotNull().cast("bigint").alias("t"), F.explode_outer("__b").alias("bucket"))
+    counts = grams.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
     sums = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
     n, t = sums.n or 0, sums.t or 0
     if not t:
