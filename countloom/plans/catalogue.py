@@ -1,18 +1,401 @@
-"""All registered queries of the counted-set engine."""
+"""All registered queries of the counted-set engine, each with the same question as DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countloom.functions import expressions as X
+from countloom.operators import algebra, counted, labels, layout, sizing
+from countloom.plans.spec import FilterSpec
+from countloom.sources import tables
+from countloom.streaming import buffered
+
+SPEC = FilterSpec(quotient_bits=16, key_bits=24, label_bits=3, fixed_counter_size=3)
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    """Adds a query and, unless SQL can't express it, its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def source(spark, sf_dir, flag: str) -> DataFrame:
+    """Quantities by order of one return flag."""
+    rows = read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
+    return counted.build(rows, SPEC, key="l_orderkey", n=F.col("l_quantity").cast("bigint"))
+
+
+def scrambled(spark, sf_dir, flag: str) -> DataFrame:
+    """The same over keys that fill the key space."""
+    rows = read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
+    rows = rows.select((F.col("l_orderkey") * 2654435761).alias("k"), "l_quantity")
+    return counted.build(rows, SPEC, key="k", n=F.col("l_quantity").cast("bigint"))
+
+
+def labelled(spark, sf_dir, flag: str) -> DataFrame:
+    cs = source(spark, sf_dir, flag)
+    return labels.add_labels(cs, cs.select("key", (F.col("key") % 8).alias("label")), SPEC)
+
+
+def _a(flag: str) -> str:
+    return f"(select l_orderkey % 16777216 as key, cast(sum(cast(l_quantity as bigint)) as bigint) as count from lineitem where l_returnflag = '{flag}' group by 1)"
+
+
+def _s(flag: str) -> str:
+    return f"(select (l_orderkey * 2654435761) % 16777216 as key, cast(sum(cast(l_quantity as bigint)) as bigint) as count from lineitem where l_returnflag = '{flag}' group by 1)"
+
+
+A, N, R, S = _a("A"), _a("N"), _a("R"), _s("A")
+SLOTS = X.slots_sql("count", SPEC)
+PLACED = f"""with x as (select key, key // 256 as q, {SLOTS} as len from {S} t),
+y as (select key, q, len, cast(coalesce(sum(len) over (order by key rows between unbounded preceding and 1 preceding), 0) as bigint) as s from x),
+z as (select key, len, cast(s + max(q - s) over (order by key rows between unbounded preceding and current row) as bigint) as slot from y)"""
+SOURCES = f"(select 0 as src, * from {A} a union all select 1, * from {N} n union all select 2, * from {R} r)"
+MERGED = f"""with k as (select key, cast(sum(count) as bigint) as count, list_sort(list(distinct src)) as sources from {SOURCES} u group by key),
+g as (select sources, min(key) as first from k where len(sources) > 1 group by sources),
+l as (select sources, cast(2 + row_number() over (order by first) as bigint) as label from g
+ union all select [0], cast(0 as bigint) union all select [1], cast(1 as bigint) union all select [2], cast(2 as bigint))"""
+
+
+# counting and changes
+
+
+@register("select l_partkey % 16777216 as key, cast(sum(cast(l_quantity as bigint)) as bigint) as count from lineitem group by 1")
+def count_build(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    return counted.build(rows, SPEC, key="l_partkey", n=F.col("l_quantity").cast("bigint")).select("key", "count")
+
+
+@register("select l_orderkey % 1024 as key, cast(count(*) as bigint) as count from lineitem group by 1")
+def count_mod_range(spark, sf_dir):
+    return counted.build(read(spark, sf_dir, "lineitem"), FilterSpec(8, 10), key="l_orderkey").select("key", "count")
+
+
+@register("select l_partkey as key, cast(least(sum(cast(l_quantity as bigint)), 10) as bigint) as count from lineitem group by 1")
+def count_saturated(spark, sf_dir):
+    spec = FilterSpec(16, 24, maximum_count=10)
+    return counted.build(read(spark, sf_dir, "lineitem"), spec, key="l_partkey", n=F.col("l_quantity").cast("bigint")).select("key", "count")
+
+
+@register(f"select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select l_orderkey, cast(1 as bigint) from lineitem where l_linenumber = 1) u group by key")
+def insert_rows(spark, sf_dir):
+    more = read(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    return counted.insert(source(spark, sf_dir, "A"), more, SPEC, key="l_orderkey").select("key", "count")
+
+
+@register(f"""select a.key, cast(a.count - coalesce(b.n, 0) as bigint) as count, cast(case when b.n is null then a.key % 8 else 0 end as bigint) as label
+from {A} a left join (select key, count // 2 as n from {N} t where count // 2 > 0) b on a.key = b.key where a.count - coalesce(b.n, 0) > 0""")
+def remove_counts(spark, sf_dir):
+    less = source(spark, sf_dir, "N").select("key", F.expr("count div 2").alias("n"))
+    return counted.remove(labelled(spark, sf_dir, "A"), less, n="n")
+
+
+@register(f"select key, count from (select coalesce(a.key, b.key) as key, cast(coalesce(b.n, a.count) as bigint) as count from {A} a full join (select key, count % 5 as n from {R} t) b on a.key = b.key) t where count > 0")
+def set_counter(spark, sf_dir):
+    new = source(spark, sf_dir, "R").select("key", (F.col("count") % 5).alias("n"))
+    return counted.set_counts(source(spark, sf_dir, "A"), new, SPEC).select("key", "count")
+
+
+@register(f"select key, count, cast(case when key % 8 = 3 then 7 else key % 8 end as bigint) as label from {A} a")
+def replace_label(spark, sf_dir):
+    return counted.replace_label(labelled(spark, sf_dir, "A"), 3, 7)
+
+
+# lookups and scans
+
+
+@register(f"select o_orderkey as key, a.count from (select distinct o_orderkey from orders where o_orderkey % 3 = 0) o join {A} a on o_orderkey = a.key")
+def batch_query(spark, sf_dir):
+    return counted.batch_query(source(spark, sf_dir, "A"), read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), key="o_orderkey")
+
+
+@register(f"select o_orderkey as key, cast(coalesce(a.count, 0) as bigint) as count, cast(coalesce(a.key % 8, 0) as bigint) as label from (select distinct o_orderkey from orders where o_orderkey % 3 = 0) o left join {A} a on o_orderkey = a.key")
+def batch_query_zeros(spark, sf_dir):
+    return counted.query(labelled(spark, sf_dir, "A"), read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), key="o_orderkey")
+
+
+@register(f"select key, count from {S} t where key // 256 >= 40000")
+def seek_from_position(spark, sf_dir):
+    return layout.seek(scrambled(spark, sf_dir, "A"), SPEC, 40000).select("key", "count")
+
+
+@register(f"select key, count from {S} t where key // 256 >= 40000 - 40000 % 64 + 64")
+def seek_block_aligned(spark, sf_dir):
+    return layout.seek(scrambled(spark, sf_dir, "A"), SPEC, 40000 - 40000 % 64 + 64 + 13, block_aligned=True).select("key", "count")
+
+
+@register(f"select key, count from {A} a where key >= (select min(key) from {A} b where count = 50) and exists (select 1 from {A} c where count = 50)")
+def find_key(spark, sf_dir):
+    cs = source(spark, sf_dir, "A")
+    first = cs.filter("count = 50").agg(F.min("key")).first()[0]
+    return layout.find(cs, -1 if first is None else first).select("key", "count")
+
+
+@register(f"select key, count from {A} a where count = 1")
+def singletons(spark, sf_dir):
+    return counted.singletons(source(spark, sf_dir, "A")).select("key", "count")
+
+
+@register(f"select key, count from {A} a where count > 1")
+def repeated(spark, sf_dir):
+    return counted.repeated(source(spark, sf_dir, "A")).select("key", "count")
+
+
+# algebra
+
+
+@register(f"select key, cast(sum(count) as bigint) as count, cast(coalesce(max(case when src = 0 then key % 8 end), 0) as bigint) as label from (select 0 as src, * from {A} a union all select 1, * from {R} r) u group by key")
+def merge(spark, sf_dir):
+    return algebra.merge(labelled(spark, sf_dir, "A"), source(spark, sf_dir, "R"))
+
+
+@register(f"select a.key, cast(least(a.count, b.count) as bigint) as count from {A} a join {R} b on a.key = b.key")
+def intersect(spark, sf_dir):
+    return algebra.intersect(source(spark, sf_dir, "A"), source(spark, sf_dir, "R")).select("key", "count")
+
+
+@register(f"select a.key, cast(a.count - coalesce(b.count, 0) as bigint) as count from {A} a left join {R} b on a.key = b.key where a.count > coalesce(b.count, 0)")
+def subtract(spark, sf_dir):
+    return algebra.subtract(source(spark, sf_dir, "A"), source(spark, sf_dir, "R")).select("key", "count")
+
+
+@register(f"select key, cast(max(count) as bigint) as count from (select * from {A} a union all select * from {R} r) u group by key")
+def combine_largest(spark, sf_dir):
+    larger = algebra.combine(source(spark, sf_dir, "A"), source(spark, sf_dir, "R"), lambda ca, la, cb, lb: (F.greatest(ca, cb), la))
+    return larger.select("key", "count")
+
+
+@register(f"select key, cast(sum(count) as bigint) as count, cast(max_by(label, src) as bigint) as label from (select 0 as src, key, count, key % 8 as label from {A} a union all select 1, key, count, 0 from {N} n union all select 2, key, count, key % 8 from {R} r) u group by key")
+def multi_merge(spark, sf_dir):
+    return algebra.multi_merge([labelled(spark, sf_dir, "A"), source(spark, sf_dir, "N"), labelled(spark, sf_dir, "R")])
+
+
+@register(f"select key, cast(sum(count) as bigint) as count, cast(max_by(label, src) as bigint) as label from (select 1 as src, key, count, key % 8 as label from {A} a union all select 0, key, count, 0 from {R} r) u group by key")
+def migrate_labels(spark, sf_dir):
+    return algebra.migrate(labelled(spark, sf_dir, "A"), source(spark, sf_dir, "R"))
+
+
+@register(f"select count(*) = 0 as eq from {A} a full join {R} b on a.key = b.key where a.key is null or b.key is null or a.count <> b.count")
+def equals(spark, sf_dir):
+    return algebra.equals(source(spark, sf_dir, "A"), source(spark, sf_dir, "R"))
+
+
+@register("select true as eq")
+def equals_self(spark, sf_dir):
+    return algebra.equals(source(spark, sf_dir, "A"), source(spark, sf_dir, "A"))
+
+
+@register(f"select cast(sum(a.count * b.count) as bigint) as product from {A} a join {R} b on a.key = b.key")
+def inner_product(spark, sf_dir):
+    return algebra.inner_product(source(spark, sf_dir, "A"), source(spark, sf_dir, "R"))
+
+
+@register(f"select cast(floor(sqrt(sum(count * count))) as bigint) as magnitude from {A} a")
+def magnitude(spark, sf_dir):
+    return algebra.magnitude(source(spark, sf_dir, "A"))
+
+
+@register(f"select count(*) as n_distinct, cast(sum(count) as bigint) as n_items, cast(sum(case when count = 1 then 1 else 0 end) as bigint) as n_once from {A} a")
+def distinct_total(spark, sf_dir):
+    return counted.totals(source(spark, sf_dir, "A"))
+
+
+@register(f"select count, count(*) as n from {A} a group by count")
+def count_histogram(spark, sf_dir):
+    return counted.histogram(source(spark, sf_dir, "A"))
+
+
+@register(f"select key, count from {A} a order by count desc, key limit 20")
+def heavy_hitters(spark, sf_dir):
+    return counted.heavy_hitters(source(spark, sf_dir, "A"), 20).select("key", "count")
+
+
+# labels and the inverted index
+
+
+@register(f"select key, count, cast(key % 8 as bigint) as label from {A} a")
+def label_add(spark, sf_dir):
+    return labelled(spark, sf_dir, "A")
+
+
+@register(f"select key, count, cast(case when key % 2 = 0 then 0 else key % 8 end as bigint) as label from {A} a")
+def label_remove(spark, sf_dir):
+    cs = labelled(spark, sf_dir, "A")
+    return labels.remove_labels(cs, cs.filter("key % 2 = 0"))
+
+
+@register(f"select b.key, cast(coalesce(a.key % 8, 0) as bigint) as label from {R} b left join {A} a on a.key = b.key")
+def label_get(spark, sf_dir):
+    return labels.get_labels(labelled(spark, sf_dir, "A"), source(spark, sf_dir, "R"))
+
+
+def _three(spark, sf_dir):
+    return labels.invertible_merge([source(spark, sf_dir, f) for f in "ANR"])
+
+
+@register(f"{MERGED} select key, count, label from k join l using (sources)")
+def invertible_merge(spark, sf_dir):
+    return _three(spark, sf_dir)[0]
+
+
+@register(f"{MERGED} select label, array_to_string(sources, ';') as sources from l")
+def labels_map(spark, sf_dir):
+    return _three(spark, sf_dir)[1].select("label", F.array_join(F.transform("sources", lambda s: s.cast("string")), ";").alias("sources"))
+
+
+@register(f"{MERGED} select key, label as count from k join l using (sources) where label <> 0")
+def invertible_no_count(spark, sf_dir):
+    return labels.invertible_merge_no_count([source(spark, sf_dir, f) for f in "ANR"])
+
+
+@register(f"{MERGED} select key, array_to_string(sources, ';') as sources from k")
+def sources_of_key(spark, sf_dir):
+    return labels.sources_of(*_three(spark, sf_dir)).select("key", F.array_join(F.transform("sources", lambda s: s.cast("string")), ";").alias("sources"))
+
+
+@register("""with u as (select l_suppkey % 8 as src, l_partkey as key, cast(sum(cast(l_quantity as bigint)) as bigint) as count from lineitem group by 1, 2)
+select key, cast(sum(count) as bigint) as count, array_to_string(list_sort(list(distinct src)), ';') as sources from u group by key""")
+def invertible_hierarchical(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).cast("int").alias("src"), F.col("l_partkey").alias("key"), F.col("l_quantity").cast("bigint").alias("count"))
+    halves = [labels.invertible_merge_rows(rows.filter(half), 8) for half in ("src < 4", "src >= 4")]
+    merged, index = labels.compose(halves[0], halves[1], 8)
+    both = merged.join(index, "label")
+    return both.select("key", "count", F.array_join(F.transform("sources", lambda s: s.cast("string")), ";").alias("sources"))
+
+
+# layout, order, room
+
+
+@register(f"select cast(sum({SLOTS}) as bigint) as slots from {S} t")
+def slots_used(spark, sf_dir):
+    return layout.occupied(scrambled(spark, sf_dir, "A"), SPEC)
+
+
+@register(f"select cast(floor(100.0 * sum({SLOTS}) / {SPEC.all_slots}) as integer) as percent from {S} t")
+def space_pct(spark, sf_dir):
+    return layout.space(scrambled(spark, sf_dir, "A"), SPEC)
+
+
+@register(f"{PLACED} select key, slot, len, slot // 64 as block_id from z")
+def item_layout(spark, sf_dir):
+    return layout.layout(scrambled(spark, sf_dir, "A"), SPEC).select("key", "slot", "len", "block_id")
+
+
+@register(f"{PLACED} select key, slot // 64 as block_id, first_value(key) over (partition by slot // 64 order by key) as first_key from z")
+def first_in_block(spark, sf_dir):
+    return layout.first_in_block(scrambled(spark, sf_dir, "A"), SPEC)
+
+
+@register(f"{PLACED}, b as (select slot // 64 as block_id, count(*) as n from z group by 1) select block_id, n, cast(coalesce(sum(n) over (order by block_id rows between unbounded preceding and 1 preceding), 0) as bigint) as n_before from b")
+def block_counts(spark, sf_dir):
+    return layout.blocks(scrambled(spark, sf_dir, "A"), SPEC)
+
+
+@register(f"""{PLACED}, c as (select slot, len, case when slot > coalesce(lag(slot + len) over (order by slot), -1) then 1 else 0 end as fresh from z),
+d as (select slot, len, sum(fresh) over (order by slot rows between unbounded preceding and current row) as id from c)
+select min(slot) as start, cast(sum(len) as bigint) as length, count(*) as n from d group by id""")
+def clusters(spark, sf_dir):
+    return layout.clusters(scrambled(spark, sf_dir, "A"), SPEC)
+
+
+@register(f"{PLACED} select key, slot // 64 as block_id, cast(slot // 64 * 3 as varchar) as payload from z")
+def block_labels(spark, sf_dir):
+    payloads = spark.range(SPEC.blocks).select(F.col("id").alias("block_id"), (F.col("id") * 3).cast("string").alias("payload"))
+    return layout.with_block_labels(scrambled(spark, sf_dir, "A"), SPEC, payloads)
+
+
+@register(f"select key, row_number() over (order by key) - 1 as rank from {S} t")
+def item_order(spark, sf_dir):
+    return layout.item_order(scrambled(spark, sf_dir, "A"), SPEC)
+
+
+@register("select l_orderkey % 16777216 as key, cast(sum(cast(l_quantity as bigint)) as bigint) as count from lineitem where l_returnflag = 'A' group by 1")
+def resize_identity(spark, sf_dir):
+    SPEC.resized(18)  # the same key range: the same rows, over more slots
+    return source(spark, sf_dir, "A").select("key", "count")
+
+
+@register()
+def sizing_estimate(spark, sf_dir):
+    histogram = sizing.count_histogram(source(spark, sf_dir, "A"))
+    return spark.createDataFrame([sizing.estimate_requirement(histogram, 24, 3)], "quotient_bits int, counter_bits int, kib bigint")
+
+
+@register("select (c & 1023) as low, bit_count(c) as ones, c // 256 as q, c % 256 as r, cast(floor(log2(c)) as integer) as top from (select l_orderkey * 977 % 16777216 as c from lineitem) t where c > 0")
+def bit_primitives(spark, sf_dir):
+    c = read(spark, sf_dir, "lineitem").select(F.pmod(F.col("l_orderkey") * 977, F.lit(1 << 24)).alias("c")).filter("c > 0")
+    return c.select(F.col("c").bitwiseAND(1023).alias("low"), F.bit_count("c").cast("tinyint").alias("ones"), X.quotient("c", SPEC).alias("q"), X.remainder("c", SPEC).alias("r"), X.highest_bit("c").alias("top"))
+
+
+# storage, buffering, streams
+
+
+def _scratch(spark) -> str:
+    """A folder that driver and executors share: under the checkpoint folder, or the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/countloom-{uuid.uuid4().hex}"
+
+
+@register(f"select key, count, cast(key % 8 as bigint) as label from {A} a")
+def roundtrip_io(spark, sf_dir):
+    path = _scratch(spark)
+    tables.save(labelled(spark, sf_dir, "A"), SPEC, path)
+    return tables.load(spark, path)[0]
+
+
+@register(f"{MERGED} select label, array_to_string(sources, ';') as sources from l")
+def label_text_roundtrip(spark, sf_dir):
+    path = _scratch(spark)
+    tables.write_label_text(_three(spark, sf_dir)[1], path)
+    return tables.read_label_text(spark, path).select("label", F.array_join(F.transform("sources", lambda s: s.cast("string")), ";").alias("sources"))
+
+
+@register(f"select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select * from {N} n) u group by key")
+def buffered_view(spark, sf_dir):
+    return buffered.view(source(spark, sf_dir, "A"), source(spark, sf_dir, "N")).select("key", "count")
+
+
+@register(f"select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select * from {N} n union all select * from {R} r) u group by key")
+def buffered_sync(spark, sf_dir):
+    held = buffered.BufferedSet(spark, _scratch(spark), SPEC)
+    for flag in "ANR":
+        held.insert(source(spark, sf_dir, flag).select("key", F.col("count").alias("n")), f"part-{flag}", n="n")
+        if flag == "N":
+            held.sync()
+    return held.items().select("key", "count")
+
+
+@register("select user_id % 16777216 as key, count(*) as count from events group by 1")
+def stream_counts(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    path = _scratch(spark)
+    held = buffered.BufferedSet(spark, f"{path}/set", SPEC)
+    held.feed(stream, f"{path}/log", key="user_id").awaitTermination()
+    return held.items().select("key", "count")
+
 
-def _count_build(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy(F.pmod("l_partkey", F.lit(1 << 24)).alias("key")).agg(
-        F.sum(F.col("l_quantity").cast("bigint")).alias("count")
-    )
+# beyond hashes of the caller's: k-mers of words
 
 
-QUERIES = {"count_build": _count_build}
-ORACLE = {
-    "count_build": "select l_partkey % 16777216 as key, cast(sum(cast(l_quantity as bigint)) as bigint) as count from lineitem group by 1"
-}
+@register("""with w as (select unnest(string_split_regex(text, '[^a-zA-Z]+')) as word from documents), p as (select lower(word) as word from w where length(word) >= 5)
+select kmer, count(*) as count from (select unnest([substr(word, cast(i as integer), 5) for i in range(1, length(word) - 3)]) as kmer from p) k group by kmer""")
+def text_kmers(spark, sf_dir):
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("word")).filter(F.length("word") >= 5).select(F.lower("word").alias("word"))
+    kmers = words.select(F.explode(F.expr("transform(sequence(1, length(word) - 4), i -> substring(word, i, 5))")).alias("kmer"))
+    return kmers.groupBy("kmer").agg(F.count("*").alias("count"))
