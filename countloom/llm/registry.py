@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from countloom.llm import compact_windows, crf_toxicity, ftrl_quality, positional_index, quality_rules, simhash, trie_bpe
+from countloom.llm import compact_windows, crf_toxicity, ftrl_quality, license_rules, positional_index, quality_rules, simhash, template_html, trie_bpe, unigram_trie
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_template_html(spark, sf_dir):
+    return template_html.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_unigram_trie(spark, sf_dir):
+    return unigram_trie.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_crf_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return crf_toxicity.score(docs, crf_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_license_rules(spark, sf_dir):
+    return license_rules.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_ratio(spark, sf_dir):
     return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,5 +53,19 @@ def op10_ftrl_quality(spark, sf_dir):
     return ftrl_quality.score(docs, ftrl_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_crf_toxicity, op5_ngram_ratio, op6_simhash_gray_index, op7_compact_windows, op8_trie_bpe, op9_positional_index, op10_ftrl_quality)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_template_html,
+        op2_unigram_trie,
+        op3_crf_toxicity,
+        op4_license_rules,
+        op5_ngram_ratio,
+        op6_simhash_gray_index,
+        op7_compact_windows,
+        op8_trie_bpe,
+        op9_positional_index,
+        op10_ftrl_quality,
+    )
+}
+ORACLE: dict[str, str] = {"op4_license_rules": license_rules.oracle_sql()}
