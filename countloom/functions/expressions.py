@@ -19,7 +19,7 @@ def key_in_range(key: str | Column, spec: FilterSpec, *, policy: str = "mod") ->
         return F.pmod(key, F.lit(spec.range))
     if policy != "strict":
         raise ValueError("policy is mod or strict")
-    return F.when((key >= 0) & (key < spec.range), key).otherwise(F.raise_error(F.concat(F.lit("key out of range: "), key.cast("string"))).cast("bigint"))
+    return F.when(key.isNull() | (key >= 0) & (key < spec.range), key).otherwise(F.raise_error(F.concat(F.lit("key out of range: "), key.cast("string"))).cast("bigint"))
 
 
 def text_key(text: str | Column, spec: FilterSpec) -> Column:
@@ -68,4 +68,4 @@ def highest_bit(word: str | Column) -> Column:
 def label_fits(label: str | Column, spec: FilterSpec) -> Column:
     """The label, or an error if it needs more than label_bits."""
     label = _col(label).cast("bigint")
-    return F.when((label >= 0) & (label < 1 << spec.label_bits), label).otherwise(F.raise_error(F.concat(F.lit("label out of range: "), label.cast("string"))).cast("bigint"))
+    return F.when(label.isNull() | (label >= 0) & (label < 1 << spec.label_bits), label).otherwise(F.raise_error(F.concat(F.lit("label out of range: "), label.cast("string"))).cast("bigint"))
