@@ -65,7 +65,7 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, *, label: str = "quality"
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Adds n_repeat_words: words in windows of WINDOW words that the text has twice or more."""
+    """Adds __repeat: words in windows of WINDOW words that the text has twice or more."""
     n = F.size("__words")
     at = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("__wh", F.transform("__words", lambda w: F.xxhash64(w)))
@@ -81,7 +81,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("__at", F.sort_array(F.transform(found, lambda x: x["i"])))
     new = F.transform("__at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__at", k + 1) - x, F.lit(WINDOW))))
     total = F.aggregate(new, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("bigint")))
+    return rows.withColumn("__repeat", F.coalesce(total, F.lit(0).cast("bigint")))
 
 
 def judge(docs: DataFrame, weights: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,13 +104,13 @@ def judge(docs: DataFrame, weights: DataFrame, *, threshold: float = THRESHOLD)
     total = F.aggregate("__b", F.lit(0.0), lambda s, b: s + F.get(vector, b))
     rows = rows.withColumn("__score", F.when(F.size("__b") > 0, total / F.size("__b")))
     n = F.size("__words").cast("bigint")
-    failed = (n < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT * n)
+    failed = (n < MIN_WORDS) | (F.lit(100) * F.col("__repeat") > MAX_REPEAT * n)
     verdict = F.struct(
         n.alias("n_words"),
         F.length(F.translate("__text", BLANK, "")).cast("bigint").alias("word_chars"),
         (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        F.col("n_repeat_words"),
+        F.col("__repeat").alias("n_repeat_words"),
         failed.alias("base_failed"),
         F.col("__score").alias("score"),
         (~failed & F.coalesce(F.col("__score") >= threshold, F.lit(False))).alias("kept"),
