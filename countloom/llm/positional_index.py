@@ -27,7 +27,7 @@ WIDTH = 10
 #: Benchmark text in one block of the query set.
 BLOCK_BYTES = 2 << 20
 #: Documents' text in one shard of the index.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 6 << 20
 
 
 def words_of(raw: bytes | None) -> list[bytes]:

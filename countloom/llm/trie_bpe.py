@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 
 from countloom.llm.common import utf8_list
 
-#: Words kept per worker; beyond it the cache starts anew (a matter of speed only).
-CACHE_WORDS = 600_000
+#: Words kept per worker while a task runs, and of those between tasks or when there are more: the ones met first,
+#: which are the frequent ones (a matter of speed and memory only).
+CACHE_WORDS, CACHE_KEPT = 400_000, 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -190,7 +192,7 @@ class TextEncoder:
         for chunks in lists:
             new.update(chunks)
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.trim()
         gc.disable()  # a trie is many objects and no cycles: collections would only walk it again and again
         try:
             self.learn(new.difference(self.cache, self.special))
@@ -204,6 +206,10 @@ class TextEncoder:
             out.append((ids, self.decode(ids)))
         return out
 
+    def trim(self) -> None:
+        """Forget all but the words met first."""
+        self.cache = dict(itertools.islice(self.cache.items(), CACHE_KEPT))
+
     def decode(self, ids: bytes) -> str:
         """The tokens by id, with spaces between (what a file without a decoder means)."""
         return " ".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
@@ -245,6 +251,7 @@ def _run(path: str, with_ids: bool, batches):
                 names += ["ids", "decoded"]
             kept = rest.slice(start, stop - start)
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, *names])
+    encoder.trim()
 
 
 def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
