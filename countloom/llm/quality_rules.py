@@ -115,6 +115,9 @@ def judge(docs: DataFrame, weights: DataFrame, *, threshold: float = THRESHOLD)
         F.col("__score").alias("score"),
         (~failed & F.coalesce(F.col("__score") >= threshold, F.lit(False))).alias("kept"),
     )
+    # always true; keeps the optimizer from pushing a later filter below all this and, with every step that it
+    # passes, writing out again what the filter's columns are made of
+    verdict = F.when(F.monotonically_increasing_id() >= 0, verdict)
     return rows.select(*(F.col(f"`{c}`") for c in own), verdict.alias("__verdict"))
 
 
@@ -126,6 +129,5 @@ def rules(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that pass, with their columns as they are."""
-    # the row number keeps the optimizer from pushing the test, with all it is made of, below and repeating it
-    judged = judge(docs, bucket_weights(docs, labels), threshold=threshold).withColumn("__row", F.monotonically_increasing_id())
-    return judged.filter(F.col("__verdict.kept") & (F.col("__row") >= 0)).drop("__verdict", "__row")
+    judged = judge(docs, bucket_weights(docs, labels), threshold=threshold)
+    return judged.filter("__verdict.kept").drop("__verdict")
