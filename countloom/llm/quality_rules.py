@@ -21,9 +21,8 @@ TARGET_ROWS = 20_000
 PRIOR = 0.5
 MIN_WORDS, WINDOW, MAX_REPEAT = 10, 5, 20
 
-BLANK = " \t\n\u000b\f\r"
-SPLIT = "[ \\t-\\r]+"
-SYMBOLS = "#*$%&|<>"
+SPLIT, VISIBLE = "[ \\t-\\r]+", "[^ \\t-\\r]"
+SYMBOLS = "[#*$%&|<>]"
 TOKEN = "[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -98,7 +97,7 @@ def judge(docs: DataFrame, weights: DataFrame, *, threshold: float = THRESHOLD)
     own = docs.columns
     rows = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
     rows = rows.withColumn("__words", F.filter(F.split("__text", SPLIT), lambda w: w != ""))
-    lines = F.filter(F.split("__text", "\n"), lambda x: F.translate(x, BLANK, "") != "")
+    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(VISIBLE))
     rows = _repeated(rows.withColumn("__lines", lines)).drop("__wh", "__win", "__dup", "__sorted", "__at")
     rows = _with_buckets(rows)
     total = F.aggregate("__b", F.lit(0.0), lambda s, b: s + F.get(vector, b))
@@ -107,8 +106,8 @@ def judge(docs: DataFrame, weights: DataFrame, *, threshold: float = THRESHOLD)
     failed = (n < MIN_WORDS) | (F.lit(100) * F.col("__repeat") > MAX_REPEAT * n)
     verdict = F.struct(
         n.alias("n_words"),
-        F.length(F.translate("__text", BLANK, "")).cast("bigint").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count("__text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
         F.col("__repeat").alias("n_repeat_words"),
         failed.alias("base_failed"),
