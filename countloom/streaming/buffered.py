@@ -85,5 +85,5 @@ def running_counts(stream: DataFrame, spec: FilterSpec, *, key: str) -> DataFram
 
 def windowed_counts(stream: DataFrame, *, time: str, key: str, late: str, width: str) -> DataFrame:
     """(start, key, count) over tumbling windows; rows later than `late` behind the newest are dropped."""
-    timed = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(key).alias("key"))
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(key).alias("key"))
     return timed.agg(F.count("*").alias("count")).select(F.col("w.start").alias("start"), "key", "count")
