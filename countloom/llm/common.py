@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import pyarrow as pa
@@ -34,3 +36,23 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def utf8_list(column) -> list[bytes | None]:
     """A string column of a record batch as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()
+
+
+#: Rows and bytes of one batch between the JVM and Python, set where the session has Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep batches of long texts small in both processes; settings of the session's own stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size, "") in ("67108864b", "64MB"):
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """At a task's end: return freed memory to the system, since the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

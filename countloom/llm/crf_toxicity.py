@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import held_out, utf8_list
+from countloom.llm.common import bounded_batches, held_out, utf8_list
 from countloom.llm.samples import labelled
 
 #: Bound of the training sample, half of it toxic if there are so many.
@@ -239,6 +239,7 @@ def score(docs: DataFrame, model: Crf, *, threshold: float = 0.5) -> DataFrame:
     token and get the score of none.  Repeated rows get equal results; other columns are
     not read.  Without training tokens all texts score low.
     """
+    bounded_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(model)  # SIZE weights, whatever the input
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
     scored = rows.mapInArrow(lambda batches: _run(bc, batches), "doc_id bigint, score double, spans array<struct<start:int,end:int>>")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import held_out, utf8_list
+from countloom.llm.common import bounded_batches, held_out, utf8_list
 from countloom.llm.samples import labelled
 
 SIZE = 1 << 18
@@ -112,6 +112,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = 0.3) -> Da
     Null and empty texts have the constant feature only and get its score.  Repeated rows
     get equal scores; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE weights, whatever the input
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
     scored = rows.mapInArrow(lambda batches: _score(bc, batches), "doc_id bigint, score double")

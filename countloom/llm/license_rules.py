@@ -13,7 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from countloom.llm.common import utf8_list
+from countloom.llm.common import bounded_batches, utf8_list
 
 # Known licence sentences after normalisation, most specific first.
 SENTENCES = [
@@ -135,6 +135,7 @@ def scan(docs: DataFrame) -> DataFrame:
     order, "unknown" for sentences no rule takes; both empty without any, also for null and empty texts.
     Repeated rows are judged alike; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
     return rows.mapInArrow(_run, "doc_id bigint, n_sentences bigint, sentence_ids string, licences string")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import utf8_list
+from countloom.llm.common import bounded_batches, utf8_list
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # on UTF-8 with A-Z lowered: every character outside ASCII is a word's
 WIDTH = 10
@@ -162,6 +162,7 @@ def _run(blocks, slop, batches):
 
 def send(spark: SparkSession, benchmark: DataFrame, width: int) -> list:
     """The benchmark's windows as broadcast blocks of about BLOCK_BYTES of text."""
+    bounded_batches(spark)
     own = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].alias("text")).filter("item_id is not null and text is not null")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import cut, utf8_list
+from countloom.llm.common import bounded_batches, cut, utf8_list
 from countloom.llm.components import components
 from countloom.llm.gray_index import linked
 
@@ -53,6 +53,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer; 0 for null texts."""
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
 
 

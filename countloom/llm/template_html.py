@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import cut, utf8_list
+from countloom.llm.common import bounded_batches, cut, utf8_list
 
 #: Pages with different content that a host needs before its repeated texts count as a template.
 LEAST_PAGES = 4
@@ -206,6 +206,7 @@ VECTORS = "host string, token bigint, v1 bigint, v2 bigint, pages bigint, first_
 
 def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, template): sorted token numbers of the valid classes on every page of a host."""
+    bounded_batches(pages.sparkSession)
     sums = pages.select("url", "html").mapInArrow(_vectors, VECTORS)
     per = sums.groupBy("host", "token").agg(
         F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.sum("pages").alias("pages"), F.min("first_before").alias("a"), F.max("last_before").alias("b"), F.max("is_text").alias("is_text"), F.min("low").alias("low"), F.max("high").alias("high")

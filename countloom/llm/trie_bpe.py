@@ -25,11 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from countloom.llm.common import utf8_list
+from countloom.llm.common import bounded_batches, give_back, utf8_list
 
 #: Words kept per worker while a task runs, and of those between tasks or when there are more: the ones met first,
 #: which are the frequent ones (a matter of speed and memory only).
-CACHE_WORDS, CACHE_KEPT = 400_000, 100_000
+CACHE_WORDS, CACHE_KEPT = 250_000, 100_000
 
 
 def byte_alphabet() -> list[str]:
@@ -221,7 +221,7 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def _blocks(texts: list[bytes | None], most: int = 4_000_000):
+def _blocks(texts: list[bytes | None], most: int = 1_500_000):
     """Slices of about `most` bytes, so that the word lists of a batch stay small."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -252,6 +252,7 @@ def _run(path: str, with_ids: bool, batches):
             kept = rest.slice(start, stop - start)
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, *names])
     encoder.trim()
+    give_back()
 
 
 def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -261,6 +262,7 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
     tokens and decodes to the empty text; repeated rows give repeated results; other
     columns are not read.  ``with_ids`` adds the ids and the decoded text themselves.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, decoded string" if with_ids else ""

@@ -17,7 +17,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from countloom.llm.common import utf8_list
+from countloom.llm.common import bounded_batches, give_back, utf8_list
 
 MARK = "▁"
 #: Words kept per worker; beyond it the cache starts anew (a matter of speed only).
@@ -119,6 +119,7 @@ def _run(path, batches):
             columns = [ids.slice(start, i + 1 - start), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pretokens", "n_tokens"])
             start, size = i + 1, 0
+    give_back()
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -126,5 +127,6 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     Null, empty and blank texts have none; repeated rows count alike; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
     return rows.mapInArrow(functools.partial(_run, path), "doc_id bigint, n_pretokens bigint, n_tokens bigint")
