@@ -47,7 +47,7 @@ def bounded_batches(spark: SparkSession) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(rows) == "10000":
         spark.conf.set(rows, str(BATCH_ROWS))
-    if spark.conf.get(size, "") in ("67108864b", "64MB"):
+    if spark.conf.get(size, "67108864b") == "67108864b":
         spark.conf.set(size, str(BATCH_BYTES))
 
 
