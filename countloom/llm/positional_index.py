@@ -78,23 +78,23 @@ class Shard:
         return starts
 
     def proximity(self, window: tuple[int, ...], slop: int) -> np.ndarray:
-        """Positions of the rarest term with every other term within `slop` of where the window has it."""
+        """Starts from which every term of the window stands within `slop` words of its place."""
         order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
-        at = self.postings(window[order[0]])
+        starts = np.unique((self.postings(window[order[0]]) - order[0])[:, None] + np.arange(-slop, slop + 1))
         for k in order[1:]:
-            if not len(at):
+            if not len(starts):
                 break
-            other, wanted = self.postings(window[k]), at + k - order[0]
-            i = np.searchsorted(other, wanted - slop)
+            other = self.postings(window[k])
+            i = np.searchsorted(other, starts + k - slop)
             i[i == len(other)] = 0
-            at = at[(other[i] >= wanted - slop) & (other[i] <= wanted + slop)]
-        return at
+            starts = starts[(other[i] >= starts + k - slop) & (other[i] <= starts + k + slop)]
+        return starts
 
 
 def search(texts: list[list[bytes]], queries: Queries, slop: int):
     """Per document: hit spans, items found exactly, items found nearby."""
     get, parts = queries.terms.get, []
-    gap = np.full(slop + 1, -1, np.int32)  # so that nothing reaches into the next document
+    gap = np.full(2 * slop + 1, -1, np.int32)  # so that nothing reaches into the next document
     for words in texts:
         parts += [np.fromiter((get(w, -1) for w in words), np.int32, len(words)), gap]
     begins = np.concatenate([[0], np.cumsum(np.array([len(w) + len(gap) for w in texts], np.int64))])
@@ -109,7 +109,7 @@ def search(texts: list[list[bytes]], queries: Queries, slop: int):
             spans[doc].append((p - int(begins[doc]), p - int(begins[doc]) + len(window)))
             exact[doc] |= items
         if slop and len(window) > 1:
-            found = np.searchsorted(begins, shard.proximity(window, slop), side="right") - 1
+            found = np.searchsorted(begins, shard.proximity(window, slop) + slop, side="right") - 1
             for doc in np.unique(found).tolist():
                 near[doc] |= items
     return spans, exact, near
@@ -186,19 +186,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop:
     return rows.mapInArrow(functools.partial(_run, send(docs.sparkSession, benchmark, width), slop), MATCHES)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop: int = 3) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items) of every row; see matches()."""
+def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop: int = 0) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row, with slop also n_near_items; see matches()."""
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     digest = F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256)
-    return matches(docs, benchmark, width=width, slop=slop).select(
+    columns = [
         "doc_id",
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         digest.alias("items_sha256"),
         (hit > 0).alias("contaminated"),
-        F.size("near_items").cast("bigint").alias("n_near_items"),
-    )
+    ]
+    near = [F.size("near_items").cast("bigint").alias("n_near_items")] if slop else []
+    return matches(docs, benchmark, width=width, slop=slop).select(*columns, *near)
+
+
+def oracle_sql(width: int = WIDTH) -> str:
+    """contamination() of `documents` against `benchmark` as DuckDB SQL, for tables without repeated ids."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""with d as (select doc_id, {words} as w from documents),
+b as (select item_id, {words} as w from benchmark),
+windows as (select distinct item_id, least(len(w), {width}) as n, array_to_string(w[i:i + {width - 1}], ' ') as g from (select item_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) as i from b where len(w) > 0) t),
+starts as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from windows) s where len(w) >= n),
+hits as (select doc_id, i, t.n, item_id from (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from starts) t join windows using (n, g)),
+covered as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from hits) h) c group by doc_id),
+items as (select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as s from (select distinct doc_id, cast(item_id as varchar) as item_id from hits) i group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)"""
 
 
 def _keep(blocks, text_at, batches):

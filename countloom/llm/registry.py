@@ -68,4 +68,4 @@ QUERIES = {
         op10_ftrl_quality,
     )
 }
-ORACLE: dict[str, str] = {"op4_license_rules": license_rules.oracle_sql()}
+ORACLE: dict[str, str] = {"op4_license_rules": license_rules.oracle_sql(), "op9_positional_index": positional_index.oracle_sql()}
