@@ -36,7 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document that is left, and digests of ids and decoded text."""
-    return trie_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).drop("decoded")
+    return trie_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, lean=True).drop("decoded")
 
 
 STAGES = [

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 
 from countloom.llm.common import bounded_batches, give_back, utf8_list
 
-#: Words kept per worker while a task runs, and of those between tasks or when there are more: the ones met first,
-#: which are the frequent ones (a matter of speed and memory only).
-CACHE_WORDS, CACHE_KEPT = 250_000, 100_000
+#: Words kept per worker, of those the ones met first (the frequent ones) when there are more, and text of one trie: a matter
+#: of speed and memory only.  The lean ones are for workers that serve other stages as well.
+CACHE_WORDS, CACHE_KEPT, BLOCK_BYTES = 600_000, 240_000, 4_000_000
+LEAN_WORDS, LEAN_KEPT, LEAN_BYTES = 250_000, 100_000, 1_500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -185,14 +186,14 @@ class TextEncoder:
             return [c for c in self.white.split(text) if c]
         return text.split()
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
+    def encode_batch(self, texts: list[str], lean: bool = False) -> list[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers, and the decoded text, of each text."""
         lists = [self.chunks(t) for t in texts]
         new: set[str] = set()
         for chunks in lists:
             new.update(chunks)
-        if len(self.cache) > CACHE_WORDS:
-            self.trim()
+        if len(self.cache) > (LEAN_WORDS if lean else CACHE_WORDS):
+            self.trim(lean)
         gc.disable()  # a trie is many objects and no cycles: collections would only walk it again and again
         try:
             self.learn(new.difference(self.cache, self.special))
@@ -206,9 +207,9 @@ class TextEncoder:
             out.append((ids, self.decode(ids)))
         return out
 
-    def trim(self) -> None:
+    def trim(self, lean: bool) -> None:
         """Forget all but the words met first."""
-        self.cache = dict(itertools.islice(self.cache.items(), CACHE_KEPT))
+        self.cache = dict(itertools.islice(self.cache.items(), LEAN_KEPT if lean else CACHE_KEPT))
 
     def decode(self, ids: bytes) -> str:
         """The tokens by id, with spaces between (what a file without a decoder means)."""
@@ -221,7 +222,7 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def _blocks(texts: list[bytes | None], most: int = 1_500_000):
+def _blocks(texts: list[bytes | None], most: int):
     """Slices of about `most` bytes, so that the word lists of a batch stay small."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -233,13 +234,13 @@ def _blocks(texts: list[bytes | None], most: int = 1_500_000):
         yield start, len(texts)
 
 
-def _run(path: str, with_ids: bool, batches):
+def _run(path: str, with_ids: bool, lean: bool, batches):
     encoder = text_encoder(path)
     for batch in batches:
         rest = batch.drop_columns(["__text"])
         raw = utf8_list(batch.column("__text"))
-        for start, stop in _blocks(raw):
-            ids = encoder.encode_batch([(t or b"").decode("utf-8", "replace") for t in raw[start:stop]])
+        for start, stop in _blocks(raw, LEAN_BYTES if lean else BLOCK_BYTES):
+            ids = encoder.encode_batch([(t or b"").decode("utf-8", "replace") for t in raw[start:stop]], lean)
             columns = [
                 pa.array([len(i) // 4 for i, _ in ids], pa.int64()),
                 pa.array([hashlib.sha256(i).hexdigest() for i, _ in ids], pa.string()),
@@ -251,20 +252,22 @@ def _run(path: str, with_ids: bool, batches):
                 names += ["ids", "decoded"]
             kept = rest.slice(start, stop - start)
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, *names])
-    encoder.trim()
+    if lean:
+        encoder.trim(lean)
     give_back()
 
 
-def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False, lean: bool = False) -> DataFrame:
     """One row per document: key, n_tokens, SHA-256 of ids and of the decoded text.
 
     ``path`` is the tokenizer's file on every worker.  A null or empty text has no
     tokens and decodes to the empty text; repeated rows give repeated results; other
-    columns are not read.  ``with_ids`` adds the ids and the decoded text themselves.
+    columns are not read.  ``with_ids`` adds the ids and the decoded text themselves; ``lean`` lets workers keep fewer
+    words between tasks.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, decoded string" if with_ids else ""
     rows = docs.select(docs[key], docs[text].alias("__text"))
-    return rows.mapInArrow(functools.partial(_run, path, with_ids), schema)
+    return rows.mapInArrow(functools.partial(_run, path, with_ids, lean), schema)
