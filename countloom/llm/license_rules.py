@@ -71,10 +71,11 @@ RULES = [
     ("unknown", r",(?:[a-z0-9_]+,)+"),
 ]
 
-# Every known sentence holds one of these, so other texts need no cutting.
+# Every known sentence holds one of these, so other texts need no cutting.  A blank stands for
+# all that normalisation turns into one: line breaks, hyphens and other marks.
 TRIGGERS = ("licen", "redistribut", "permission", "copyright notice", "warrant", "this software", "cc0", "endorse", "public domain", "as is")
 
-TRIGGER = re.compile("|".join(TRIGGERS).encode(), re.IGNORECASE)
+TRIGGER = re.compile("|".join(TRIGGERS).replace(" ", "[^a-z0-9.]+").encode(), re.IGNORECASE)
 END = re.compile(r"[.!?;:](?=[ \t\n\r]|$)|\n[ \t\r]*\n")
 OTHER = re.compile(r"[^a-z0-9.]+")
 KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]

@@ -352,3 +352,15 @@ def test_licence_sql_on_odd_rows(odd):
     for i, t in zip(documents.doc_id, documents.text, strict=True):
         ids = license_rules.identify(t or "")
         assert got[i] == (i, len(ids), ",".join(ids), ",".join(license_rules.licences(ids)))
+
+
+def test_wrapped_licence_sentences(spark):
+    texts = ["Released into the public\ndomain.", "It is dedicated to the public \t domain", "placed in the public-domain!", "Distributed on an AS\nIS BASIS.", 'distributed on an "AS-IS" basis', "THIS\n  SOFTWARE IS PROVIDED BY THE AUTHORS AS\nIS", "The above copyright\nnotice and this permission notice shall be included", "the public. Domain"]
+    want = {i: license_rules.identify(t) for i, t in enumerate(texts)}
+    assert all(want[i] for i in range(7)) and not want[7]
+    con = duckdb.connect()
+    documents = pd.DataFrame(list(enumerate(texts)), columns=["doc_id", "text"])
+    con.register("documents", documents)
+    got = license_rules.scan(spark.createDataFrame(documents)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(license_rules.oracle_sql()).fetchall())
+    assert {r.doc_id: r.sentence_ids for r in got} == {i: ",".join(ids) for i, ids in want.items()}
