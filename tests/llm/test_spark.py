@@ -364,3 +364,31 @@ def test_wrapped_licence_sentences(spark):
     got = license_rules.scan(spark.createDataFrame(documents)).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(license_rules.oracle_sql()).fetchall())
     assert {r.doc_id: r.sentence_ids for r in got} == {i: ",".join(ids) for i, ids in want.items()}
+
+
+def brute_near(text, windows, slop=3):
+    at, items = {}, set()
+    for k, w in enumerate(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))):
+        at.setdefault(w, []).append(k)
+    for window, own in windows.items():
+        if len(window) > 1 and all(w in at for w in window):
+            starts = set(range(min(at[window[0]]) - slop, max(at[window[0]]) + slop + 1))
+            for k, w in enumerate(window):
+                starts &= {p - k + d for p in at[w] for d in range(-slop, slop + 1)}
+            items |= own if starts else set()
+    return len(items)
+
+
+def test_op9_reports_nearby_matches(spark, sf_dir, docs, tmp_path):
+    benchmark = pd.read_parquet(f"{sf_dir}/benchmark.parquet")
+    windows = windows_of(zip(benchmark.item_id, benchmark.text, strict=True))
+    got = registry.op9_positional_index(spark, sf_dir).toPandas().set_index("doc_id")
+    assert all(got.n_near_items[i] == brute_near(t, windows) for i, t in zip(docs.doc_id, docs.text, strict=True))
+    # one word put in, or two swapped, inside each window
+    words = prose(500, 60).split()
+    put_in = " ".join(w if k % 8 else f"{w} extra" for k, w in enumerate(words))
+    swapped = " ".join(words[k + 1 if k % 8 == 0 else k - 1 if k % 8 == 1 else k] for k in range(len(words)))
+    spark.createDataFrame([(1, put_in), (2, swapped), (3, " ".join(words)), (4, prose(501, 60))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r.doc_id: r for r in registry.op9_positional_index(spark, str(tmp_path)).collect()}
+    assert {i: (r.n_items, r.n_near_items) for i, r in rows.items()} == {1: (0, 1), 2: (0, 1), 3: (1, 1), 4: (0, 0)}
