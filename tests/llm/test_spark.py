@@ -392,3 +392,18 @@ def test_op9_reports_nearby_matches(spark, sf_dir, docs, tmp_path):
     spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = {r.doc_id: r for r in registry.op9_positional_index(spark, str(tmp_path)).collect()}
     assert {i: (r.n_items, r.n_near_items) for i, r in rows.items()} == {1: (0, 1), 2: (0, 1), 3: (1, 1), 4: (0, 0)}
+
+
+def test_first_document_with_a_part_of_the_passage(spark):
+    rows, want, i = [], {}, 0
+    for case in range(40):
+        p = prose(7000 + case, 70).split()
+        parts = [[p[:45], p[:55], p[:55]], [p[7:52], p[:60], p[:60]], [p[:46], p[25:70], p, p], [p[:50], p, p], [p[:45] + prose(i + 80000, 30).split() + p[:60], p[:60]]][case % 5]
+        for k, part in enumerate(parts):
+            rows.append((i, " ".join([prose(9000 + 2 * i, 30), *part, prose(9001 + 2 * i, 30)])))
+            want[i] = 0 if k == 0 or case % 5 < 3 and k < len(parts) - 1 else len(part)
+            i += 1
+        if case % 5 == 3:
+            want[i - 2] = 50
+    got = {r.doc_id: r.n_repeat_words for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert got == want
