@@ -142,6 +142,27 @@ def test_alignment_bridges_changed_words():
     assert compact_windows.aligned(base, other, 10, 10, 1.0) == (0, 60, 0, 60)
 
 
+@pytest.mark.parametrize(
+    ("own", "other"),
+    [
+        ([(0, 45), (200, 204), (45, 90)], [(0, 90)]),  # four words put in
+        ([(0, 90)], [(0, 45), (200, 204), (45, 90)]),
+        ([(0, 43), (200, 204), (47, 90)], [(0, 90)]),  # four replaced
+        ([(0, 43), (48, 91)], [(0, 91)]),  # five left out
+        ([(0, 45), (200, 201), (46, 49), (201, 202), (50, 95)], [(0, 95)]),  # two changed, four apart
+        ([(0, 70), (200, 212), (82, 160)], [(0, 160)]),
+    ],
+)
+def test_alignment_bridges_longer_changes(own, other):
+    words = compact_windows.word_hashes(sentence(random.Random(4), 400).encode())
+    own, other = (np.concatenate([words[a:b] for a, b in x]) for x in (own, other))
+    assert compact_windows.shingle_similarity(own, other) >= 0.8
+    for at, there in ((10, 10), (len(own) - 20, len(other) - 20)):
+        assert compact_windows.aligned(own, other, at, there, 0.8) == (0, len(own), 0, len(other))
+    around = [np.concatenate([words[k : k + 30], x, words[k + 30 : k + 60]]) for k, x in ((210, own), (290, other))]
+    assert compact_windows.aligned(*around, 40, 40, 0.8) == (30, 30 + len(own), 30, 30 + len(other))
+
+
 # search
 
 
