@@ -407,3 +407,18 @@ def test_first_document_with_a_part_of_the_passage(spark):
             want[i - 2] = 50
     got = {r.doc_id: r.n_repeat_words for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
     assert got == want
+
+
+def test_recall_of_short_similar_passages(spark):
+    rows, pairs = [], {}
+    for k in range(160):
+        n, kind, i = 50 + k % 16, k // 16 % 4, 2 * k
+        p = prose(20000 + k, n).split()
+        at = n // 2 - k % 2
+        changed = [p[:at] + ["changed"] + p[at + 1 :], p[:at] + ["more"] + p[at:], p[: at - 1] + ["changed"] + p[at:], p[: n - 3] + ["changed"] + p[n - 2 :]][kind]
+        rows += [(i + d, " ".join([prose(30000 + 2 * (i + d), 40), *x, prose(30001 + 2 * (i + d), 40)])) for d, x in ((0, p), (1, changed))]
+        pairs[i + 1] = len(changed) - 3 * (kind == 3)
+    got = {r.doc_id: r.n_repeat_words for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    missed = [i for i, n in pairs.items() if got[i] < min(n, 50)]
+    assert not [i for i in missed if pairs[i] >= 50]
+    assert all(got[i] == 0 for i in range(0, 320, 2))
