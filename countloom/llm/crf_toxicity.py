@@ -3,9 +3,9 @@
 A chain is a sentence (up to . ! ? or a line's end); a token has the states plain and toxic.
 With two states the forward and the backward messages are one log-odds number each, so
 many chains advance together as arrays.  Training tokens get their states from document
-labels: a token of a toxic document is toxic if its word, or a beginning of it, occurs in toxic
-documents almost only.  The text's score is a logistic function of its largest marginal and
-its expected number of toxic tokens, fitted on the same bounded sample (TRAIN_ROWS).
+labels: a token of a toxic document is toxic if its word, or a beginning of it, is far more frequent in
+toxic documents than in others (lexicon()).  The text's score is a logistic function of its largest marginal
+and of the expected number and share of its toxic tokens, fitted on the same bounded sample (TRAIN_ROWS).
 """
 
 from __future__ import annotations
@@ -26,14 +26,17 @@ from countloom.llm.samples import labelled
 TRAIN_ROWS = 1_600
 SIZE = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
+#: A lexicon's unit is at least so many times as frequent in toxic documents as in others, and in so many of them; of a document so many occurrences are evidence.
+RATIO, LEAST_DOCS, BURST = 8, 3, 3
 #: Entries of a worker's cache of word scores (a matter of speed only).
 CACHE_WORDS = 400_000
-TOKENS = re.compile(rb"[0-9a-z\x80-\xff]+|[.!?\n]")
+TOKENS = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[.!?\n]")
 ENDS = frozenset((b".", b"!", b"?", b"\n"))
 
 
 def units(word: bytes) -> list[bytes]:
-    """A word and its beginnings."""
+    """A word in small letters and its beginnings."""
+    word = word.lower() if word.isascii() else word.decode("utf-8", "replace").lower().encode()
     return [word, *[word[:k] + b"*" for k in BEGINNINGS if len(word) > k]]
 
 
@@ -81,28 +84,59 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _families(texts: list[list[bytes]]) -> list[int]:
+    """A number for each text that copies, and most near copies, share: the least hash of three words in a row."""
+    return [min((crc32(b" ".join(ws[i : i + 3]).lower()) for i in range(max(1, len(ws) - 2))), default=0) for ws in texts]
+
+
+def lexicon(texts: list[list[bytes]], y: list[int]) -> set[bytes]:
+    """Units that toxic documents have far more often than others, beyond what chance gives among so many units.
+
+    Far more often: RATIO times as often a token.  Beyond chance: the likelihood ratio, to which a document adds
+    at most BURST occurrences and copies of a text add nothing, passes what the likeliest of all units reaches by chance.
+    """
+    docs, heard, tokens, sizes = Counter(), (Counter(), Counter()), (Counter(), Counter()), [1, 1]
+    first: dict[tuple[int, int], list[bytes]] = {}
+    for words, label, family in zip(texts, y, _families(texts), strict=True):
+        if first.setdefault((family, label), words) is not words:
+            continue
+        own: Counter = Counter()
+        for w, c in Counter(words).items():
+            sizes[label] += c
+            if w not in ENDS:
+                for u in units(w):
+                    own[u] += c
+        tokens[label].update(own)
+        heard[label].update({u: min(c, BURST) for u, c in own.items()})
+        if label:
+            docs.update(own.keys())
+    found = [u for u, n in docs.items() if n >= LEAST_DOCS]
+    limit, expected = 2 * np.log(max(2, len(found))), sizes[1] / sum(sizes)
+    out = set()
+    for u in found:
+        a, b = heard[1][u], heard[0][u]
+        ratio = 2 * (a * np.log(a / (a + b) / expected) + (b * np.log(b / (a + b) / (1 - expected)) if b else 0))
+        if ratio >= limit and tokens[1][u] / sizes[1] >= RATIO * (tokens[0][u] + 0.5) / sizes[0]:
+            out.add(u)
+    return out
+
+
 def token_labels(texts: list[list[bytes]], y: list[int]) -> list[np.ndarray]:
     """States of the training tokens, from the labels of their documents."""
-    seen = Counter(), Counter()
-    for words, label in zip(texts, y, strict=True):
-        seen[label].update({u for w in set(words) - ENDS for u in units(w)})
-    n = max(1, sum(y)), max(1, len(y) - sum(y))
-    # fewer documents could all be toxic by chance, among the many words that are looked at
-    least = max(3, np.log(1e6) / -np.log(min(0.99, n[0] / sum(n))))
-    lexicon = {u for u, c in seen[1].items() if c >= least and seen[0][u] / n[1] <= 0.004 * c / n[0]}
+    toxic = lexicon(texts, y)
     known: dict[bytes, bool] = {}
     out = []
     for words, label in zip(texts, y, strict=True):
         if label:
             for w in words:
                 if w not in known:
-                    known[w] = w not in ENDS and not lexicon.isdisjoint(units(w))
+                    known[w] = w not in ENDS and not toxic.isdisjoint(units(w))
         out.append(np.array([label == 1 and known[w] for w in words], bool))
     return out
 
 
 class Crf:
-    """weights by slot, the constant, the transitions, and the three numbers of the text's score."""
+    """weights by slot, the constant, the transitions, and the weights of the text's score."""
 
     def __init__(self, weights, constant, transitions, top):
         self.weights, self.constant, self.transitions, self.top = weights, constant, transitions, top
@@ -113,20 +147,62 @@ class Crf:
         return np.where(ends, 0.0, sigmoid(ahead + back))
 
 
-def summary(p: np.ndarray) -> tuple[float, float]:
-    """Log-odds of the largest marginal and log of the expected toxic tokens of a text."""
+#: What summary() says of a text without tokens.
+NOTHING = (-12.0, -12.0, -12.0)
+
+
+def summary(p: np.ndarray) -> tuple[float, float, float]:
+    """Log-odds of the largest marginal, and logs of the expected toxic tokens and of their share of all."""
     if not len(p):
-        return -12.0, -12.0
-    most = min(max(float(p.max()), 6e-6), 1 - 6e-6)
-    return float(np.log(most / (1 - most))), float(np.log(p.sum() + 6e-6))
+        return NOTHING
+    most, total = min(max(float(p.max()), 6e-6), 1 - 6e-6), float(p.sum()) + 6e-6
+    return float(np.log(most / (1 - most))), float(np.log(total)), float(np.log(total / len(p)))
+
+
+def score_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Penalised logistic regression on the columns of x, the first of them constant, the others with no weight below 0.
+
+    Newton steps, halved until they lower the loss; they end where the gradient does.  A column
+    whose weight would be negative is left out.  Finite for separable and for one-sided samples.
+    """
+    columns = list(range(x.shape[1]))
+    while True:
+        own, w = x[:, columns], np.zeros(len(columns))
+        penalty = np.full(len(columns), ridge)
+
+        def loss(w, own=own, penalty=penalty):
+            z = own @ w
+            return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * penalty @ (w * w))
+
+        now = loss(w)
+        for _ in range(200):
+            q = sigmoid(own @ w)
+            gradient = own.T @ (q - y) + penalty * w
+            if np.abs(gradient).max() < 1e-6 * max(1, len(y)):
+                break
+            step = np.linalg.solve((own * (q * (1 - q))[:, None]).T @ own + np.diag(penalty), gradient)
+            size = 1.0
+            while size > 1e-9 and loss(w - size * step) > now:
+                size /= 2
+            if size <= 1e-9:
+                break
+            w = w - size * step
+            now = loss(w)
+        wrong = [k for k in range(1, len(columns)) if w[k] < 0]
+        if not wrong:
+            out = np.zeros(x.shape[1])
+            out[columns] = w
+            return out
+        del columns[min(wrong, key=lambda k: w[k])]
 
 
 def fit(texts: list[bytes], y: list[int], *, steps: int = 25, rate: float = 0.5, l2: float = 1e-6) -> Crf:
     """Train by adaptive gradient on the chains' conditional likelihood."""
-    words = [TOKENS.findall(t.lower()) for t in texts]
+    words = [TOKENS.findall(t) for t in texts]
     states = token_labels(words, y)
-    if not any(s.any() for s in states):
-        return Crf(np.zeros(SIZE, np.float32), -12.0, np.zeros(4), (-6.0, 0.0, 0.0))
+    if not any(s.any() for s in states):  # nothing to learn from: every text has the sample's share of toxic ones
+        share = (sum(y) + 0.5) / (len(y) + 1)
+        return Crf(np.zeros(SIZE, np.float32), -12.0, np.zeros(4), (min(float(np.log(share / (1 - share))), -0.01), 0.0, 0.0, 0.0))
     flat = [w for ws in words for w in (*ws, b"\n")]
     truth = np.concatenate([x for s in states for x in (s, [False])]).astype(float)
     kinds = {w: k for k, w in enumerate(dict.fromkeys(flat))}
@@ -161,12 +237,7 @@ def fit(texts: list[bytes], y: list[int], *, steps: int = 25, rate: float = 0.5,
     model = Crf(weights.astype(np.float32), float(rest[0]), rest[1:].copy(), None)
     cuts = np.cumsum([len(w) + 1 for w in words])[:-1]
     x = np.array([(1.0, *summary(part)) for part in np.split(p, cuts)])
-    top, target = np.array([-3.0, 0.5, 0.0]), np.array(y, float)
-    for _ in range(30):  # Newton with a ridge, so separable samples end as well
-        q = sigmoid(x @ top)
-        grad = x.T @ (target - q) - 0.05 * top
-        top = top + np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3), grad)
-    model.top = tuple(top)
+    model.top = tuple(score_weights(x, np.array(y, float)).tolist())
     return model
 
 
@@ -191,7 +262,7 @@ class WordScores(dict):
 def _spans(raw: bytes, hit: np.ndarray) -> list[dict]:
     """Code-point offsets of runs of toxic tokens."""
     out, last = [], None
-    for k, m in enumerate(TOKENS.finditer(raw.lower())):
+    for k, m in enumerate(TOKENS.finditer(raw)):
         if hit[k]:
             if last is not None and last == k - 1:
                 out[-1][1] = m.end()
@@ -219,7 +290,7 @@ def _run(bc, batches):
                 continue
             if len(scores) > CACHE_WORDS:
                 scores = WordScores(model)
-            lists = [TOKENS.findall(t.lower()) for t in raw[start : i + 1]]
+            lists = [TOKENS.findall(t) for t in raw[start : i + 1]]
             parts = [np.fromiter(map(scores.__getitem__, ws), float, len(ws)) for ws in lists]
             unary = np.concatenate([x for part in parts for x in (part, [np.nan])])
             p = model.marginals(unary, np.isnan(unary))
@@ -236,8 +307,9 @@ def score(docs: DataFrame, model: Crf, *, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of every row.
 
     spans: code-point offsets of the toxic tokens' runs.  Null and empty texts have no
-    token and get the score of none.  Repeated rows get equal results; other columns are
-    not read.  Without training tokens all texts score low.
+    token and get the score of none.  Repeated rows get equal results; very long texts are scored whole; other
+    columns, whatever their names, are not read.  If the sample has no toxic token, every text gets the sample's
+    share of toxic documents as its score, or one just below 0.5 if that is higher.
     """
     bounded_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(model)  # SIZE weights, whatever the input

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from countloom.llm.common import held_out
 
+#: Longer texts are not sampled, so that a sample of so many rows has a bound in bytes too.
+MOST_BYTES = 128 << 10
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, *, per_class: bool = False) -> DataFrame:
-    """(doc_id, text, y) of at most `most` labelled documents outside the evaluation fold.
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, *, per_class: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, text, y) of at most `most` labelled documents outside the evaluation fold, of up to `most_bytes` each.
 
     The sample is the documents whose ids hash lowest, so it depends on nothing but the
     labels; with ``per_class`` half of it comes from either class.  Rows without an id or
@@ -25,5 +28,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, *, per_c
     else:
         chosen = own.orderBy(*order).limit(most)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    found = rows.join(F.broadcast(chosen), "doc_id")
+    found = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))

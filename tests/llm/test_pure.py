@@ -221,12 +221,33 @@ def test_crf_learns_words_from_document_labels():
     model = crf_toxicity.fit(texts, y)
     scores = crf_toxicity.WordScores(model)
     assert scores[b"grumblor"] > 0 > scores[b"alpha1"]
-    assert not crf_toxicity.fit([b"", b"a"], [0, 0]).weights.any()
+    assert all(np.isfinite(model.top)) and min(model.top[1:]) >= 0 and max(model.top[1:]) > 0
+    nothing = crf_toxicity.fit([b"", b"a"], [0, 0])
+    assert not nothing.weights.any() and nothing.top[0] < 0 and nothing.top[1:] == (0.0, 0.0, 0.0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 200), st.sampled_from([0.0, 0.5, 3.0, 50.0]))
+def test_score_weights_converge(seed, n, distance):
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < 0.4).astype(float)
+    x = np.column_stack([np.ones(n), distance * (y - 0.5) + rng.normal(size=n), rng.normal(size=n) - distance * y, np.clip(5 * rng.normal(size=n), -12, 12)])
+    w = crf_toxicity.score_weights(x, y)
+    assert np.isfinite(w).all() and (w[1:] >= 0).all()
+    q = crf_toxicity.sigmoid(x @ w)
+    gradient = x.T @ (q - y) + 0.05 * w
+    assert np.abs(gradient[[0, *(1 + np.flatnonzero(w[1:]))]]).max() < 1e-3 * n
+    if distance == 50.0 and 0 < y.sum() < n:
+        assert ((q >= 0.5) == (y == 1)).all()
+
+
+def test_capital_letters_of_other_scripts_count_alike():
+    assert crf_toxicity.slots("RÉEUX".encode()) == crf_toxicity.slots("réeux".encode())
 
 
 def test_spans_are_code_points():
     raw = "Éa bad worse. bad".encode()
-    words = crf_toxicity.TOKENS.findall(raw.lower())
+    words = crf_toxicity.TOKENS.findall(raw)
     hit = np.array([w in (b"bad", b"worse") for w in words])
     assert ["Éa bad worse. bad"[s["start"] : s["end"]] for s in crf_toxicity._spans(raw, hit)] == ["bad worse", "bad"]
 
