@@ -4,7 +4,8 @@ The last token of a word's encoding, together with the encoding of what stands
 before that token, is the encoding: every prefix of a BPE encoding is itself the
 encoding of the text it spells.  A trie node (a prefix of some word) therefore
 needs only its *last token*; it is found from the states of nodes further up, and
-is computed once however many words share the prefix.
+is computed once however many words share the prefix.  Which tokens can end at a node
+follows from the longest end of the prefix that begins a token, itself passed down the trie.
 
 ``encode(docs, path)`` works document by document and holds only a bounded cache
 of finished words, so hot words, long texts and lost executors need no care.
@@ -26,11 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from countloom.llm.common import bounded_batches, give_back, utf8_list
+from countloom.llm.endings import Endings, depth_first
 
 #: Words kept per worker, of those the ones met first (the frequent ones) when there are more, and text of one trie: a matter
 #: of speed and memory only.  The lean ones are for workers that serve other stages as well.
 CACHE_WORDS, CACHE_KEPT, BLOCK_BYTES = 600_000, 240_000, 4_000_000
 LEAN_WORDS, LEAN_KEPT, LEAN_BYTES = 250_000, 100_000, 1_500_000
+#: Neighbour pairs of tokens remembered per worker; beyond it they are found anew (a matter of speed only).
+MOST_PAIRS = 2_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -43,96 +47,128 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Token:
+    """A vocabulary entry that BPE spells as itself; `width`: its characters without the end mark."""
+
+    __slots__ = ("id", "text", "width", "letters", "lefts")
+
+    def __init__(self, number: int, text: str, letters: list[str]):
+        self.id, self.text, self.width, self.letters = number, text, len(letters), letters
+        #: For left neighbours met before: whether BPE leaves the boundary standing.
+        self.lefts: dict[Token, bool] = {}
+
+
 class WordEncoder:
     """BPE of single words (strings of the byte alphabet) by last-token states."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         self.vocab, self.suffix = vocab, suffix
         self.rank = {tuple(pair): k for k, pair in enumerate(merges)}
-        self.longest = max(len(t.removesuffix(suffix)) for t in vocab)
-        #: For each token that BPE spells as itself, whether it may follow a left neighbour; 0: not looked at yet.
-        self.after: dict[str, dict[str, bool] | int] = dict.fromkeys(vocab, 0)
+        self.tokens: dict[str, Token | None] = {}
+        self.pairs = 0
+        #: Of a state: the tokens that may end there before further letters, and those with the end mark.
+        self.endings = Endings((t.removesuffix(suffix) for t in vocab), self.ending)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The defining procedure, used on token pairs only."""
-        symbols = list(symbols)
+        symbols, rank, none = list(symbols), self.rank.get, 1 << 60
         while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: (self.rank.get((symbols[i], symbols[i + 1]), 1 << 60), i))
-            pair = symbols[best], symbols[best + 1]
-            if pair not in self.rank:
+            ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
+            best = min(ranks)
+            if best == none:
                 break
-            symbols[best : best + 2] = [pair[0] + pair[1]]
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def letters(self, token: str) -> list[str]:
-        """A token's characters; the last one carries the end mark if the token does."""
-        if token.endswith(self.suffix) and token != self.suffix:
-            body = token[: -len(self.suffix)]
-            return [*body[:-1], body[-1] + self.suffix]
-        return list(token)
-
-    def neighbours(self, token: str) -> dict[str, bool] | None:
-        """The known left neighbours of a token not looked at before; None if BPE never makes it."""
-        if self.merge(self.letters(token)) == [token]:
-            self.after[token] = {}
-            return self.after[token]
-        del self.after[token]
-        return None
-
-    def last(self, prefix: str, states: list[str], end: str = "") -> str:
-        """Last token of ``prefix + end``; states[i] is the last token of prefix[:i]."""
-        n, after = len(prefix), self.after
-        for start in range(n - self.longest if n > self.longest else 0, n):
-            token = prefix[start:] + end
-            lefts = after.get(token)
-            if lefts is None or lefts == 0 and (lefts := self.neighbours(token)) is None:
-                continue
+    def token(self, text: str) -> Token | None:
+        """The token of that spelling, if BPE ever makes it; the last letter carries the end mark if it does."""
+        if text not in self.tokens:
+            found, number = None, self.vocab.get(text)
+            if number is not None:
+                body = text.removesuffix(self.suffix) or text
+                letters = [*body[:-1], body[-1] + text[len(body) :]]
+                if self.merge(letters) == [text]:
+                    found = Token(number, text, letters)
+            self.tokens[text] = found
+        return self.tokens[text]
+
+    def ending(self, ends: list[str]) -> tuple[list[Token], list[Token]]:
+        return tuple([t for e in ends if (t := self.token(e + mark)) is not None] for mark in ("", self.suffix))
+
+    def fits(self, left: Token, token: Token) -> bool:
+        """Whether BPE leaves the boundary between the two standing."""
+        if self.pairs >= MOST_PAIRS:
+            for known in self.tokens.values():
+                if known is not None:
+                    known.lefts.clear()
+            self.pairs = 0
+        self.pairs += 1
+        found = token.lefts[left] = self.merge(left.letters + token.letters) == [left.text, token.text]
+        return found
+
+    def last(self, candidates: list[Token], lasts: list[Token], n: int) -> Token:
+        """The one candidate that ends the encoding of n letters; lasts[i] ends that of the first i."""
+        for token in candidates:
+            start = n - token.width
             if not start:
                 return token
-            left = states[start]
-            fits = lefts.get(left)
-            if fits is None:  # whether BPE leaves the boundary between the two standing
-                fits = lefts[left] = self.merge(self.letters(left) + self.letters(token)) == [left, token]
-            if fits:
+            left = lasts[start]
+            fits = token.lefts.get(left)
+            if fits or fits is None and self.fits(left, token):
                 return token
-        raise ValueError(f"no token ends {prefix!r}")
-
-    def encode_all(self, words: set[str]) -> dict[str, list[str]]:
-        """Encodings of distinct words, depth first over their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word:
-                if (child := node.get(c)) is None:
-                    child = node[c] = {}
-                node = child
-            node[""] = None
-        found: dict[str, list[str]] = {}
-        states = [""]
-        stack = [("", root)]
-        last = self.last
-        while stack:
-            prefix, node = stack.pop()
-            n = len(prefix)
-            if n:
-                del states[n:]
-                states.append(last(prefix, states))
-            for c, child in node.items():
-                if c:
-                    stack.append((prefix + c, child))
-                else:
-                    found[prefix] = self.unwind(prefix, states)
+        raise ValueError("no token ends the word")
+
+    def encode_all(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of distinct words, depth first over their trie, as 32-bit integers.
+
+        Time and room are in proportion to the letters.
+        """
+        found: dict[str, bytes] = {}
+        where, lasts, last, endings = [self.endings.root], [None], self.last, self.endings
+        for word, shared in depth_first(words):
+            del where[shared + 1 :], lasts[shared + 1 :]
+            state, n = where[shared], shared
+            for c in word[shared:]:
+                n += 1
+                state = state.moves.get(c) or endings.after(state, c)
+                where.append(state)
+                lasts.append(last(state.ends[0], lasts, n))
+            token = last(state.ends[1], lasts, n)
+            ids, at = [token.id], n - token.width
+            while at:
+                token = lasts[at]
+                ids.append(token.id)
+                at -= token.width
+            ids.reverse()
+            found[word] = array("I", ids).tobytes()
         return found
 
-    def unwind(self, word: str, states: list[str]) -> list[str]:
-        """Tokens of a word, from its terminal token back along the states."""
-        tokens = [self.last(word, states, self.suffix)]
-        at = len(word) + len(self.suffix) - len(tokens[0])
-        while at:
-            tokens.append(states[at])
-            at -= len(states[at])
-        tokens.reverse()
-        return tokens
+
+# Fixed values, by the Unicode versions of the library, of Python's str methods and of the regex module: letters and
+# numbers that are newer than the library's character classes, and capital letters newer than Python's, with their small ones.
+NEWER_LETTERS = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE
+11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA
+18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE
+1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+NEWER_CAPITALS = """
+1C89:1C8A A7CB:0264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:019B 10D50-10D65:10D70 16EA0-16EB8:16EBB
+"""
+
+
+def code_points(ranges: str) -> list[int]:
+    """All code points of `a-b` and `a` in hexadecimal digits, between blanks."""
+    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return [c for r in ends for c in range(r[0], r[-1] + 1)]
+
+
+#: Stands for a newer letter while a text is cut: unassigned in every version, so neither letter nor number.
+STAND_IN = "\u0378"
+SMALL = {c: code_points(low)[0] + k for high, low in (pair.split(":") for pair in NEWER_CAPITALS.split()) for k, c in enumerate(code_points(high))}
+UNLETTERED = dict.fromkeys(code_points(NEWER_LETTERS), STAND_IN)
+NEWER = frozenset(map(chr, {*SMALL, *UNLETTERED}))
 
 
 class TextEncoder:
@@ -153,6 +189,7 @@ class TextEncoder:
         #: Unlike White_Space, str.split() also breaks at these four.
         self.separators = re.compile("[\x1c-\x1f]")
         self.white = regex.compile(r"\s+")
+        self.newest = min(NEWER)
         self.token = {i: t for t, i in self.words.vocab.items()} | {i: t for t, i in self.special.items()}
         self.cache: dict[str, bytes] = {}
 
@@ -161,13 +198,17 @@ class TextEncoder:
         if chunk.isascii() and chunk.isprintable():
             return self.pieces.findall(chunk.lower())
         chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet) for w in self.pieces.findall(chunk)]
+        if max(chunk, default="") >= self.newest and not NEWER.isdisjoint(chunk):
+            chunk = chunk.translate(SMALL)
+            found = [chunk[m.start() : m.end()] for m in self.pieces.finditer(chunk.translate(UNLETTERED))]
+        else:
+            found = self.pieces.findall(chunk)
+        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet) for w in found]
 
     def learn(self, chunks: set[str]) -> None:
         """Put the encodings of chunks into the cache."""
         parts = {chunk: self.chunk_words(chunk) for chunk in chunks}
-        found, vocab = self.words.encode_all({w for ws in parts.values() for w in ws}), self.words.vocab
-        packed = {w: array("I", [vocab[t] for t in tokens]).tobytes() for w, tokens in found.items()}
+        packed = self.words.encode_all({w for ws in parts.values() for w in ws})
         for chunk, ws in parts.items():
             self.cache[chunk] = b"".join([packed[w] for w in ws]) if len(ws) != 1 else packed[ws[0]]
 
@@ -261,8 +302,8 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
     """One row per document: key, n_tokens, SHA-256 of ids and of the decoded text.
 
     ``path`` is the tokenizer's file on every worker.  A null or empty text has no
-    tokens and decodes to the empty text; repeated rows give repeated results; other
-    columns are not read.  ``with_ids`` adds the ids and the decoded text themselves; ``lean`` lets workers keep fewer
+    tokens and decodes to the empty text; repeated rows give repeated results; very long texts and
+    words take time in proportion to their length; other columns, whatever their names, are not read.  ``with_ids`` adds the ids and the decoded text themselves; ``lean`` lets workers keep fewer
     words between tasks.
     """
     bounded_batches(docs.sparkSession)
