@@ -77,9 +77,35 @@ def test_op1(spark, sf_dir):
 
 def test_op2(spark, sf_dir, docs):
     got = registry.op2_unigram_trie(spark, sf_dir).toPandas().set_index("doc_id")
-    model = unigram_trie.model_of(PIECES)
-    want = model.count(docs.text.tolist())
-    assert [tuple(got.loc[i, ["n_pretokens", "n_tokens"]]) for i in docs.doc_id] == want
+    pieces = unigram_trie.vocabulary(PIECES)
+    often, counts = Counter(w for t in docs.text for w in t.split()), Counter()
+    prior = unigram_trie.scores_of(pieces, {})
+    known, lowest = set(pieces), min(prior.values()) - 1
+    for w, n in often.items():
+        for p in best_pieces(w, prior, lowest):
+            counts[p] += n if p in known else 0
+    ranks = {p: r for r, p in enumerate(pieces)}
+    scores = unigram_trie.scores_of(pieces, {ranks[p]: n for p, n in counts.items() if n})
+    assert unigram_trie.piece_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), PIECES) == {ranks[p]: n for p, n in counts.items() if n}
+    lengths = {w: len(best_pieces(w, scores, min(scores.values()) - 1)) for w in often}
+    assert [tuple(got.loc[i, ["n_pretokens", "n_tokens"]]) for i in docs.doc_id] == [(len(t.split()), sum(lengths[w] for w in t.split())) for t in docs.text]
+
+
+def best_pieces(word, scores, byte_score):
+    """The likeliest cut of a word, of equal ones the one with fewer pieces; a byte outside the vocabulary is None."""
+    word = unigram_trie.MARK + word
+    best = [(0.0, 0, [])]
+    for n in range(1, len(word) + 1):
+        width = len(word[n - 1].encode())
+        s, k, cut = best[n - 1]
+        options = [(s + width * byte_score, -k - width, cut + [None] * width)]
+        for start in range(max(0, n - 20), n):
+            if word[start:n] in scores:
+                s, k, cut = best[start]
+                options.append((s + scores[word[start:n]], -k - 1, cut + [word[start:n]]))
+        top = max(options, key=lambda o: o[:2])
+        best.append((top[0], -top[1], top[2]))
+    return best[-1][2]
 
 
 def test_op4(spark, sf_dir, duck):
