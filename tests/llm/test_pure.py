@@ -136,16 +136,37 @@ def test_fingerprint_definition(text):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 50), max_size=200), st.integers(1, 40))
-def test_windows_are_the_cartesian_tree(values, least):
+@given(st.one_of(st.lists(st.integers(0, 50), max_size=200), st.lists(st.integers(0, 10**9), max_size=200, unique=True)), st.integers(1, 40))
+def test_nodes_are_those_of_the_cartesian_tree(values, least):
     values = np.array(values, np.uint64)
-    found = compact_windows.windows(values, least)
-    for i in range(len(values) - least + 1):
-        for j in range(i + least, len(values) + 1):
-            at = i + int(values[i:j].argmin())
-            assert sum(a <= i and j - 1 <= b and c == at for a, c, b in found) == 1
-        break
-    assert {c for _, c, _ in found} == {i + int(values[i : i + least].argmin()) for i in range(len(values) - least + 1)}
+    tree, stack = [], [(0, len(values))]
+    while stack:
+        a, b = stack.pop()
+        if b - a >= least:
+            at = a + int(values[a:b].argmin())
+            tree.append((a, at, b))
+            stack += [(a, at), (at + 1, b)]
+    found = compact_windows.nodes(values, least)
+    windows = [(int(own[0]), at, int(own[-1])) for at in np.unique(found).tolist() for own in [np.flatnonzero(found == at)]]
+    assert [at for _, at, _ in windows] == sorted(at for _, at, _ in tree)
+    if len(set(values.tolist())) == len(values):  # of equal values the first is the node
+        assert windows == [(max(a, at - least + 1), at, min(at, b - least)) for a, at, b in sorted(tree, key=lambda w: w[1])]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), max_size=70), max_size=5), st.integers(5, 30), st.integers(0, 9))
+def test_equal_passages_share_all_signatures(texts, width, at):
+    common = list(range(100, 100 + width))
+    texts = [t[:at] + common + t[at:] for t in [list(range(40, 50)), *texts]]
+    own = compact_windows.Texts(list(range(len(texts))), [np.array(t, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for t in texts])
+    n, found = len(own.inside(width)), []
+    for t, begin in zip(texts, own.begins.tolist(), strict=True):
+        wanted = np.zeros(n, bool)
+        wanted[begin + t.index(100)] = True
+        key, place = own.signatures(3, 2, width, wanted)
+        assert len(key) == 3 and (t.index(100) <= place - begin).all() and (place - begin + compact_windows.SHINGLE <= t.index(100) + width).all()
+        found.append(set(key.tolist()))
+    assert all(keys == found[0] for keys in found)
 
 
 @pytest.mark.parametrize("width", [1, 2, 5, 25])

@@ -463,3 +463,40 @@ def test_recall_of_short_similar_passages(spark):
     missed = [i for i, n in pairs.items() if got[i] < min(n, 50)]
     assert not [i for i in missed if pairs[i] >= 50]
     assert all(got[i] == 0 for i in range(0, 320, 2))
+
+
+@pytest.mark.parametrize(("n", "changes"), [(50, 1), (60, 1), (80, 1), (100, 2), (150, 3)])
+def test_recall_of_similar_passages(spark, n, changes):
+    """Words changed, left out or put in anywhere; what is similar enough is found, among many others."""
+    rng, rows, similar = random.Random(n), [], set()
+    for k in range(150):
+        p = prose(40000 + 1000 * n + k, n).split()
+        other = list(p)
+        for at in sorted(rng.sample(range(n - 1), changes), reverse=True):
+            kind = rng.randrange(3)
+            other[at : at + (kind != 1)] = [] if kind == 2 else [f"new{at}"]
+        x, y = (set(zip(*(w[i:] for i in range(5)), strict=False)) for w in (p, other))
+        if len(x & y) >= 0.8 * len(x | y) and len(other) >= 50:
+            similar.add(2 * k + 1)
+        rows += [(2 * k + d, " ".join([prose(50000 + 2 * k + d, 40), *w, prose(60000 + 2 * k + d, 40)])) for d, w in ((0, p), (1, other))]
+    got = {r.doc_id: r.n_repeat_words for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert len(similar) >= 50 and sum(got[i] >= 0.9 * n for i in similar) >= 0.95 * len(similar)
+    assert not any(got[i] for i in got if i % 2 == 0)
+
+
+def test_copies_are_linked_once_and_negative_ids_count(spark):
+    text, part = prose(1, 90), prose(2, 70)
+    rows = [(-3, text), (1, text), (2, text), (5, f"{prose(3, 30)} {part}"), (6, f"{part} {prose(4, 30)}"), (7, f"{part} {prose(4, 30)}"), (8, prose(5, 49)), (9, prose(5, 49)), (None, text)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in compact_windows.passages(table).collect()}
+    assert [got[i].n_repeat_words for i in (-3, 1, 2, 5, 6, 7, 8, 9)] == [0, 90, 90, 0, 70, 100, 0, 0]
+    assert [got[i].class_id for i in (-3, 1, 2, 5, 6, 7, 8, 9)] == [-3, -3, -3, 5, 5, 5, 8, 9]
+    assert sorted(r.doc_id for r in compact_windows.without_repeats(table).collect() if r.doc_id is not None) == [-3, 5, 6, 8, 9]
+
+
+def test_large_groups_come_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"key": [1, 1, 2, 3, 3]}), pa.RecordBatch.from_pydict({"key": [3, 3, 3]}), pa.RecordBatch.from_pydict({"key": [3, 4]})]
+    whole = [(t.column("key").to_pylist(), b.tolist()) for t, b in compact_windows.groups(iter(batches), 1)]
+    assert [k for k, _ in whole] == [[1, 1, 2], [3] * 6, [4]] and sum(b[0] for _, b in whole) == 3
