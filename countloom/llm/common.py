@@ -33,6 +33,14 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8_list(column) -> list[bytes | None]:
     """A string column of a record batch as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()

@@ -1,118 +1,157 @@
-"""Benchmark decontamination over a positional inverted index of the documents.
-
-The index is sharded by document: a shard keeps, for every term that any benchmark
-window uses, its postings (positions in the shard, in order).  A window is answered from
-its rarest term in the shard: that term's positions less its offset are the candidate
-starts, and the other terms' postings, shifted by their offsets, are intersected with them,
-rarer ones first.  A shard knows its documents whole, so hits need no shuffle, however
-often a word or a passage occurs.  Benchmark windows travel to the shards in
-blocks of bounded size (BLOCK_BYTES of text each); every block sees every document.
+"""Benchmark decontamination over a stored positional inverted index of the documents.
+
+The index is a table of segments, each over some SEGMENT_BYTES of text: a segment has the sorted terms (hashed words)
+of its documents and the postings of each, its positions in the segment in order.  A benchmark window
+is answered in a segment from its rarest term: that term's positions less its offset are the candidate starts, and the
+other terms' postings, less their offsets, are intersected with them, rarer ones first; all windows go
+through these steps together, as arrays.  A segment knows its documents whole, so a hit needs no shuffle, however often
+a word or a passage occurs.
+
+A benchmark of up to BROADCAST_BYTES of text is sent to all segments, and each picks the rarest terms by its own
+counts.  A larger one stays a table: its windows are joined to the segments by the term that is rarest in
+the whole corpus, so that a segment gets those windows only that it can hold, in blocks of about BLOCK_WINDOWS.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import bounded_batches, utf8_list
+from countloom.llm.common import bounded_batches, cut, give_back, unused, utf8_list
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")  # on UTF-8 with A-Z lowered: every character outside ASCII is a word's
 WIDTH = 10
-#: Benchmark text in one block of the query set.
-BLOCK_BYTES = 2 << 20
-#: Documents' text in one shard of the index.
-SHARD_BYTES = 6 << 20
+#: Text of one segment.
+SEGMENT_BYTES = 4 << 20
+#: Benchmark text that may be collected and broadcast.
+BROADCAST_BYTES = 4 << 20
+#: Windows that one segment is asked for at a time, where the benchmark is larger.
+BLOCK_WINDOWS = 100_000
+#: Positions between two documents of a segment, so that nothing reaches from one into the next (twice the slop must be
+#: less), and room that a window may ask for beyond a segment's ends.
+GAP, ROOM = 32, 4096
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
     return WORDS.findall(raw.lower()) if raw else []
 
 
-class Queries:
-    """Windows of benchmark items, as rows of term numbers."""
-
-    def __init__(self, items: list[tuple[int, bytes | None]], width: int = WIDTH):
-        self.width = width
-        self.terms: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, raw in items:
-            words = [self.terms.setdefault(w, len(self.terms)) for w in words_of(raw)]
-            for start in range(max(1, len(words) - width + 1) if words else 0):
-                found.setdefault(tuple(words[start : start + width]), set()).add(item)
-        #: Distinct windows with the items that hold them.
-        self.windows = list(found)
-        self.items = list(found.values())
-
-
-class Shard:
-    """Postings of the query terms in some documents, one sequence of positions for all."""
-
-    def __init__(self, terms: np.ndarray, n_terms: int):
-        """`terms`: term numbers of all words, -1 for words no query uses and between documents."""
-        used = np.flatnonzero(terms >= 0)
-        order = np.argsort(terms[used], kind="stable")
-        self.positions = used[order]
-        self.counts = np.bincount(terms[used], minlength=n_terms)
-        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.starts[term] : self.starts[term + 1]]
-
-    def phrase(self, window: tuple[int, ...]) -> np.ndarray:
-        """Start positions of the window's exact occurrences."""
-        order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
-        starts = self.postings(window[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(starts):
-                break
-            other = self.postings(window[k])
-            at = np.searchsorted(other, starts + k)
-            at[at == len(other)] = 0
-            starts = starts[other[at] == starts + k]
-        return starts
-
-    def proximity(self, window: tuple[int, ...], slop: int) -> np.ndarray:
-        """Starts from which every term of the window stands within `slop` words of its place."""
-        order = sorted(range(len(window)), key=lambda k: self.counts[window[k]])
-        starts = np.unique((self.postings(window[order[0]]) - order[0])[:, None] + np.arange(-slop, slop + 1))
-        for k in order[1:]:
-            if not len(starts):
-                break
-            other = self.postings(window[k])
-            i = np.searchsorted(other, starts + k - slop)
-            i[i == len(other)] = 0
-            starts = starts[(other[i] >= starts + k - slop) & (other[i] <= starts + k + slop)]
-        return starts
-
-
-def search(texts: list[list[bytes]], queries: Queries, slop: int):
-    """Per document: hit spans, items found exactly, items found nearby."""
-    get, parts = queries.terms.get, []
-    gap = np.full(2 * slop + 1, -1, np.int32)  # so that nothing reaches into the next document
-    for words in texts:
-        parts += [np.fromiter((get(w, -1) for w in words), np.int32, len(words)), gap]
-    begins = np.concatenate([[0], np.cumsum(np.array([len(w) + len(gap) for w in texts], np.int64))])
-    shard = Shard(np.concatenate(parts) if parts else np.zeros(0, np.int32), len(queries.terms))
-    spans = [[] for _ in texts]
-    exact, near = [set() for _ in texts], [set() for _ in texts]
-    for window, items in zip(queries.windows, queries.items, strict=True):
-        if not all(shard.counts[t] for t in window):
-            continue
-        for p in shard.phrase(window).tolist():
-            doc = int(np.searchsorted(begins, p, side="right")) - 1
-            spans[doc].append((p - int(begins[doc]), p - int(begins[doc]) + len(window)))
-            exact[doc] |= items
-        if slop and len(window) > 1:
-            found = np.searchsorted(begins, shard.proximity(window, slop) + slop, side="right") - 1
-            for doc in np.unique(found).tolist():
-                near[doc] |= items
-    return spans, exact, near
+def terms_of(raw: bytes | None) -> np.ndarray:
+    """Hashes of the words, in order, as signed numbers."""
+    words = words_of(raw)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, member) for all members of ranges that begin at `starts`."""
+    which = np.repeat(np.arange(len(lengths)), lengths)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[which]
+
+
+class Windows:
+    """Distinct windows as rows of terms (shorter ones filled up with their first term), and the items that have each."""
+
+    def __init__(self, rows: dict[tuple[int, ...], set[int]], width: int = WIDTH):
+        self.length = np.array([len(w) for w in rows], np.int64)
+        self.terms = np.array([w + (w[0],) * (width - len(w)) for w in rows], np.int64).reshape(len(rows), width)
+        self.items = [sorted(i) for i in rows.values()]
+
+
+def windows_of(items: list[tuple[int, bytes | None]], width: int = WIDTH) -> dict[tuple[int, ...], set[int]]:
+    """Windows of benchmark items; an item of fewer words, but not none, is one."""
+    found: dict[tuple[int, ...], set[int]] = {}
+    for item, raw in items:
+        terms = terms_of(raw).tolist()
+        for start in range(max(1, len(terms) - width + 1) if terms else 0):
+            found.setdefault(tuple(terms[start : start + width]), set()).add(item)
+    return found
+
+
+class Segment:
+    """Terms in order, where the postings of each begin, and all postings; documents by their first positions."""
+
+    def __init__(self, begins: np.ndarray, lengths: np.ndarray, terms: np.ndarray, starts: np.ndarray, positions: np.ndarray):
+        self.begins, self.lengths, self.terms, self.starts, self.positions = begins, lengths, terms, starts.astype(np.int64), positions
+        self.counts = np.diff(self.starts)
+        #: Postings as one sorted sequence: the term's number, then the position.
+        self.size = np.int64((int(begins[-1]) + int(lengths[-1]) if len(begins) else 0) + 4 * ROOM)
+        self.keys = np.repeat(np.arange(len(terms)), self.counts) * self.size + positions + ROOM
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray]) -> Segment:
+        """The segment of some documents' terms."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(lengths + GAP) - lengths - GAP
+        every = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+        place = np.arange(len(every)) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        return cls(begins, lengths, every[new], np.append(new, len(every)), place[order])
+
+    def within(self, term: np.ndarray, low: np.ndarray, slop: int) -> np.ndarray:
+        """Whether the term of each number has a position from `low` to `low` + 2 * slop."""
+        key = term * self.size + low + ROOM
+        at = np.searchsorted(self.keys, key)
+        found = at < len(self.keys)
+        found[found] = self.keys[at[found]] <= key[found] + 2 * slop
+        return found
+
+    def search(self, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(window, start) of all places from which each term of a window stands within `slop` words of its place."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.terms) or not len(windows.terms):
+            return nothing
+        number = np.searchsorted(self.terms, windows.terms)
+        number[number == len(self.terms)] = 0
+        alive = np.flatnonzero((self.terms[number] == windows.terms).all(axis=1))
+        if not len(alive):
+            return nothing
+        number, length = number[alive], windows.length[alive]
+        offsets = np.arange(number.shape[1])
+        offsets = np.where(offsets < length[:, None], offsets, 0)  # the filling asks for the first term again
+        order = np.argsort(self.counts[number], axis=1, kind="stable")
+        number, offsets = np.take_along_axis(number, order, 1), np.take_along_axis(offsets, order, 1)
+        which, at = spread(self.starts[number[:, 0]], self.counts[number[:, 0]])
+        start = self.positions[at].astype(np.int64) - offsets[which, 0]
+        if slop:
+            which, start = np.repeat(which, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            both = np.unique(which * (4 * self.size) + start + self.size)
+            which, start = both // (4 * self.size), both % (4 * self.size) - self.size
+        for k in range(1, number.shape[1]):
+            keep = self.within(number[which, k], start + offsets[which, k] - slop, slop)
+            which, start = which[keep], start[keep]
+        return alive[which], start
+
+    def document(self, position: np.ndarray) -> np.ndarray:
+        """Number of the document that a position lies in."""
+        return np.searchsorted(self.begins, position, side="right") - 1
+
+    def matches(self, windows: Windows, slop: int) -> dict[int, tuple[list, set, set]]:
+        """Document number: (exact spans, items found exactly, items found nearby), where there are any."""
+        out: dict[int, tuple[list, set, set]] = {}
+        which, start = self.search(windows)
+        doc = self.document(start)
+        first = start - self.begins[doc] if len(doc) else start
+        for d, w, a in zip(doc.tolist(), which.tolist(), first.tolist(), strict=True):
+            own = out.setdefault(d, ([], set(), set()))
+            own[0].append((a, a + int(windows.length[w])))
+            own[1].update(windows.items[w])
+        if slop:
+            which, start = self.search(windows, slop)
+            long = windows.length[which] > 1
+            which, start = which[long], start[long]
+            near = np.unique(np.stack([self.document(start + slop), which]), axis=1)
+            for d, w in near.T.tolist():
+                out.setdefault(d, ([], set(), set()))[2].update(windows.items[w])
+        return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,64 +165,175 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+SEGMENTS = "segment bigint, docs array<bigint>, begins array<int>, lengths array<int>, terms array<bigint>, starts array<int>, positions array<int>"
+KINDS = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())
+NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
+
+
+def slices(raw: list[bytes | None], most: int):
+    """Ranges of texts of about `most` bytes together."""
+    start = size = 0
+    for i, t in enumerate(raw):
+        size += len(t or b"")
+        if size >= most or i + 1 == len(raw):
+            yield start, i + 1
+            start, size = i + 1, 0
+
+
+def _index(batches):
+    """Segments over the documents of a task."""
+    number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+    def segment():
+        s = Segment.of(texts)
+        columns = number, ids, s.begins, s.lengths, s.terms, s.starts, s.positions
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
+
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1)), strict=True):
+            ids.append(i)
+            texts.append(terms_of(t))
+            size += len(t or b"") + 64
+            if size >= SEGMENT_BYTES:
+                yield segment()
+                number, ids, texts, size = number + 1, [], [], 0
+    if ids:
+        yield segment()
+    give_back()
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """The index of all rows of `docs` as a table of segments, which may be stored and searched any time."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_index, SEGMENTS)
+
+
+def _segments(batch):
+    """(number, ids, segment) of stored rows."""
+    for k in range(batch.num_rows):
+        row = [batch.column(n)[k] for n in NAMES]
+        own = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in row[2:]]
+        yield row[0].as_py(), row[1].values, Segment(own[0].astype(np.int64), own[1].astype(np.int64), *own[2:])
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-MATCHES = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<bigint>, near_items array<bigint>"
+LONGS = pa.list_(pa.int64())
+FOUND = "spans array<struct<start:int,end:int>>, items array<bigint>, near_items array<bigint>"
+MATCHES = f"doc_id bigint, n_words bigint, {FOUND}"
+
 
+def _all(found: dict, which) -> list[pa.Array]:
+    """Spans and items of documents, by number."""
+    none = [], (), ()
+    rows = [found.get(d, none) for d in which]
+    spans = pa.array([[{"start": a, "end": b} for a, b in merged(r[0])] for r in rows], SPANS)
+    return [spans, *(pa.array([sorted(r[k]) for r in rows], LONGS) for k in (1, 2))]
 
-def _run(blocks, slop, batches):
+
+def _search(sent, slop, batches):
+    """One row for each document of a segment."""
     for batch in batches:
-        ids, raw = batch.column(0), utf8_list(batch.column(1))
-        start = size = 0
-        for i, t in enumerate(raw):
-            size += len(t or b"")
-            if size < SHARD_BYTES and i + 1 < len(raw):
-                continue
-            texts = [words_of(t) for t in raw[start : i + 1]]
-            spans, exact, near = [[] for _ in texts], [set() for _ in texts], [set() for _ in texts]
-            for block in blocks:
-                for k, (s, e, n) in enumerate(zip(*search(texts, block.value, slop), strict=True)):
-                    spans[k] += s
-                    exact[k] |= e
-                    near[k] |= n
-                if len(blocks) > 1:  # read again for the next shard: one block in memory at a time
-                    block.__dict__.pop("_value", None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(start, i + 1 - start),
-                    pa.array([len(w) for w in texts], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in merged(s)] for s in spans], SPANS),
-                    pa.array([sorted(x) for x in exact], pa.list_(pa.int64())),
-                    pa.array([sorted(x) for x in near], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "n_words", "spans", "items", "near_items"],
-            )
-            start, size = i + 1, 0
+        for _, ids, segment in _segments(batch):
+            found = segment.matches(sent.value, slop)
+            columns = [ids, pa.array(segment.lengths), *_all(found, range(len(ids)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items", "near_items"])
 
 
-def send(spark: SparkSession, benchmark: DataFrame, width: int) -> list:
-    """The benchmark's windows as broadcast blocks of about BLOCK_BYTES of text."""
-    bounded_batches(spark)
-    own = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].alias("text")).filter("item_id is not null and text is not null")
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES) or 1
-    sent = []
-    for block in range(blocks):
-        part = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        sent.append(spark.sparkContext.broadcast(Queries([(r.item_id, r.text.encode()) for r in part.toLocalIterator()], width)))
-    return sent
+def _search_own(slop, width, batches):
+    """Rows of the documents that windows joined to a segment match."""
+    for batch in batches:
+        asked = batch.column("asked").to_pylist()
+        for (number, _, segment), own in zip(_segments(batch), asked, strict=True):
+            found = segment.matches(Windows({tuple(a["w"]): set(a["items"]) for a in own}, width), slop)
+            docs = sorted(found)
+            columns = [pa.array([number] * len(docs), pa.int64()), pa.array(docs, pa.int32()), *_all(found, docs)]
+            yield pa.RecordBatch.from_arrays(columns, ["segment", "k", "spans", "items", "near_items"])
+
+
+def _windows(width, batches):
+    for batch in batches:
+        found = windows_of(list(zip(batch.column(0).to_pylist(), utf8_list(batch.column(1)), strict=True)), width)
+        rows = [(list(w), i) for w, items in found.items() for i in items]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], LONGS), pa.array([r[1] for r in rows], pa.int64())], ["w", "item"])
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].alias("text")).filter("item_id is not null and text is not null")
+
+
+def send(benchmark: DataFrame, width: int):
+    """The benchmark's windows as a broadcast, or None if its text is larger than BROADCAST_BYTES."""
+    own = _items(benchmark)
+    if (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > BROADCAST_BYTES:
+        return None
+    rows = [(r["item_id"], r["text"].encode()) for r in own.collect()]  # of checked size
+    return benchmark.sparkSession.sparkContext.broadcast(Windows(windows_of(rows, width), width))
+
+
+def _joined(segments: DataFrame, benchmark: DataFrame, width: int, slop: int) -> DataFrame:
+    """(segment, k, spans, items, near_items) of the documents with matches, by a join on the windows' rarest terms."""
+    windows = _items(benchmark).mapInArrow(functools.partial(_windows, width), "w array<bigint>, item bigint")
+    windows = cut(windows.groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    blocks = -(-windows.count() // BLOCK_WINDOWS) or 1
+    wanted = windows.select("w", F.explode(F.array_distinct("w")).alias("term"))
+    size = F.zip_with(F.slice("starts", 1, F.size("terms")), F.slice("starts", 2, F.size("terms")), lambda a, b: b - a)
+    held = segments.filter(F.size("terms") > 0).select("segment", F.explode(F.arrays_zip("terms", size.alias("n"))).alias("t"))
+    held = held.select("segment", F.col("t.terms").alias("term"), F.col("t.n").alias("n")).join(wanted.select("term").distinct(), "term")
+    often = held.groupBy("term").agg(F.sum("n").alias("n"))
+    rarest = wanted.join(often, "term").groupBy("w").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.count("*").alias("present"))
+    rarest = rarest.filter(F.col("present") == F.size(F.array_distinct("w"))).select("w", "term")
+    seeds = windows.join(rarest, "w")
+    asked = held.select("segment", "term").join(seeds, "term").select("segment", F.pmod(F.xxhash64("w"), F.lit(blocks)).alias("block"), F.struct("w", "items").alias("a"))
+    asked = asked.groupBy("segment", "block").agg(F.collect_list("a").alias("asked")).drop("block")
+    found = segments.join(asked, "segment").select(*NAMES, "asked").mapInArrow(functools.partial(_search_own, slop, width), f"segment bigint, k int, {FOUND}")
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    items, near = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) for c in ("items", "near_items"))
+    return found.groupBy("segment", "k").agg(spans.alias("spans"), items.alias("items"), near.alias("near_items"))
+
+
+def _disjoint(spans: Column) -> Column:
+    """Sorted spans merged where they overlap or touch."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(done, s):
+        last = F.element_at(done, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, none, add)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop: int = 3) -> DataFrame:
     """(doc_id, n_words, spans, items, near_items) of every row.
 
     spans: disjoint word ranges that exact windows cover; items: sorted item_ids with an
-    exact window; near_items: those with a window each of whose words stands within `slop`
-    words of its place.  Null and empty texts have no words and nothing matches them; items
+    exact window; near_items (with slop): those with a window of two words or more each of whose words stands within
+    `slop` words of its place.  Null and empty texts have no words and nothing matches them; items
     without an id or without words match nothing; items of one id are taken together; a
-    repeated document gives a row each time; other columns are not read.
+    repeated document gives a row each time; very long texts are searched whole; empty
+    tables give no rows, or rows without matches; other columns, whatever their names, are not read.
     """
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(functools.partial(_run, send(docs.sparkSession, benchmark, width), slop), MATCHES)
+    return search(cut(index(docs)), benchmark, width=width, slop=slop)
+
+
+def search(segments: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop: int = 3) -> DataFrame:
+    """matches() of the documents that a stored index holds."""
+    if not 0 <= 2 * slop < GAP or not 0 < width <= ROOM // 2:
+        raise ValueError(f"slop must be below {GAP // 2}, width at most {ROOM // 2}")
+    bounded_batches(segments.sparkSession)
+    sent = send(benchmark, width)
+    if sent is not None:
+        return segments.mapInArrow(functools.partial(_search, sent, slop), MATCHES)
+    found = _joined(segments, benchmark, width, slop)
+    each = segments.select("segment", F.posexplode(F.arrays_zip("docs", "lengths")).alias("k", "d"))
+    empty = F.array().cast("array<bigint>")
+    return each.join(found, ["segment", "k"], "left").select(
+        F.col("d.docs").alias("doc_id"),
+        F.col("d.lengths").cast("bigint").alias("n_words"),
+        _disjoint(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))).alias("spans"),
+        F.coalesce("items", empty).alias("items"),
+        F.coalesce("near_items", empty).alias("near_items"),
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop: int = 0) -> DataFrame:
@@ -217,26 +367,27 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join covered using (doc_id) left join items using (doc_id)"""
 
 
-def _keep(blocks, text_at, batches):
+def _keep(sent, text_at, batches):
     for batch in batches:
         raw = utf8_list(batch.column(text_at))
         kept = np.ones(len(raw), bool)
-        start = size = 0
-        for i, t in enumerate(raw):
-            size += len(t or b"")
-            if size < SHARD_BYTES and i + 1 < len(raw):
-                continue
-            texts = [words_of(t) for t in raw[start : i + 1]]
-            for block in blocks:
-                spans, _, _ = search(texts, block.value, 0)
-                kept[start : i + 1] &= [not s for s in spans]
-                if len(blocks) > 1:
-                    block.__dict__.pop("_value", None)
-            start, size = i + 1, 0
+        for start, stop in slices(raw, SEGMENT_BYTES):
+            segment = Segment.of([terms_of(t) for t in raw[start:stop]])
+            kept[start + segment.document(segment.search(sent.value)[1])] = False
         yield batch.filter(pa.array(kept))
+    give_back()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """The rows of `docs`, all columns, in which no window occurs."""
-    blocks = send(docs.sparkSession, benchmark, width)
-    return docs.mapInArrow(functools.partial(_keep, blocks, docs.columns.index("text")), docs.schema)
+    """The rows of `docs`, all columns, in which no window occurs.
+
+    Null and empty texts stay.  Each row is judged by itself, repeated ones alike, as long as the benchmark is small enough to
+    be sent to the rows; else rows that share a doc_id with a contaminated one go with it, and rows without an id stay.
+    """
+    bounded_batches(docs.sparkSession)
+    sent = send(benchmark, width)
+    if sent is not None:
+        return docs.mapInArrow(functools.partial(_keep, sent, docs.columns.index("text")), docs.schema)
+    leaks = matches(docs, benchmark, width=width, slop=0).filter(F.size("spans") > 0).select("doc_id").distinct()
+    name = unused(docs, "leak")
+    return docs.join(leaks.withColumnRenamed("doc_id", name), docs["doc_id"].cast("bigint") == F.col(name), "left_anti")

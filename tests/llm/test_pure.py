@@ -214,12 +214,26 @@ def test_alignment_bridges_longer_changes(own, other):
 
 def test_phrases_and_neighbourhoods():
     items = [(1, b"a b c d e f g h i j k"), (2, b"tiny item"), (3, b""), (4, None), (5, b"a b c d e f g h i j")]
-    queries = positional_index.Queries(items)
-    texts = [positional_index.words_of(t) for t in (b"x A b c d e f g h i j y", b"a tiny, item a tiny item", b"", b"b a c d e f g h i j", b"a b c d e f g h i")]
-    spans, exact, near = positional_index.search(texts, queries, 3)
-    assert [positional_index.merged(s) for s in spans] == [[(1, 11)], [(1, 3), (4, 6)], [], [], []]
-    assert exact == [{1, 5}, {2}, set(), set(), set()]
-    assert near[3] == {1, 5} and not near[2] and not near[4]
+    windows = positional_index.Windows(positional_index.windows_of(items))
+    texts = [positional_index.terms_of(t) for t in (b"x A b c d e f g h i j y", b"a tiny, item a tiny item", b"", b"b a c d e f g h i j", b"a b c d e f g h i")]
+    found = positional_index.Segment.of(texts).matches(windows, 3)
+    assert {d: positional_index.merged(f[0]) for d, f in found.items() if f[0]} == {0: [(1, 11)], 1: [(1, 3), (4, 6)]}
+    assert {d: f[1] for d, f in found.items() if f[1]} == {0: {1, 5}, 1: {2}}
+    assert found[3][2] == {1, 5} and 2 not in found and 4 not in found
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=30), max_size=6), st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=4), max_size=6), st.integers(0, 3))
+def test_segments_find_all_places(texts, windows, slop):
+    segment = positional_index.Segment.of([np.array(t, np.int64) for t in texts])
+    which, start = segment.search(positional_index.Windows({tuple(w): {0} for w in windows}, 4), slop)
+    rows, want = list({tuple(w): 0 for w in windows}), set()
+    for k, w in enumerate(rows):
+        for d, t in enumerate(texts):
+            for s in range(-10, len(t) + 10):
+                if all(any(0 <= p < len(t) and t[p] == x for p in range(s + j - slop, s + j + slop + 1)) for j, x in enumerate(w)):
+                    want.add((k, int(segment.begins[d]) + s))
+    assert set(zip(which.tolist(), start.tolist(), strict=True)) == want
 
 
 # classifiers

@@ -226,13 +226,20 @@ def test_op9(spark, sf_dir, docs, items, odd, monkeypatch):
     assert got.contaminated.any()
     near = positional_index.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=3).toPandas()
     assert (near.n_near_items >= near.n_items).all() and near.n_items.sum() == got.n_items.sum()
-    # small blocks and shards, odd rows
-    monkeypatch.setattr(positional_index, "BLOCK_BYTES", 50)
+    # odd rows, then all of it with a benchmark that is joined in small blocks
     windows = windows_of((r.item_id, r.text) for r in items.collect() if r.item_id is not None)
-    rows = positional_index.contamination(odd, items).collect()
     want = Counter((r.doc_id, *brute_hits(r.text, windows)) for r in odd.collect())
-    assert Counter((r.doc_id, *(r[n] for n in names)) for r in rows) == want
+    for part in (odd, odd.repartition(7)):
+        rows = positional_index.contamination(part, items).collect()
+        assert Counter((r.doc_id, *(r[n] for n in names)) for r in rows) == want
     assert Counter(r.doc_id for r in positional_index.clean(odd, items).collect()) == Counter(k[0] for k in want.elements() if not k[-1])
+    monkeypatch.setattr(positional_index, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(positional_index, "BLOCK_WINDOWS", 500)
+    rows = positional_index.contamination(odd, items).collect()
+    assert Counter((r.doc_id, *(r[n] for n in names)) for r in rows) == want
+    joined = positional_index.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=3).toPandas()
+    assert joined.sort_values("doc_id").reset_index(drop=True).equals(near.sort_values("doc_id").reset_index(drop=True))
+    assert Counter(r.doc_id for r in positional_index.clean(odd, items).filter("doc_id is not null").collect()) == Counter(k[0] for k in want.elements() if not k[-1] and k[0] is not None)
 
 
 @pytest.mark.parametrize(("name", "label"), [("op3_crf_toxicity", "toxic"), ("op10_ftrl_quality", "quality")])
