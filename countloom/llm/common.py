@@ -22,10 +22,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Removes a query's shuffle files at its end, where the session knows it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise into the shared checkpoint folder; losing executors loses nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Materialise into the shared checkpoint folder; losing executors loses nothing.
+
+    The shuffles that led there are not needed any more and give their disk back at once.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
