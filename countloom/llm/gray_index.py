@@ -1,4 +1,4 @@
-"""A Hamming-distance index over fingerprints in Gray order, for one block of them.
+"""A Hamming-distance index over fingerprints in Gray order, for one range of them.
 
 Sorted by Gray rank, neighbours differ in few bits.  Runs of FAN neighbours share a
 node that keeps the bits on which they agree; what an upper node holds is factored
@@ -73,19 +73,15 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
             label = label[label]
 
 
-def linked(words: np.ndarray, limit: int, block: int = 256) -> np.ndarray:
+def linked(words: np.ndarray, limit: int, block: int = 512) -> np.ndarray:
     """Root number of each word: two words share it if a chain of near words joins them."""
-    n = len(words)
-    if n <= 24:
-        a, b = np.nonzero(np.bitwise_count(words[:, None] ^ words[None, :]) <= limit)
-        return roots(n, a, b)
     order = np.argsort(gray_rank(words), kind="stable")
-    index, label = GrayIndex(words[order]), np.arange(n)
-    for start in range(0, n, block):
+    index, label = GrayIndex(words[order]), np.arange(len(words))
+    for start in range(0, len(words), block):
         q, found = index.search(words[order[start : start + block]], limit)
         q += start
         keep = found > q
-        label = roots(n, q[keep], found[keep], label)
-    out = np.empty(n, np.int64)
+        label = roots(len(words), q[keep], found[keep], label)
+    out = np.empty(len(words), np.int64)
     out[order] = order[label]
     return out
