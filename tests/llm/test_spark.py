@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from countloom.llm import compact_windows, components, crf_toxicity, ftrl_quality, license_rules, positional_index, quality_rules, registry, simhash, template_html, trie_bpe, unigram_trie
 
@@ -306,6 +307,34 @@ def test_odd_rows(spark, odd, none, marks, items):
         assert scored.count() == n and scored.filter("score is null or predicted is null").count() == 0
 
 
+CLASHES = ["id", "id_", "spans", "copy", "leak", "row", "verdict", "words", "lines", "buckets", "score", "at", "node", "fp", "key", "place", "kind", "rep", "marks", "__text", "__words", "__id", "__spans", "__copy", "__h"]
+
+
+def test_clashing_names_and_stages(spark, odd, marks, items, sf_dir):
+    """Every stage and operator on columns with names that are used inside, which come back as they were."""
+    wide = odd.drop("fp", "key", "n_repeat_words").select("*", *(F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+    part = spark.createDataFrame([(20, f"{prose(1, 60)} {prose(31, 40)}"), (21, f"{prose(32, 40)} {prose(9, 12)}"), (22, prose(33, 50))], "doc_id bigint, text string")
+    wide = wide.unionByName(part, allowMissingColumns=True)
+    before = {(r.doc_id, r.text): r.asDict() for r in wide.collect()}
+    stages = {
+        "rules": quality_rules.keep_good(wide, marks),
+        "near": simhash.without_copies(wide),
+        "passages": compact_windows.without_repeats(wide),
+        "leaks": positional_index.clean(wide, items),
+    }
+    for name, got in stages.items():
+        rows = got.collect()
+        assert got.schema.names == wide.schema.names and rows
+        for r in rows:
+            assert all(r[c] is None or r[c] == f"{c} of {r.doc_id}" for c in CLASHES)
+            assert name == "passages" or before[r.doc_id, r.text] == r.asDict()
+    assert {r.doc_id for r in stages["leaks"].collect()}.isdisjoint({4, 5, 6, 20, 21})
+    assert {r.text for r in stages["passages"].collect() if r.doc_id == 20} == {prose(31, 40)}
+    n = wide.count()
+    for got in (trie_bpe.encode(wide, BPE), unigram_trie.token_counts(wide, PIECES), license_rules.scan(wide), quality_rules.rules(wide, marks), simhash.near_duplicates(wide), compact_windows.passages(wide), positional_index.contamination(wide, items), ftrl_quality.score(wide, ftrl_quality.train(wide, marks)), crf_toxicity.score(wide, crf_toxicity.train(wide, marks))):
+        assert got.count() == n
+
+
 def test_empty_tables(spark, none, marks, items):
     no_marks, no_items = marks.limit(0), items.limit(0)
     results = [
