@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences, which are normalised and mapped to the identifiers of known licence
-sentences; sequences of identifiers are matched against ordered licence rules.  A rule
+sentences: by the dictionary of whole sentences, else by phrases, for sentences that only refer to a licence or
+name a holder.  Sequences of identifiers are matched against ordered licence rules.  A rule
 takes the identifiers it matches, so a later, more general rule does not see them again; what
 no rule explains is reported as unknown.  Everything happens within a row.
 """
@@ -15,13 +16,83 @@ from pyspark.sql import DataFrame
 
 from countloom.llm.common import bounded_batches, utf8_list
 
-# Known licence sentences after normalisation, most specific first.
+# Sentences of licences and of their usual notices, cut where the scan cuts.
+WHOLE = """
+mit_grant: Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions
+mit_notice: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software
+as_is: THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT
+mit_liability: IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE
+isc_grant: Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies
+isc_grant: Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies
+zero_bsd_grant: Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
+isc_disclaimer: THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
+isc_liability: IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE
+bsd_redistribution: Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+bsd_source: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
+bsd_binary: Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution
+bsd_endorsement: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+bsd_disclaimer: THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED
+bsd_liability: IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES
+bsd_loss: LOSS OF USE, DATA, OR PROFITS
+bsd_cause: OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE
+zlib_warranty: This software is provided 'as-is', without any express or implied warranty
+zlib_liability: In no event will the authors be held liable for any damages arising from the use of this software
+zlib_grant: Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions
+zlib_origin: The origin of this software must not be misrepresented
+zlib_claim: you must not claim that you wrote the original software
+zlib_altered: Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software
+zlib_notice: This notice may not be removed or altered from any source distribution
+unlicense_release: This is free and unencumbered software released into the public domain
+unlicense_grant: Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means
+unlicense_dedication: In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain
+unlicense_benefit: We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
+unlicense_act: We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law
+boost_grant: Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following
+apache2_reference: Licensed under the Apache License, Version 2.0 (the "License")
+apache_compliance: you may not use this file except in compliance with the License
+apache_basis: Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied
+apache_specific: See the License for the specific language governing permissions and limitations under the License
+gpl_free: This program is free software
+gpl2_or_later: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version
+gpl2_or_later: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation
+gpl3_or_later: it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
+gpl3_or_later: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
+lgpl21_or_later: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation
+lgpl21_version: either version 2.1 of the License, or (at your option) any later version
+gpl2_version: either version 2 of the License, or (at your option) any later version
+lgpl3_or_later: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
+agpl3_or_later: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
+lgpl_free: This library is free software
+gpl_hope: This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY
+lgpl_hope: This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY
+gpl_warranty: without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE
+gpl_details: See the GNU General Public License for more details
+lgpl_details: See the GNU Lesser General Public License for more details
+agpl_details: See the GNU Affero General Public License for more details
+gpl_copy: You should have received a copy of the GNU General Public License along with this program
+lgpl_copy: You should have received a copy of the GNU Lesser General Public License along with this library
+agpl_copy: You should have received a copy of the GNU Affero General Public License along with this program
+mpl2_header: This Source Code Form is subject to the terms of the Mozilla Public License, v
+mpl2_copy: If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/
+mpl2_copy: If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/
+epl2_header: This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/
+perl_terms: you can redistribute it and/or modify it under the same terms as Perl itself
+cc0_waiver: To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work
+cc_by_reference: This work is licensed under a Creative Commons Attribution 4.0 International License
+cc_by_sa_reference: This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License
+cc_by_nc_reference: This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License
+cc_by_nd_reference: This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License
+"""
+
+# Phrases of sentences that vary, after normalisation, most specific first.
 SENTENCES = [
     ("apache2_reference", r"licensed under the apache license version 2\.0"),
     ("apache_reference", r"licensed under the apache license"),
     ("apache_compliance", r"you may not use this file except in compliance with the license"),
     ("apache_copy", r"you may obtain a copy of the license at"),
     ("apache_basis", r"distributed on an as is basis"),
+    ("boost_reference", r"(distributed|licensed) under the boost software license version 1\.0"),
+    ("epl2_reference", r"eclipse public license (version |v ?)?2\.0"),
     ("agpl3_reference", r"gnu affero general public license version 3"),
     ("lgpl3_reference", r"gnu lesser general public license version 3"),
     ("lgpl2_reference", r"gnu lesser general public license version 2"),
@@ -50,35 +121,55 @@ SENTENCES = [
 
 # Ordered rules; identifiers stand between commas, optional ones in brackets with a question mark.
 RULES = [
-    ("BSD-3-Clause", r",(?:bsd_redistribution,)?bsd_source,bsd_binary,bsd_endorsement,(?:bsd_disclaimer,)?"),
-    ("BSD-2-Clause", r",(?:bsd_redistribution,)?bsd_source,bsd_binary,(?:bsd_disclaimer,)?"),
-    ("MIT", r",(?:mit_reference,)?mit_grant,mit_notice,(?:as_is,)?"),
-    ("Apache-2.0", r",apache2_reference,(?:apache_compliance,)?(?:apache_copy,)?(?:apache_basis,)?"),
+    ("BSD-3-Clause", r",(?:bsd_redistribution,)?bsd_source,bsd_binary,bsd_endorsement,(?:bsd_disclaimer,)?(?:bsd_liability,)?(?:bsd_loss,)?(?:bsd_cause,)?"),
+    ("BSD-2-Clause", r",(?:bsd_redistribution,)?bsd_source,bsd_binary,(?:bsd_disclaimer,)?(?:bsd_liability,)?(?:bsd_loss,)?(?:bsd_cause,)?"),
+    ("MIT", r",(?:mit_reference,)?mit_grant,mit_notice,(?:as_is,)?(?:mit_liability,)?"),
+    ("ISC", r",isc_grant,(?:isc_disclaimer,)?(?:isc_liability,)?"),
+    ("0BSD", r",zero_bsd_grant,(?:isc_disclaimer,)?(?:isc_liability,)?"),
+    ("Zlib", r",zlib_warranty,(?:zlib_liability,)?zlib_grant,(?:zlib_origin,)?(?:zlib_claim,)?(?:zlib_altered,)?(?:zlib_notice,)?"),
+    ("Unlicense", r",unlicense_release,unlicense_grant,(?:unlicense_dedication,)?(?:unlicense_benefit,)?(?:unlicense_act,)?(?:as_is,)?(?:mit_liability,)?"),
+    ("BSL-1.0", r",(?:boost_reference,)?boost_grant,(?:as_is,)?"),
+    ("BSL-1.0", r",boost_reference,"),
+    ("Apache-2.0", r",apache2_reference,(?:apache_compliance,)?(?:apache_copy,)?(?:apache_basis,)?(?:apache_specific,)?"),
     ("AGPL-3.0", r",agpl3_reference,(?:gpl_warranty,)?"),
+    ("AGPL-3.0-or-later", r",(?:gpl_free,)?agpl3_or_later,(?:gpl_hope,)?(?:gpl_warranty,)?(?:agpl_details,)?(?:agpl_copy,)?"),
     ("LGPL-3.0", r",lgpl3_reference,(?:gpl_warranty,)?"),
+    ("LGPL-3.0-or-later", r",(?:lgpl_free,)?lgpl3_or_later,(?:lgpl_hope,)?(?:gpl_warranty,)?(?:lgpl_details,)?(?:lgpl_copy,)?"),
     ("LGPL-2.1", r",lgpl2_reference,(?:gpl_warranty,)?"),
+    ("LGPL-2.1-or-later", r",(?:lgpl_free,)?lgpl21_or_later,lgpl21_version,(?:lgpl_hope,)?(?:gpl_warranty,)?(?:lgpl_details,)?(?:lgpl_copy,)?"),
+    ("GPL-3.0-or-later", r",(?:gpl_free,)?gpl3_or_later,(?:gpl_hope,)?(?:gpl_warranty,)?(?:gpl_details,)?(?:gpl_copy,)?"),
+    ("GPL-2.0-or-later", r",(?:gpl_free,)?gpl2_or_later,(?:gpl2_version,)?(?:gpl_hope,)?(?:gpl_warranty,)?(?:gpl_details,)?(?:gpl_copy,)?"),
     ("GPL-or-later", r",gpl_later,(?:gpl_warranty,)?"),
     ("GPL-3.0", r",gpl3_reference,(?:gpl_warranty,)?"),
     ("GPL-2.0", r",gpl2_reference,(?:gpl_warranty,)?"),
     ("MIT", r",mit_reference,(?:as_is,)?"),
-    ("MPL-2.0", r",mpl2_reference,"),
+    ("MPL-2.0", r",mpl2_header,(?:mpl2_copy,)?"),
+    ("MPL-2.0", r",mpl2_reference,(?:mpl2_copy,)?"),
+    ("EPL-2.0", r",epl2_header,"),
+    ("EPL-2.0", r",epl2_reference,"),
+    ("Artistic-1.0-Perl OR GPL", r",perl_terms,"),
+    ("CC0-1.0", r",cc0_waiver,"),
     ("CC0-1.0", r",cc0_reference,"),
     ("CC-BY-NC-4.0", r",cc_by_nc_reference,"),
     ("CC-BY-SA-4.0", r",cc_by_sa_reference,"),
     ("CC-BY-ND-4.0", r",cc_by_nd_reference,"),
     ("CC-BY-4.0", r",cc_by_reference,"),
+    ("Unlicense", r",unlicense_release,"),
     ("public-domain", r",public_domain,"),
     ("unknown", r",(?:[a-z0-9_]+,)+"),
 ]
 
 # Every known sentence holds one of these, so other texts need no cutting.  A blank stands for
 # all that normalisation turns into one: line breaks, hyphens and other marks.
-TRIGGERS = ("licen", "redistribut", "permission", "copyright notice", "warrant", "this software", "cc0", "endorse", "public domain", "as is")
+TRIGGERS = (
+    "licen", "redistribut", "permission", "copyright notice", "warrant", "this software", "cc0", "endorse", "public domain", "as is", "in no event",
+    "loss of use", "original software", "this notice", "dedication", "free software", "perl itself", "of the mpl",
+)
 
 TRIGGER = re.compile("|".join(TRIGGERS).replace(" ", "[^a-z0-9.]+").encode(), re.IGNORECASE)
 END = re.compile(r"[.!?;:](?=[ \t\n\r]|$)|\n[ \t\r]*\n")
 OTHER = re.compile(r"[^a-z0-9.]+")
-KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+PHRASES = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 ORDERED = [(name, re.compile(pattern)) for name, pattern in RULES]
 
 
@@ -93,13 +184,15 @@ def sentences(text: str) -> list[str]:
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
+#: Identifiers by normalised sentence.
+KNOWN = {plain: name for name, sentence in (line.split(": ", 1) for line in WHOLE.strip().split("\n")) for plain in sentences(sentence)}
 
 
 def identify(text: str) -> list[str]:
-    """Identifiers of the known sentences, in order; the first fitting pattern names a sentence."""
+    """Identifiers of the known sentences, in order; of a sentence not in the dictionary the first fitting phrase tells."""
     found = []
     for s in sentences(text):
-        name = next((name for name, pattern in KNOWN if pattern.search(s)), None)
+        name = KNOWN.get(s) or next((name for name, pattern in PHRASES if pattern.search(s)), None)
         if name:
             found.append(name)
     return found
@@ -133,8 +226,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences) of every row.
 
     sentence_ids: comma-joined identifiers in text order; licences: comma-joined names in rule
-    order, "unknown" for sentences no rule takes; both empty without any, also for null and empty texts.
-    Repeated rows are judged alike; other columns are not read.
+    order, "unknown" for sentences no rule takes; both empty without any, also for null and empty texts; very long texts
+    are scanned whole.  Repeated rows are judged alike; other columns, whatever their names, are not read; an empty table
+    has no rows.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
@@ -155,11 +249,13 @@ def oracle_sql() -> str:
         seen.append(name)
         own = " or ".join(f"m{j}" for j, (other, _) in enumerate(RULES) if other == name)
         columns.append(f"case when {own} then '{name}' end")
+    whole = ", ".join(f"('{plain}', '{name}')" for plain, name in KNOWN.items())
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lowered = f"translate(part, '{letters}', '{letters.lower()}')"
     return f"""with parts as (select doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]([ \\t\\n\\r]|$)', chr(1) || '\\1', 'g'), '\\x01|\\n[ \\t\\r]*\\n')) as part, generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]([ \\t\\n\\r]|$)', chr(1) || '\\1', 'g'), '\\x01|\\n[ \\t\\r]*\\n'), 1) as i from documents),
 plain as (select doc_id, i, trim(regexp_replace({lowered}, '[^a-z0-9.]+', ' ', 'g'), ' .') as s from parts),
-named as (select doc_id, i, case {case} end as name from plain),
+known(k, own) as (values {whole}),
+named as (select doc_id, i, coalesce(own, case {case} end) as name from plain left join known on s = k),
 ids as (select doc_id, count(name) as n_sentences, coalesce(string_agg(name, ',' order by i), '') as sentence_ids from named group by doc_id),
 seqs as (select *, case when n_sentences > 0 then ',' || sentence_ids || ',' else '' end as r from ids),
 {", ".join(steps)}

@@ -327,10 +327,50 @@ def test_spans_are_code_points():
         ("", []),
     ],
 )
-def test_licence_rules(text, want):
+def test_licence_rules(text, want):  # more of them, as whole texts, below
     assert license_rules.licences(license_rules.identify(text)) == want
 
 
+def whole(*names):
+    """The sentences of a licence's text."""
+    lines = [line.split(": ", 1) for line in license_rules.WHOLE.strip().split("\n")]
+    return [next(text for n, text in lines if n == name) for name in names]
+
+
+LICENCES = {
+    "MIT": ["mit_grant", "mit_notice", "as_is", "mit_liability"],
+    "ISC": ["isc_grant", "isc_disclaimer", "isc_liability"],
+    "0BSD": ["zero_bsd_grant", "isc_disclaimer", "isc_liability"],
+    "BSD-3-Clause": ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorsement", "bsd_disclaimer", "bsd_liability", "bsd_loss", "bsd_cause"],
+    "BSD-2-Clause": ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_disclaimer", "bsd_liability", "bsd_loss", "bsd_cause"],
+    "Zlib": ["zlib_warranty", "zlib_liability", "zlib_grant", "zlib_origin", "zlib_claim", "zlib_altered", "zlib_notice"],
+    "Unlicense": ["unlicense_release", "unlicense_grant", "unlicense_dedication", "unlicense_benefit", "unlicense_act", "as_is", "mit_liability"],
+    "Apache-2.0": ["apache2_reference", "apache_compliance", "apache_basis", "apache_specific"],
+    "GPL-2.0-or-later": ["gpl_free", "gpl2_or_later", "gpl_hope", "gpl_warranty", "gpl_details", "gpl_copy"],
+    "GPL-3.0-or-later": ["gpl_free", "gpl3_or_later", "gpl_hope", "gpl_warranty", "gpl_details", "gpl_copy"],
+    "LGPL-2.1-or-later": ["lgpl_free", "lgpl21_or_later", "lgpl21_version", "lgpl_hope", "gpl_warranty", "lgpl_details", "lgpl_copy"],
+    "AGPL-3.0-or-later": ["gpl_free", "agpl3_or_later", "gpl_hope", "gpl_warranty", "agpl_details", "agpl_copy"],
+}
+
+
+@pytest.mark.parametrize("name", LICENCES)
+def test_whole_licences(name):
+    parts = whole(*LICENCES[name])
+    for text in (". ".join(parts) + ".", ";\n".join(p.replace(" ", "\n ", 7).replace("-", " - ") for p in parts), "\n\n".join(parts).upper()):
+        assert license_rules.identify(text) == LICENCES[name] and license_rules.licences(LICENCES[name]) == [name]
+
+
+def test_every_known_sentence_has_a_trigger():
+    for plain in license_rules.KNOWN:
+        assert license_rules.TRIGGER.search(plain.encode())
+        assert license_rules.sentences(plain) == [plain]
+    for name, pattern in license_rules.SENTENCES:
+        literal = re.sub(r"\([^()]*\)\??|\\.|\.\*", " ", pattern.replace("\\.", ".")).replace("[cs]", "c")
+        assert license_rules.TRIGGER.search(literal.encode()), name
+    known = {name for name, _ in license_rules.SENTENCES} | set(license_rules.KNOWN.values())
+    assert all(set(re.findall(r"[a-z0-9_]{3,}", pattern)) <= known for _, pattern in license_rules.RULES[:-1])
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class=home><header>Site</header><nav><ul><li><a href=/x>Menu</a></ul></nav>
