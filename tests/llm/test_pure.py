@@ -385,3 +385,30 @@ def test_main_text():
         template_html.main_text(odd)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>A <span class=\"advert\">Buy now</span>b <b>c</b></p></article>", "A b c"),
+        ("<article><p>A<span class='cookie-notice'>x <i>y</i> z</span> b</p><p>c</p></article>", "A b\n\nc"),
+        ("<article><span class=ad>x<p>After a block</p></article>", "After a block"),
+        ("<article><div class='social-history'>Kept</div><div class='copyright-law'>too</div><div class='promotion-to-rank'>and this</div></article>", "Kept\n\ntoo\n\nand this"),
+        ("<article><div class='site-footer'>x</div><div class='post-comments'>y</div><div class='big social-share'>z</div>Text</article>", "Text"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold</p></article>", "Let x=1 hold"),
+        ("<article>a > b <p title='x > y'>c</p><p title=\"it's\">d</p></article>", "a > b\n\nc\n\nd"),
+        ("<article><p>one<p>two" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>out", "one\n\ntwo\n\ndeep"),
+    ],
+)
+def test_what_belongs_to_an_article(page, text):
+    assert template_html.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \"", "<a b='x>", "<!--", "<div>", "<span class=ad>", "<div></p>", "<p><b></i>", "<script>", "</p "])
+def test_odd_pages_take_time_in_proportion(part):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        template_html.main_text(part * n + "x>")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.02)

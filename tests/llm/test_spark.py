@@ -5,6 +5,7 @@ import random
 import re
 from array import array
 from collections import Counter
+from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
@@ -66,14 +67,41 @@ def test_all_queries_are_registered():
 # each query, whole table
 
 
+class Article(HTMLParser):
+    """The article's blocks by another parser, for pages whose only blocks are h1 and p."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.on = [[]], False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.on = True
+        if tag in ("h1", "p", "article"):
+            self.parts.append([])
+        if tag == "br":
+            self.parts[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("h1", "p", "article"):
+            self.parts.append([])
+        if tag == "article":
+            self.on = False
+
+    def handle_data(self, data):
+        if self.on:
+            self.parts[-1].append(data)
+
+
 def test_op1(spark, sf_dir):
     pages = pd.read_parquet(f"{sf_dir}/pages.parquet").set_index("page_id")
     got = registry.op1_template_html(spark, sf_dir).toPandas()
     assert sorted(got.page_id) == sorted(pages.index) and (got.n_chars == got.text.str.len()).all()
     for row in got.itertuples():
-        body = re.search("<article>(.*)</article>", pages.html[row.page_id], re.DOTALL)[1]
-        first = re.sub("<[^>]*>", "", body.split("</h1>")[0])
-        assert row.text and row.text.split("\n\n")[0].replace("&", "") == re.sub(r"\s+", " ", first.replace("&amp;", "")).replace("&", "").strip()
+        parser = Article()
+        parser.feed(pages.html[row.page_id])
+        blocks = (re.sub(r"\s+", " ", "".join(p)).strip() for p in parser.parts)
+        assert row.text == "\n\n".join(b for b in blocks if b)
 
 
 def test_op2(spark, sf_dir, docs):
@@ -363,6 +391,24 @@ def test_pages(spark):
     assert (got[40], got[41], got[42]) == ("No url", "", "")
 
 
+def test_templates_without_marks(spark, monkeypatch):
+    """No classes, no article: what all pages of a host share goes, and what part of them share below it."""
+    plain = "<html><body><div>Hello reader, welcome back</div>{}<div><p>{}</p></div><div>Closing words</div></body></html>"
+    section = "<section><h3>Section of the day</h3><p>More of this section</p></section>"
+    rows = [(i, f"http://a.example/{i}", plain.format(section if i % 2 else "", prose(i, 30))) for i in range(12)]
+    # copies of one article under several addresses, which share all but an advert
+    article = "<html><body><article><h1>{}</h1><p>{}</p></article><div class=ad>{}</div></body></html>"
+    rows += [(100 + i, f"http://b.example/?ref={i}", article.format(prose(50, 4), prose(51, 40), prose(60 + i, 5))) for i in range(6)]
+    # a text that each article of the host has inside
+    inside = "<html><body><article><h1>{}</h1><p>{}</p><p>Read our letters every week</p></article></body></html>"
+    rows += [(200 + i, f"http://c.example/{i}", inside.format(prose(70 + i, 4), prose(80 + i, 40))) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    want = {i: prose(i, 30) for i in range(12)} | {100 + i: f"{prose(50, 4)}\n\n{prose(51, 40)}" for i in range(6)} | {200 + i: f"{prose(70 + i, 4)}\n\n{prose(80 + i, 40)}" for i in range(6)}
+    assert {r.page_id: r.text for r in template_html.extract(pages).collect()} == want
+    monkeypatch.setattr(template_html, "BROADCAST_TOKENS", -1)
+    assert {r.page_id: r.text for r in template_html.extract(pages).collect()} == want
+
+
 # structure
 
 
