@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: what the cluster names, else (tests) one of our own."""
+    """The shared folder for checkpoints: what the cluster names; where it names none, a folder in the shared warehouse.
+
+    A folder of this machine's own is taken only by a session that runs in this machine's one process (tests).
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
-        found = tempfile.mkdtemp(prefix="countloom-checkpoints-")
+        local = sc.master == "local" or sc.master.startswith("local[")
+        found = tempfile.mkdtemp(prefix="countloom-checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/countloom-checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found

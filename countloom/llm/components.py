@@ -33,7 +33,7 @@ def _with_least(directed: DataFrame, n_edges: int) -> DataFrame:
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that an edge names; component: its least node.
 
-    Nodes are non-negative integers.  Self-loops, repeated edges and null ends are
+    Nodes are integers.  Self-loops, repeated edges and null ends are
     harmless; without edges the result is empty.
     """
     edges = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).filter("a is not null and b is not null")

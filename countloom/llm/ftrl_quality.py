@@ -109,8 +109,9 @@ def _score(bc, batches):
 def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    Null and empty texts have the constant feature only and get its score.  Repeated rows
-    get equal scores; other columns are not read.
+    Null and empty texts have the constant feature only and get its score; very long texts are scored whole.  Repeated
+    rows get equal scores; other columns, whatever their names, are not read; without training documents every score
+    is 0.5; an empty table has no rows.
     """
     bounded_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE weights, whatever the input
