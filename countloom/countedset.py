@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from countloom.functions.expressions import key_order
 from countloom.operators import algebra, counted, labels, layout, sizing
 from countloom.plans.spec import FilterSpec
 from countloom.sources import tables
@@ -25,9 +26,10 @@ class CountedSet:
         return cls(counted.empty(spark), spec)
 
     @classmethod
-    def of(cls, rows: DataFrame, spec: FilterSpec, *, key: str = "key", n: str | None = None, policy: str = "mod") -> CountedSet:
-        """Count rows that may repeat."""
-        return cls(counted.build(rows, spec, key=key, n=n, policy=policy), spec)
+    def of(cls, rows: DataFrame, spec: FilterSpec, *, key: str = "key", n: str | None = None, guard: bool = True) -> CountedSet:
+        """Count rows that may repeat.  guard: evaluating the set fails where it needs more slots than may be occupied."""
+        items = counted.build(rows, spec, key=key, n=n)
+        return cls(layout.guarded(items, spec) if guard else items, spec)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CountedSet:
@@ -45,11 +47,13 @@ class CountedSet:
 
     # changes
 
-    def insert(self, rows: DataFrame, **how) -> CountedSet:
-        return self._with(counted.insert(self.items, rows, self.spec, **how), self.index)
+    def insert(self, rows: DataFrame, *, guard: bool = True, **how) -> CountedSet:
+        """guard: evaluating the set fails where it needs more slots than may be occupied."""
+        items = counted.insert(self.items, rows, self.spec, **how)
+        return self._with(layout.guarded(items, self.spec) if guard else items, self.index)
 
     def remove(self, rows: DataFrame, **how) -> CountedSet:
-        return self._with(counted.remove(self.items, rows, **how), self.index)
+        return self._with(counted.remove(self.items, rows, self.spec, **how), self.index)
 
     def set_counts(self, rows: DataFrame, **how) -> CountedSet:
         return self._with(counted.set_counts(self.items, rows, self.spec, **how), self.index)
@@ -65,24 +69,24 @@ class CountedSet:
     # lookups
 
     def count_key(self, key: int) -> int:
-        return counted.count_key(self.items, key)
+        return counted.count_key(self.items, key, self.spec)
 
     def query(self, keys: DataFrame, *, key: str = "key") -> DataFrame:
-        return counted.query(self.items, keys, key=key)
+        return counted.query(self.items, keys, self.spec, key=key)
 
     def batch_query(self, batch: DataFrame, *, key: str = "key") -> DataFrame:
-        return counted.batch_query(self.items, batch, key=key)
+        return counted.batch_query(self.items, batch, self.spec, key=key)
 
     def __iter__(self) -> Iterator[tuple[int, int, int]]:
         """(key, label, count) in key order, fetched range by range."""
-        for row in self.items.orderBy("key").toLocalIterator():
+        for row in self.items.orderBy(key_order("key", self.spec)).toLocalIterator():
             yield row["key"], row["label"], row["count"]
 
     def seek(self, position: int, **how) -> DataFrame:
         return layout.seek(self.items, self.spec, position, **how)
 
     def find(self, key: int) -> DataFrame:
-        return layout.find(self.items, key)
+        return layout.find(self.items, key, self.spec)
 
     # labels
 
@@ -90,10 +94,10 @@ class CountedSet:
         return self._with(labels.add_labels(self.items, assigned, self.spec), self.index)
 
     def remove_labels(self, keys: DataFrame) -> CountedSet:
-        return self._with(labels.remove_labels(self.items, keys), self.index)
+        return self._with(labels.remove_labels(self.items, keys, self.spec), self.index)
 
     def get_labels(self, keys: DataFrame) -> DataFrame:
-        return labels.get_labels(self.items, keys)
+        return labels.get_labels(self.items, keys, self.spec)
 
     def replace_label(self, old: int, new: int) -> CountedSet:
         return self._with(counted.replace_label(self.items, old, new), self.index)
@@ -115,8 +119,9 @@ class CountedSet:
     def subtract(self, other: CountedSet) -> CountedSet:
         return self._with(algebra.subtract(self.items, self._other(other)))
 
-    def migrate_from(self, source: CountedSet) -> CountedSet:
-        return self._with(algebra.migrate(self._other(source), self.items), self.index)
+    def migrate_from(self, source: CountedSet, *, guard: bool = True) -> CountedSet:
+        """guard: evaluating the set fails where it needs more slots than a set on disk may occupy."""
+        return self._with(algebra.migrate(self._other(source), self.items, self.spec if guard else None), self.index)
 
     def equals(self, other: CountedSet) -> bool:
         return algebra.equals(self.items, self._other(other)).first()["eq"]
@@ -127,6 +132,11 @@ class CountedSet:
     def magnitude(self) -> int:
         return algebra.magnitude(self.items).first()["magnitude"]
 
+    @staticmethod
+    def multi_combine(sets: Sequence[CountedSet], merge) -> CountedSet:
+        """`merge` makes (count, label) from the lists of a key's counts and labels in all sets."""
+        return sets[0]._with(algebra.multi_combine([sets[0]._other(s) for s in sets], merge))
+
     @staticmethod
     def multi_merge(sets: Sequence[CountedSet]) -> CountedSet:
         return sets[0]._with(algebra.multi_merge([sets[0]._other(s) for s in sets]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,19 +14,40 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def key_in_range(key: str | Column, spec: FilterSpec, *, policy: str = "mod") -> Column:
-    """The key inside the range: reduced ("mod"), or as it is with an error outside ("strict")."""
-    key = _col(key).cast("bigint")
+def key_in_range(key: str | Column, spec: FilterSpec, *, policy: str | None = None) -> Column:
+    """The key inside the range: reduced ("mod"), or as it is with an error outside ("strict"); by default as the spec says."""
+    key, policy = _col(key).cast("bigint"), policy or spec.policy
+    if policy not in ("mod", "strict"):
+        raise ValueError("policy is mod or strict")
+    if spec.key_bits == 64:  # every BIGINT is the bits of one
+        return key
     if policy == "mod":
         return F.pmod(key, F.lit(spec.range))
-    if policy != "strict":
-        raise ValueError("policy is mod or strict")
     return F.when(key.isNull() | (key >= 0) & (key < spec.range), key).otherwise(F.raise_error(F.concat(F.lit("key out of range: "), key.cast("string"))).cast("bigint"))
 
 
+def from_unsigned(key: str | Column) -> Column:
+    """The BIGINT with the bits of an unsigned 64-bit number, given as DECIMAL(20,0)."""
+    key = _col(key).cast("decimal(20,0)")
+    return F.when(key >= F.lit(Decimal(1 << 63)), key - F.lit(Decimal(1 << 64))).otherwise(key).cast("bigint")
+
+
+def to_unsigned(key: str | Column) -> Column:
+    """The unsigned 64-bit number with the bits of a BIGINT, as DECIMAL(20,0)."""
+    key = _col(key)
+    wide = key.cast("decimal(20,0)")
+    return F.when(key < 0, wide + F.lit(Decimal(1 << 64))).otherwise(wide).cast("decimal(20,0)")
+
+
+def key_order(key: str | Column, spec: FilterSpec | None) -> Column:
+    """A BIGINT that orders keys as unsigned numbers."""
+    return _col(key) if spec is None or spec.key_bits < 64 else _col(key).bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def text_key(text: str | Column, spec: FilterSpec) -> Column:
     """A key for any string: a hash, cut to the range."""
-    return F.xxhash64(_col(text)).bitwiseAND(spec.range - 1)
+    hashed = F.xxhash64(_col(text))
+    return hashed if spec.key_bits == 64 else hashed.bitwiseAND(spec.range - 1)
 
 
 def quotient(key: str | Column, spec: FilterSpec) -> Column:

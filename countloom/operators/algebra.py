@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from countloom.operators.layout import guarded
+from countloom.plans.spec import FilterSpec
+
 MergeFn = Callable[[Column, Column, Column, Column], tuple[Column, Column]]
 
 
@@ -21,12 +24,25 @@ def _tagged(sets: Sequence[DataFrame]) -> DataFrame:
 
 def combine(a: DataFrame, b: DataFrame, merge: MergeFn) -> DataFrame:
     """Any two-sided operation: one aggregation brings both sides of a key together."""
+    return multi_combine([a, b], lambda counts, labels: merge(counts[0], labels[0], counts[1], labels[1]))
+
+
+def multi_combine(sets: Sequence[DataFrame], merge: Callable[[list[Column], list[Column]], tuple[Column, Column]]) -> DataFrame:
+    """Any operation over several sets: `merge` gets a key's counts and labels in all of them, 0 where it is absent."""
+    sides = _sides(sets)
+    n = range(len(sets))
+    count, label = merge([F.col(f"c{i}") for i in n], [F.col(f"l{i}") for i in n])
+    return sides.select("key", count.cast("bigint").alias("count"), label.cast("bigint").alias("label")).filter("count > 0")
+
+
+def _sides(sets: Sequence[DataFrame]) -> DataFrame:
+    """(key, c0, l0, c1, l1, ...) of every key of any set."""
+
     def of(side: int, what: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("src") == side, F.col(what))), F.lit(0)).cast("bigint")
 
-    sides = _tagged([a, b]).groupBy("key").agg(of(0, "count").alias("ca"), of(0, "label").alias("la"), of(1, "count").alias("cb"), of(1, "label").alias("lb"))
-    count, label = merge(F.col("ca"), F.col("la"), F.col("cb"), F.col("lb"))
-    return sides.select("key", count.cast("bigint").alias("count"), label.cast("bigint").alias("label")).filter("count > 0")
+    columns = [of(i, what).alias(f"{what[0]}{i}") for i in range(len(sets)) for what in ("count", "label")]
+    return _tagged(sets).groupBy("key").agg(*columns)
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -53,22 +69,16 @@ def multi_merge(sets: Sequence[DataFrame]) -> DataFrame:
     return _tagged(sets).groupBy("key").agg(F.sum("count").alias("count"), F.max_by("label", "src").alias("label"))
 
 
-def migrate(source: DataFrame, dest: DataFrame) -> DataFrame:
-    """dest with source's counts added; source's label wins on its keys."""
+def migrate(source: DataFrame, dest: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
+    """dest with source's counts added; source's label wins on its keys.  With the spec of dest its disk limit holds."""
     label = F.max_by("label", F.when(F.col("src") == 0, 1).otherwise(0))
-    return _tagged([source, dest]).groupBy("key").agg(F.sum("count").alias("count"), label.alias("label"))
+    moved = _tagged([source, dest]).groupBy("key").agg(F.sum("count").alias("count"), label.alias("label"))
+    return moved if spec is None else guarded(moved, spec, disk=True)
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Keys whose counts or labels differ, or that one set lacks."""
-    return combine_all(a, b).filter("ca <> cb or la <> lb")
-
-
-def combine_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    def of(side: int, what: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("src") == side, F.col(what))), F.lit(0)).cast("bigint")
-
-    return _tagged([a, b]).groupBy("key").agg(of(0, "count").alias("ca"), of(0, "label").alias("la"), of(1, "count").alias("cb"), of(1, "label").alias("lb"))
+    return _sides([a, b]).filter("c0 <> c1 or l0 <> l1")
 
 
 def equals(a: DataFrame, b: DataFrame) -> DataFrame:

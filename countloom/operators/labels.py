@@ -8,29 +8,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countloom.functions.expressions import label_fits
+from countloom.operators.counted import _key
+from countloom.operators.ranges import ranked, settled
 from countloom.plans.spec import FilterSpec
 
 
 def add_labels(cs: DataFrame, assigned: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
     """Labels of existing keys set; assignments to absent keys are ignored, of several the largest holds."""
     label = F.col("label").cast("bigint") if spec is None else label_fits("label", spec)
-    new = assigned.select("key", label.alias("new")).groupBy("key").agg(F.max("new").alias("new"))
+    new = assigned.select(_key("key", spec).alias("key"), label.alias("new")).groupBy("key").agg(F.max("new").alias("new"))
     return cs.join(new, "key", "left").select("key", "count", F.coalesce("new", "label").alias("label"))
 
 
-def remove_labels(cs: DataFrame, keys: DataFrame) -> DataFrame:
+def remove_labels(cs: DataFrame, keys: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
     """Labels of the given keys set to 0; counts stay."""
-    gone = keys.select("key").distinct().withColumn("gone", F.lit(True))
+    gone = keys.select(_key("key", spec).alias("key")).distinct().withColumn("gone", F.lit(True))
     return cs.join(gone, "key", "left").select("key", "count", F.when(F.col("gone"), 0).otherwise(F.col("label")).cast("bigint").alias("label"))
 
 
-def get_labels(cs: DataFrame, keys: DataFrame) -> DataFrame:
+def get_labels(cs: DataFrame, keys: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
     """(key, label) of the keys asked for; 0 without one."""
-    asked = keys.select("key").distinct()
+    asked = keys.select(_key("key", spec).alias("key")).distinct()
     return asked.join(cs.select("key", "label"), "key", "left").select("key", F.coalesce("label", F.lit(0)).cast("bigint").alias("label"))
 
 
@@ -42,11 +44,11 @@ def combinations(sources: DataFrame) -> DataFrame:
 def label_index(combined: DataFrame, n_sources: int) -> DataFrame:
     """(label, sources): single sets are numbered by themselves, the others from n_sources on.
 
-    All single sets are listed, used or not.  The window sorts distinct combinations only.
+    All single sets are listed, used or not.  Distinct combinations are numbered range by range, in parallel.
     """
     spark = combined.sparkSession
     many = combined.filter(F.size("sources") > 1).groupBy("sources").agg(F.min("key").alias("first"))
-    numbered = many.select((F.row_number().over(Window.orderBy("first")) + (n_sources - 1)).cast("bigint").alias("label"), "sources")
+    numbered = ranked(settled(many), F.col("first")).select((F.col("rank") + n_sources).alias("label"), "sources")
     single = spark.range(n_sources).select(F.col("id").alias("label"), F.array(F.col("id").cast("int")).alias("sources"))
     return single.unionByName(numbered)
 
@@ -62,7 +64,7 @@ def invertible_merge(sets: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 def invertible_merge_rows(sources: DataFrame, n_sources: int) -> tuple[DataFrame, DataFrame]:
     """The same for one relation (src, key, count) of n_sources sets."""
-    combined = combinations(sources)
+    combined = settled(combinations(sources))
     index = label_index(combined, n_sources)
     return combined.join(index, "sources").select("key", "count", "label"), index
 
@@ -82,6 +84,6 @@ def compose(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame
     """Merge two merged sets whose indexes name sets by global ids."""
     flat = [m.join(i, "label").select(F.col("sources"), "key", "count") for m, i in (left, right)]
     both = flat[0].unionAll(flat[1])
-    combined = both.groupBy("key").agg(F.sum("count").alias("count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    combined = settled(both.groupBy("key").agg(F.sum("count").alias("count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources")))
     index = label_index(combined, n_sources)
     return combined.join(index, "sources").select("key", "count", "label"), index

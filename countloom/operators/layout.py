@@ -2,7 +2,8 @@
 
 With items in key order, S the slots before an item and q its quotient, its slot is S plus
 the running maximum of q - S.  Running sums and maxima over the whole key order are
-taken in two passes: within ranges of keys in parallel, then over one row a range.
+taken in two passes: within ranges of about equal size in parallel, then over one row a range.  The running maximum
+grows exactly where a gap is, so it names the cluster that an item lies in.
 """
 
 from __future__ import annotations
@@ -10,18 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from countloom.functions.expressions import quotient, slots
+from countloom.functions.expressions import key_order, quotient, slots
+from countloom.operators.ranges import before, ranked, settled, with_ranges
 from countloom.plans.spec import BLOCK_SLOTS, FilterSpec
 
-#: Key ranges of the two-pass plans.
-RANGES = 256
-
-
-def _ranged(cs: DataFrame, spec: FilterSpec, ranges: int) -> DataFrame:
-    """Adds the number of the key's range: keys are hashes, so equal parts of their space hold about equally many."""
-    shift = max(0, spec.key_bits - max(0, ranges.bit_length() - 1))
-    return cs.withColumn("part", F.shiftrightunsigned("key", shift))
-
 
 def occupied(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     """One row (slots): slots that all counts occupy."""
@@ -33,6 +26,14 @@ def space(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     return occupied(cs, spec).select((F.col("slots") * 100).cast("double").__truediv__(spec.all_slots).cast("int").alias("percent"))
 
 
+def layered_space(layers: list[tuple[DataFrame, FilterSpec]]) -> DataFrame:
+    """One row (percent): how full the fullest of several sets is."""
+    rows = None
+    for cs, spec in layers:
+        rows = space(cs, spec) if rows is None else rows.unionAll(space(cs, spec))
+    return rows.agg(F.max("percent").alias("percent"))
+
+
 def check_capacity(cs: DataFrame, spec: FilterSpec, *, disk: bool = False) -> None:
     """Raise OverflowError if the counts need more slots than may be occupied."""
     used = occupied(cs, spec).first()[0]
@@ -40,22 +41,35 @@ def check_capacity(cs: DataFrame, spec: FilterSpec, *, disk: bool = False) -> No
         raise OverflowError(f"{used} slots are needed, {spec.capacity(disk=disk)} may be occupied")
 
 
-def layout(cs: DataFrame, spec: FilterSpec, *, ranges: int = RANGES) -> DataFrame:
-    """(key, count, label, slot, len, block_id) of every item."""
-    rows = _ranged(cs.withColumn("q", quotient("key", spec)).withColumn("len", slots("count", spec)), spec, ranges)
-    before = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("s", F.coalesce(F.sum("len").over(before), F.lit(0)))
+def guarded(cs: DataFrame, spec: FilterSpec, *, disk: bool = False) -> DataFrame:
+    """The same items; evaluating them fails if the counts need more slots than may be occupied."""
+    limit = spec.capacity(disk=disk)
+    message = F.concat(F.col("slots").cast("string"), F.lit(f" slots are needed, {limit} may be occupied"))
+    fits = occupied(cs, spec).select(F.when(F.col("slots") > limit, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("fits"))
+    return cs.crossJoin(F.broadcast(fits)).filter("fits").drop("fits")  # one row
+
+
+def _placed(cs: DataFrame, spec: FilterSpec, ranges: int | None = None) -> DataFrame:
+    """(key, count, label, slot, len, shift, part); shift: the slot less all slots before, the same throughout a cluster."""
+    rows = cs.withColumn("q", quotient("key", spec)).withColumn("len", slots("count", spec)).withColumn("order", key_order("key", spec))
+    rows = with_ranges(rows, F.col("order"), ranges=ranges)
+    earlier = Window.partitionBy("part").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("part").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("s", F.coalesce(F.sum("len").over(earlier), F.lit(0)))
     local = local.withColumn("m", F.max(F.col("q") - F.col("s")).over(so_far))
     # one row a range: slots before it, and the greatest q - S before it
-    ends = rows.groupBy("part").agg(F.sum("len").alias("total"))
-    peaks = local.groupBy("part").agg(F.max("m").alias("peak")).join(ends, "part")
+    peaks = local.groupBy("part").agg(F.max("m").alias("peak"), F.sum("len").alias("total"))
     all_before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = peaks.withColumn("base", F.coalesce(F.sum("total").over(all_before), F.lit(0)))
     offsets = offsets.withColumn("top", F.max(F.col("peak") - F.col("base")).over(all_before)).select("part", "base", "top")
-    joined = local.join(F.broadcast(offsets), "part")  # at most `ranges` rows
-    slot = F.col("s") + F.col("base") + F.greatest(F.col("m") - F.col("base"), F.coalesce("top", F.lit(-(1 << 62))))
-    return joined.select("key", "count", "label", slot.cast("bigint").alias("slot"), "len").withColumn("block_id", F.expr(f"slot div {BLOCK_SLOTS}"))
+    joined = local.join(F.broadcast(offsets), "part")
+    shift = F.greatest(F.col("m") - F.col("base"), F.coalesce("top", F.lit(-(1 << 62)))).cast("bigint")
+    return joined.select("key", "count", "label", (F.col("s") + F.col("base") + shift).cast("bigint").alias("slot"), "len", shift.alias("shift"), "part")
+
+
+def layout(cs: DataFrame, spec: FilterSpec, *, ranges: int | None = None) -> DataFrame:
+    """(key, count, label, slot, len, block_id) of every item."""
+    return _placed(cs, spec, ranges).select("key", "count", "label", "slot", "len", F.expr(f"slot div {BLOCK_SLOTS}").alias("block_id"))
 
 
 def overflows(cs: DataFrame, spec: FilterSpec) -> DataFrame:
@@ -66,61 +80,53 @@ def overflows(cs: DataFrame, spec: FilterSpec) -> DataFrame:
 def first_in_block(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     """(key, block_id, first_key): the first item of each item's block."""
     placed = layout(cs, spec)
-    return placed.select("key", "block_id", F.first("key").over(Window.partitionBy("block_id").orderBy("key")).alias("first_key"))
+    return placed.select("key", "block_id", F.first("key").over(Window.partitionBy("block_id").orderBy(key_order("key", spec))).alias("first_key"))
 
 
 def blocks(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     """(block_id, n, n_before): items that begin in each block, and in all blocks before it."""
-    counts = layout(cs, spec).groupBy("block_id").agg(F.count("*").alias("n"))
-    wide = counts.withColumn("part", F.shiftright("block_id", 10))
+    counts = _placed(cs, spec).groupBy(F.expr(f"slot div {BLOCK_SLOTS}").alias("block_id")).agg(F.count("*").alias("n"), F.min("part").alias("part"))
+    counts = settled(counts)
     inside = Window.partitionBy("part").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
-    totals = wide.groupBy("part").agg(F.sum("n").alias("t"))
-    base = totals.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    before = F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("base")
-    return wide.join(base, "part").select("block_id", "n", before.cast("bigint").alias("n_before"))
+    base = before(counts.groupBy("part").agg(F.sum("n").alias("t")), "t", "base")
+    n_before = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    local = counts.withColumn("n_before", n_before)
+    return local.join(F.broadcast(base), "part").select("block_id", "n", (F.col("n_before") + F.col("base")).cast("bigint").alias("n_before"))
 
 
 def clusters(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     """(start, length, n) of every maximal run of occupied slots."""
-    placed = _slot_parts(layout(cs, spec))
-    order = Window.partitionBy("part").orderBy("slot")
-    # a run may cross parts: each part's first item looks at the end of the last item before it
-    ends = placed.groupBy("part").agg(F.max(F.col("slot") + F.col("len")).alias("end"))
-    ends = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("before"))
-    rows = placed.join(ends, "part", "left")
-    gap = F.col("slot") > F.coalesce(F.lag(F.col("slot") + F.col("len")).over(order), "before", F.lit(-1))
-    marked = rows.withColumn("new", gap.cast("bigint")).withColumn("local", F.sum("new").over(order))
-    base = marked.groupBy("part").agg(F.max("local").alias("t"))
-    base = base.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    numbered = marked.join(base, "part").withColumn("id", F.col("local") + F.col("base"))
-    return numbered.groupBy("id").agg(F.min("slot").alias("start"), F.sum("len").alias("length"), F.count("*").alias("n")).drop("id")
+    return _placed(cs, spec).groupBy("shift").agg(F.min("slot").alias("start"), F.sum("len").alias("length"), F.count("*").alias("n")).drop("shift")
 
 
-def _slot_parts(placed: DataFrame) -> DataFrame:
-    return placed.withColumn("part", F.shiftright("slot", 12))
-
-
-def item_order(cs: DataFrame, spec: FilterSpec, *, ranges: int = RANGES) -> DataFrame:
+def item_order(cs: DataFrame, spec: FilterSpec, *, ranges: int | None = None) -> DataFrame:
     """(key, rank): the 0-based place of every key, an order-preserving minimal perfect hash."""
-    rows = _ranged(cs.select("key"), spec, ranges)
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
-    base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    local = rows.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("key")))
-    return local.join(F.broadcast(base), "part").select("key", (F.col("i") - 1 + F.col("base")).cast("bigint").alias("rank"))  # at most `ranges` rows
+    return ranked(cs.select("key"), key_order("key", spec), ranges=ranges)
 
 
 def seek(cs: DataFrame, spec: FilterSpec, position: int, *, block_aligned: bool = False) -> DataFrame:
-    """Items from a quotient on, in key order; block_aligned: from the quotient's block of 64 on."""
+    """Items from a quotient on, in key order.
+
+    block_aligned: if no item has that quotient, from the first item of the quotient's block of 64 on, or the next there is.
+    """
     if position > spec.all_slots:
         raise IndexError("position past the last slot")
-    start = position - position % BLOCK_SLOTS if block_aligned else position
-    return cs.filter(F.col("key") >= start << spec.remainder_bits).orderBy("key")
+    q = quotient("key", spec)
+    rows = cs.filter(q >= position)
+    if block_aligned:
+        there = cs.filter(q == position).select(F.lit(True).alias("there")).limit(1)
+        start = position - position % BLOCK_SLOTS
+        here = cs.sparkSession.range(1).join(there, F.lit(True), "left").select(F.when(F.col("there"), position).otherwise(start).alias("first"))
+        rows = cs.filter(q >= start).crossJoin(F.broadcast(here)).filter(q >= F.col("first")).drop("first")  # one row
+    return rows.orderBy(key_order("key", spec))
 
 
-def find(cs: DataFrame, key: int) -> DataFrame:
+def find(cs: DataFrame, key: int, spec: FilterSpec | None = None) -> DataFrame:
     """Items from a key on, in key order; nothing if the key is absent."""
+    key = key if spec is None else spec.reduce(key)
     there = cs.filter(F.col("key") == key).select(F.lit(1).alias("one")).limit(1)
-    return cs.filter(F.col("key") >= key).join(F.broadcast(there), F.lit(True), "left_semi").orderBy("key")
+    order = key_order("key", spec)
+    return cs.filter(order >= key_order(F.lit(key).cast("bigint"), spec)).join(F.broadcast(there), F.lit(True), "left_semi").orderBy(order)
 
 
 def with_block_labels(cs: DataFrame, spec: FilterSpec, payloads: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countloom.countedset import CountedSet
 from countloom.functions import expressions as X
 from countloom.operators import algebra, counted, labels, layout, sizing
 from countloom.plans.spec import FilterSpec
@@ -119,14 +120,14 @@ def replace_label(spark, sf_dir):
 # lookups and scans
 
 
-@register(f"select o_orderkey as key, a.count from (select distinct o_orderkey from orders where o_orderkey % 3 = 0) o join {A} a on o_orderkey = a.key")
+@register(f"select o_orderkey as key, a.count from (select distinct o_orderkey from orders) o join {A} a on o_orderkey = a.key")
 def batch_query(spark, sf_dir):
-    return counted.batch_query(source(spark, sf_dir, "A"), read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), key="o_orderkey")
+    return counted.batch_query(source(spark, sf_dir, "A"), read(spark, sf_dir, "orders"), key="o_orderkey")
 
 
-@register(f"select o_orderkey as key, cast(coalesce(a.count, 0) as bigint) as count, cast(coalesce(a.key % 8, 0) as bigint) as label from (select distinct o_orderkey from orders where o_orderkey % 3 = 0) o left join {A} a on o_orderkey = a.key")
+@register(f"select o_orderkey as key, cast(coalesce(a.count, 0) as bigint) as count, cast(coalesce(a.key % 8, 0) as bigint) as label from (select distinct o_orderkey from orders) o left join {A} a on o_orderkey = a.key")
 def batch_query_zeros(spark, sf_dir):
-    return counted.query(labelled(spark, sf_dir, "A"), read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), key="o_orderkey")
+    return counted.query(labelled(spark, sf_dir, "A"), read(spark, sf_dir, "orders"), key="o_orderkey")
 
 
 @register(f"select key, count from {S} t where key // 256 >= 40000")
@@ -134,9 +135,14 @@ def seek_from_position(spark, sf_dir):
     return layout.seek(scrambled(spark, sf_dir, "A"), SPEC, 40000).select("key", "count")
 
 
-@register(f"select key, count from {S} t where key // 256 >= 40000 - 40000 % 64 + 64")
+def _seek_sql(position: int) -> str:
+    return f"select key, count from {S} t where key // 256 >= (select case when count(*) > 0 then {position} else {position - position % 64} end from {S} u where key // 256 = {position})"
+
+
+@register(f"{_seek_sql(40077)} union all {_seek_sql(20013)}")
 def seek_block_aligned(spark, sf_dir):
-    return layout.seek(scrambled(spark, sf_dir, "A"), SPEC, 40000 - 40000 % 64 + 64 + 13, block_aligned=True).select("key", "count")
+    cs = scrambled(spark, sf_dir, "A")
+    return layout.seek(cs, SPEC, 40077, block_aligned=True).select("key", "count").unionAll(layout.seek(cs, SPEC, 20013, block_aligned=True).select("key", "count"))
 
 
 @register(f"select key, count from {A} a where key >= (select min(key) from {A} b where count = 50) and exists (select 1 from {A} c where count = 50)")
@@ -146,6 +152,67 @@ def find_key(spark, sf_dir):
     return layout.find(cs, -1 if first is None else first).select("key", "count")
 
 
+# keys beyond the range: every entry point reduces them alike
+
+FAR = 5 * SPEC.range
+
+
+@register(f"select key, count from {A} a")
+def insert_beyond_range(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select((F.col("l_orderkey") + (F.col("l_linenumber") - 3) * SPEC.range).alias("key"), F.col("l_quantity").cast("bigint").alias("n"))
+    half = F.col("n") % 2 == 0
+    return counted.insert(counted.build(rows.filter(half), SPEC, n="n"), rows.filter(~half), SPEC, n="n").select("key", "count")
+
+
+@register(f"""select a.key, cast(a.count - coalesce(b.n, 0) as bigint) as count, cast(case when b.n is null then a.key % 8 else 0 end as bigint) as label
+from {A} a left join (select key, count // 2 as n from {N} t where count // 2 > 0) b on a.key = b.key where a.count - coalesce(b.n, 0) > 0""")
+def remove_beyond_range(spark, sf_dir):
+    less = source(spark, sf_dir, "N").select((F.col("key") + FAR).alias("key"), F.expr("count div 2").alias("n"))
+    return counted.remove(labelled(spark, sf_dir, "A"), less, SPEC, n="n")
+
+
+@register(f"select key, count from (select coalesce(a.key, b.key) as key, cast(coalesce(b.n, a.count) as bigint) as count from {A} a full join (select key, count % 5 as n from {R} t) b on a.key = b.key) t where count > 0")
+def set_counter_beyond_range(spark, sf_dir):
+    new = source(spark, sf_dir, "R").select((F.col("key") - FAR).alias("key"), (F.col("count") % 5).alias("n"))
+    return counted.set_counts(source(spark, sf_dir, "A"), new, SPEC).select("key", "count")
+
+
+@register(f"select o_orderkey as key, a.count from (select distinct o_orderkey from orders) o join {A} a on o_orderkey = a.key")
+def batch_query_beyond_range(spark, sf_dir):
+    asked = read(spark, sf_dir, "orders").select((F.col("o_orderkey") + FAR).alias("key")).unionAll(read(spark, sf_dir, "orders").select((F.col("o_orderkey") - FAR).alias("key")))
+    return counted.batch_query(source(spark, sf_dir, "A"), asked, SPEC)
+
+
+@register(f"select key, count, cast(case when key % 3 = 0 then 0 else key % 8 end as bigint) as label from {A} a")
+def labels_beyond_range(spark, sf_dir):
+    cs = source(spark, sf_dir, "A")
+    far = (F.col("key") + FAR).alias("key")
+    named = labels.add_labels(cs, cs.select(far, (F.col("key") % 8).alias("label")), SPEC)
+    return labels.remove_labels(named, cs.filter("key % 3 = 0").select(far), SPEC)
+
+
+WIDE = FilterSpec(quotient_bits=16, key_bits=64)
+WIDE_SQL = "(select (cast(l_orderkey as hugeint) * 562949953421312 + l_orderkey) % 18446744073709551616 as key, cast(sum(cast(l_quantity as bigint)) as bigint) as count from lineitem group by 1)"
+
+
+def wide(spark, sf_dir) -> DataFrame:
+    """A set whose keys use all 64 bits."""
+    key = F.shiftleft("l_orderkey", 49).bitwiseXOR(F.col("l_orderkey"))  # the parts do not overlap
+    return counted.build(read(spark, sf_dir, "lineitem").select(key.alias("key"), "l_quantity"), WIDE, n=F.col("l_quantity").cast("bigint"))
+
+
+@register(f"select cast(key as varchar) as key, count, row_number() over (order by key) - 1 as rank from {WIDE_SQL} t")
+def unsigned_keys(spark, sf_dir):
+    cs = wide(spark, sf_dir)
+    ranked = layout.item_order(cs, WIDE).join(cs, "key")
+    return ranked.select(X.to_unsigned("key").cast("string").alias("key"), "count", "rank")
+
+
+@register(f"select cast(key as varchar) as key, count from {WIDE_SQL} t where key // 281474976710656 >= 40000")
+def unsigned_seek(spark, sf_dir):
+    return layout.seek(wide(spark, sf_dir), WIDE, 40000).select(X.to_unsigned("key").cast("string").alias("key"), "count")
+
+
 @register(f"select key, count from {A} a where count = 1")
 def singletons(spark, sf_dir):
     return counted.singletons(source(spark, sf_dir, "A")).select("key", "count")
@@ -180,6 +247,15 @@ def combine_largest(spark, sf_dir):
     return larger.select("key", "count")
 
 
+@register(f"select key, cast(max(count) as bigint) as count, cast(count(*) as bigint) as label from {SOURCES} u group by key having count(*) > 1 or max(count) > 20")
+def multi_combine(spark, sf_dir):
+    def largest(counts, _):
+        held = sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0))
+        return F.when((held > 1) | (F.greatest(*counts) > 20), F.greatest(*counts)).otherwise(0), held
+
+    return algebra.multi_combine([source(spark, sf_dir, f) for f in "ANR"], largest)
+
+
 @register(f"select key, cast(sum(count) as bigint) as count, cast(max_by(label, src) as bigint) as label from (select 0 as src, key, count, key % 8 as label from {A} a union all select 1, key, count, 0 from {N} n union all select 2, key, count, key % 8 from {R} r) u group by key")
 def multi_merge(spark, sf_dir):
     return algebra.multi_merge([labelled(spark, sf_dir, "A"), source(spark, sf_dir, "N"), labelled(spark, sf_dir, "R")])
@@ -195,7 +271,7 @@ def equals(spark, sf_dir):
     return algebra.equals(source(spark, sf_dir, "A"), source(spark, sf_dir, "R"))
 
 
-@register("select true as eq")
+@register(f"select count(*) = 0 as eq from {A} a full join {A} b on a.key = b.key where a.key is null or b.key is null or a.count <> b.count")
 def equals_self(spark, sf_dir):
     return algebra.equals(source(spark, sf_dir, "A"), source(spark, sf_dir, "A"))
 
@@ -324,18 +400,40 @@ def item_order(spark, sf_dir):
     return layout.item_order(scrambled(spark, sf_dir, "A"), SPEC)
 
 
-@register("select l_orderkey % 16777216 as key, cast(sum(cast(l_quantity as bigint)) as bigint) as count from lineitem where l_returnflag = 'A' group by 1")
-def resize_identity(spark, sf_dir):
-    SPEC.resized(18)  # the same key range: the same rows, over more slots
-    return source(spark, sf_dir, "A").select("key", "count")
+LARGER = SPEC.resized(18)
+SLOTS_LARGER = X.slots_sql("count", LARGER)
+
+
+@register(f"""with x as (select key, count, key // 64 as q, {SLOTS_LARGER} as len from {S} t),
+y as (select *, cast(coalesce(sum(len) over (order by key rows between unbounded preceding and 1 preceding), 0) as bigint) as s from x)
+select key, count, len, cast(s + max(q - s) over (order by key rows between unbounded preceding and current row) as bigint) as slot from y""")
+def resize(spark, sf_dir):
+    larger = CountedSet(scrambled(spark, sf_dir, "A"), SPEC).resize(18)
+    return larger.layout().select("key", "count", "len", "slot")
 
 
-@register()
+@register(f"select cast(floor(100.0 * max(s) / {SPEC.all_slots}) as integer) as percent from (select sum({SLOTS}) as s from {S} t group by count = 1) u")
+def layered_space(spark, sf_dir):
+    cs = scrambled(spark, sf_dir, "A")
+    return layout.layered_space([(counted.singletons(cs), SPEC), (counted.repeated(cs), SPEC)])
+
+
+@register(f"""with h as (select count as c, count(*) as n, length(ltrim(bin(count), '0')) as bits from {A} a where count between 1 and 999 group by 1),
+p as (select q, f, 24 - q as r, cast(1 as bigint) << q as slots from (select unnest(range(8, 24)) as q) x, (select unnest(range(1, 24)) as f) y where f < 24 - q),
+fits as (select q, f, r, slots from p, h group by 1, 2, 3, 4 having sum(n * (1 + greatest(0, cast(ceil((bits - f) / cast(r as double)) as bigint)))) < floor(0.95 * slots)),
+sized as (select q, f, (cast(ceil((slots + floor(10 * sqrt(slots))) / 64) as bigint) * (17 + 8 * (r + f + 3))) // 1024 as kib from fits)
+select cast(q as integer) as quotient_bits, cast(f as integer) as counter_bits, cast(kib as bigint) as kib from sized order by kib, q, f limit 1""")
 def sizing_estimate(spark, sf_dir):
     histogram = sizing.count_histogram(source(spark, sf_dir, "A"))
     return spark.createDataFrame([sizing.estimate_requirement(histogram, 24, 3)], "quotient_bits int, counter_bits int, kib bigint")
 
 
+@register("select c as word, cast(bit_count(c & 8191) as tinyint) as ones_to_12, cast(bit_count(c) as tinyint) as ones from (select distinct l_orderkey * 977 % 16777216 as c from lineitem) t")
+def bit_rank(spark, sf_dir):
+    c = read(spark, sf_dir, "lineitem").select(F.pmod(F.col("l_orderkey") * 977, F.lit(1 << 24)).alias("word")).distinct()
+    return c.select("word", X.bit_rank("word", 12).cast("tinyint").alias("ones_to_12"), X.bit_rank("word", 63).cast("tinyint").alias("ones"))
+
+
 @register("select (c & 1023) as low, bit_count(c) as ones, c // 256 as q, c % 256 as r, cast(floor(log2(c)) as integer) as top from (select l_orderkey * 977 % 16777216 as c from lineitem) t where c > 0")
 def bit_primitives(spark, sf_dir):
     c = read(spark, sf_dir, "lineitem").select(F.pmod(F.col("l_orderkey") * 977, F.lit(1 << 24)).alias("c")).filter("c > 0")
@@ -358,6 +456,22 @@ def roundtrip_io(spark, sf_dir):
     return tables.load(spark, path)[0]
 
 
+@register(f"{PLACED} select key, slot // 64 as block_id, cast(slot // 64 * 3 as varchar) as payload from z")
+def block_labels_io(spark, sf_dir):
+    path = _scratch(spark)
+    payloads = spark.range(SPEC.blocks).select(F.col("id").alias("block_id"), (F.col("id") * 3).cast("string").alias("payload"))
+    tables.save(scrambled(spark, sf_dir, "A"), SPEC, path, block_labels=payloads)
+    items, spec, _ = tables.load(spark, path)
+    return layout.with_block_labels(items, spec, tables.load_block_labels(spark, path))
+
+
+@register(f"select key, count from {A} a")
+def bucketed_table(spark, sf_dir):
+    name = f"countloom_{uuid.uuid4().hex}"
+    tables.save_bucketed(source(spark, sf_dir, "A"), name, 8)
+    return spark.table(name).select("key", "count")
+
+
 @register(f"{MERGED} select label, array_to_string(sources, ';') as sources from l")
 def label_text_roundtrip(spark, sf_dir):
     path = _scratch(spark)
@@ -380,10 +494,125 @@ def buffered_sync(spark, sf_dir):
     return held.items().select("key", "count")
 
 
+def _buffered(spark, sf_dir, **how) -> buffered.BufferedSet:
+    """A in the base, N in the buffer."""
+    held = buffered.BufferedSet(spark, _scratch(spark), SPEC, **how)
+    held.insert(source(spark, sf_dir, "A").select("key", F.col("count").alias("n")), "part-A", n="n")
+    held.sync()
+    held.insert(source(spark, sf_dir, "N").select("key", F.col("count").alias("n")), "part-N", n="n")
+    return held
+
+
+A_N = f"(select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select * from {N} n) u group by key)"
+
+
+@register(f"select * from {A_N} t")
+def buffered_replay(spark, sf_dir):
+    """Batches that come again, before and after they are merged, count once."""
+    held = _buffered(spark, sf_dir)
+    for flag in "AN":
+        held.insert(source(spark, sf_dir, flag).select("key", F.col("count").alias("n")), f"part-{flag}", n="n")
+    held.sync()
+    held.insert(source(spark, sf_dir, "N").select("key", F.col("count").alias("n")), "part-N", n="n")
+    return held.items().select("key", "count")
+
+
+@register(f"select o_orderkey as key, t.count from (select distinct o_orderkey from orders) o join {A_N} t on o_orderkey = t.key")
+def buffered_batch_query(spark, sf_dir):
+    return _buffered(spark, sf_dir).batch_query(read(spark, sf_dir, "orders"), key="o_orderkey")
+
+
+@register(f"select t.key, cast(t.count - coalesce(b.n, 0) as bigint) as count from {A_N} t left join (select key, count // 2 as n from {N} n) b on t.key = b.key where t.count > coalesce(b.n, 0)")
+def buffered_remove(spark, sf_dir):
+    held = _buffered(spark, sf_dir)
+    for _ in range(2):  # a named removal is taken once
+        held.remove(source(spark, sf_dir, "N").select("key", F.expr("count div 2").alias("n")), "less", n="n")
+    return held.items().select("key", "count")
+
+
+@register(f"select cast(floor((a.s + n.s) * 100.0 / {SPEC.all_slots}) as integer) as percent from (select sum({SLOTS}) as s from {A} t) a, (select sum({SLOTS}) as s from {N} t) n")
+def buffered_space(spark, sf_dir):
+    return _buffered(spark, sf_dir).space()
+
+
+@register(f"select key, count, cast(case when key % 2 = 0 then 0 else key % 8 end as bigint) as label from {A_N} t")
+def buffered_labels(spark, sf_dir):
+    held = _buffered(spark, sf_dir)
+    held.add_labels(held.items().select("key", (F.col("key") % 8).alias("label")))
+    held.remove_labels(held.items().filter("key % 2 = 0").select("key"))
+    return held.items()
+
+
+@register(f"select key, count from {A_N} t")
+def buffered_reset_copy(spark, sf_dir):
+    held = _buffered(spark, sf_dir)
+    other = held.copy(_scratch(spark))
+    held.reset()
+    return other.items().unionAll(held.items()).select("key", "count")
+
+
+@register(f"select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select * from {N} n union all select * from {R} r) u group by key")
+def buffered_flush(spark, sf_dir):
+    """A small buffer merges by itself; the set is opened again by its path alone."""
+    held = buffered.BufferedSet(spark, _scratch(spark), SPEC, buffer_bits=6)
+    for flag in "ANR":
+        held.insert(source(spark, sf_dir, flag).select("key", F.col("count").alias("n")), f"part-{flag}", n="n")
+    held.drop_buffer()
+    return buffered.BufferedSet(spark, held.path).items().select("key", "count")
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    """The table as a stream."""
+    events = read(spark, sf_dir, "events")
+    return spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+
+
+def _last(spark, stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream over all that is there last said: complete results, or the newest row of each key."""
+    path = _scratch(spark)
+
+    def one(rows: DataFrame, number: int) -> None:
+        rows.withColumn("trigger", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/{number:06d}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/rows/*")
+    if mode == "append":
+        return rows.drop("trigger")
+    if mode == "complete":
+        return rows.join(rows.agg(F.max("trigger").alias("trigger")), "trigger", "left_semi").drop("trigger")
+    return rows.groupBy("key").agg(F.max_by("count", "trigger").alias("count"))
+
+
+@register("select (floor(epoch(ts))::bigint // 43200 - k) * 43200 as start, user_id as key, count(*) as count from events, (select unnest([0, 1]) as k) x group by 1, 2")
+def stream_sliding(spark, sf_dir):
+    windows = buffered.windowed_counts(_events(spark, sf_dir), time="ts", key="user_id", late="30 days", width="24 hours", slide="12 hours")
+    return _last(spark, windows, "complete").select(F.unix_timestamp("start").alias("start"), "key", "count")
+
+
+@register("""with o as (select user_id, ts, case when ts < lag(ts) over w + interval 6 hours then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+n as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as id from o)
+select floor(epoch(min(ts)))::bigint as start, user_id as key, count(*) as count from n group by user_id, id""")
+def stream_sessions(spark, sf_dir):
+    sessions = buffered.session_counts(_events(spark, sf_dir), time="ts", key="user_id", late="30 days", gap="6 hours")
+    return _last(spark, sessions, "complete").select(F.unix_timestamp("start").alias("start"), "key", "count")
+
+
+@register("select distinct user_id as key, event_type from events")
+def stream_dedup(spark, sf_dir):
+    once = buffered.without_repeats(_events(spark, sf_dir), time="ts", late="3650 days", by=["user_id", "event_type"])
+    return _last(spark, once.select(F.col("user_id").alias("key"), "event_type"), "append")
+
+
+@register("""select user_id % 16777216 as key, cast(greatest(0, least(10, sum(case when event_id % 5 > 0 then 1 else 0 end)) - sum(case when event_id % 5 = 0 then 1 else 0 end)) as bigint) as count from events group by 1""")
+def stream_changes(spark, sf_dir):
+    spec = FilterSpec(16, 24, maximum_count=10)
+    stream = _events(spark, sf_dir).withColumn("n", F.when(F.col("event_id") % 5 == 0, -1).otherwise(1))
+    return _last(spark, buffered.running_changes(stream, spec, key="user_id", n="n"), "update")
+
+
 @register("select user_id % 16777216 as key, count(*) as count from events group by 1")
 def stream_counts(spark, sf_dir):
-    events = read(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    stream = _events(spark, sf_dir)
     path = _scratch(spark)
     held = buffered.BufferedSet(spark, f"{path}/set", SPEC)
     held.feed(stream, f"{path}/log", key="user_id").awaitTermination()
@@ -393,9 +622,10 @@ def stream_counts(spark, sf_dir):
 # beyond hashes of the caller's: k-mers of words
 
 
-@register("""with w as (select unnest(string_split_regex(text, '[^a-zA-Z]+')) as word from documents), p as (select lower(word) as word from w where length(word) >= 5)
-select kmer, count(*) as count from (select unnest([substr(word, cast(i as integer), 5) for i in range(1, length(word) - 3)]) as kmer from p) k group by kmer""")
+@register("""with w as (select unnest(regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word from documents)
+select kmer, count(*) as count from (select unnest([substr(word, cast(i as integer), 5) for i in range(1, length(word) - 3)]) as kmer from w where length(word) >= 5) k group by kmer""")
 def text_kmers(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("word")).filter(F.length("word") >= 5).select(F.lower("word").alias("word"))
-    kmers = words.select(F.explode(F.expr("transform(sequence(1, length(word) - 4), i -> substring(word, i, 5))")).alias("kmer"))
+    """Words are runs of letters, digits and of all characters beyond ASCII."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))).alias("word"))
+    kmers = words.filter(F.length("word") >= 5).select(F.explode(F.expr("transform(sequence(1, length(word) - 4), i -> substring(word, i, 5))")).alias("kmer"))
     return kmers.groupBy("kmer").agg(F.count("*").alias("count"))

@@ -15,8 +15,10 @@ BLOCK_SLOTS = 64
 class FilterSpec:
     """`2**quotient_bits` slots for keys of `key_bits` bits.
 
-    key_bits is at most 63, so keys are non-negative BIGINTs.  maximum_count, if given,
-    saturates counts.  Raises ValueError for parameters that fit no counted set.
+    With key_bits up to 63 keys are non-negative BIGINTs; with 64 a BIGINT holds the key's 64 bits, and keys of 2**63 and
+    more look negative.  policy says what becomes of a key outside the range, wherever one comes in: it is
+    reduced ("mod") or an error ("strict").  maximum_count, if given, saturates counts.  Raises
+    ValueError for parameters that fit no counted set.
     """
 
     quotient_bits: int = 16
@@ -25,10 +27,15 @@ class FilterSpec:
     fixed_counter_size: int = 3
     block_label_bytes: int = 0
     maximum_count: int | None = None
+    policy: str = "mod"
 
     def __post_init__(self):
-        if not 1 <= self.quotient_bits < self.key_bits <= 63:
-            raise ValueError("quotient_bits must be at least 1 and below key_bits, key_bits at most 63")
+        if not 1 <= self.quotient_bits < self.key_bits <= 64:
+            raise ValueError("quotient_bits must be at least 1 and below key_bits, key_bits at most 64")
+        if self.key_bits - self.quotient_bits > 62:
+            raise ValueError("quotient_bits must leave 62 remainder bits at most")
+        if self.policy not in ("mod", "strict"):
+            raise ValueError("policy is mod or strict")
         if self.fixed_counter_size < 1:
             raise ValueError("fixed_counter_size must be positive")
         if not 0 <= self.label_bits <= 62 or self.block_label_bytes < 0:
@@ -69,6 +76,13 @@ class FilterSpec:
     def bits_per_slot(self) -> int:
         return self.remainder_bits + self.fixed_counter_size + self.label_bits
 
+    def reduce(self, key: int) -> int:
+        """A single key as it is stored."""
+        if self.policy == "strict" and not 0 <= key < self.range:
+            raise ValueError(f"key out of range: {key}")
+        key %= self.range
+        return key - (1 << 64) if key >= 1 << 63 else key
+
     def capacity(self, *, disk: bool = False) -> int:
         """Most slots that may be occupied."""
         return int((LOAD_DISK if disk else LOAD_MEMORY) * self.all_slots)

@@ -9,24 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countloom.functions.expressions import key_order
 from countloom.operators.counted import SCHEMA
 from countloom.plans.spec import FilterSpec
 
 
-def save(cs: DataFrame, spec: FilterSpec, path: str, index: DataFrame | None = None, *, mode: str = "errorifexists") -> None:
-    """Write items, parameters and, if given, the index (label, sources)."""
-    cs.select("key", "count", "label").repartitionByRange("key").sortWithinPartitions("key").write.mode(mode).parquet(f"{path}/items")
-    spark = cs.sparkSession
-    spark.createDataFrame([(spec.to_json(),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/spec")
+def save(cs: DataFrame, spec: FilterSpec, path: str, index: DataFrame | None = None, *, block_labels: DataFrame | None = None, mode: str = "errorifexists") -> None:
+    """Write items, parameters and, if given, the index (label, sources) and the blocks' payloads (block_id, payload)."""
+    order = key_order("key", spec)
+    cs.select("key", "count", "label").repartitionByRange(order).sortWithinPartitions(order).write.mode(mode).parquet(f"{path}/items")
+    write_spec(cs.sparkSession, spec, path, mode=mode)
     if index is not None:
         index.select("label", "sources").write.mode(mode).parquet(f"{path}/labels")
+    if block_labels is not None:
+        block_labels.select("block_id", "payload").write.mode(mode).parquet(f"{path}/block_labels")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, FilterSpec, DataFrame | None]:
     """Items (read lazily), parameters, and the index or None."""
-    spec = FilterSpec.from_json(spark.read.text(f"{path}/spec").first()[0])
     index = spark.read.parquet(f"{path}/labels") if exists(spark, f"{path}/labels") else None
-    return spark.read.schema(SCHEMA).parquet(f"{path}/items"), spec, index
+    return spark.read.schema(SCHEMA).parquet(f"{path}/items"), read_spec(spark, path), index
+
+
+def load_block_labels(spark: SparkSession, path: str) -> DataFrame | None:
+    """(block_id, payload) stored with a set, or None."""
+    return spark.read.parquet(f"{path}/block_labels") if exists(spark, f"{path}/block_labels") else None
+
+
+def write_spec(spark: SparkSession, spec: FilterSpec, path: str, *, mode: str = "errorifexists") -> None:
+    spark.createDataFrame([(spec.to_json(),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/spec")
+
+
+def read_spec(spark: SparkSession, path: str) -> FilterSpec:
+    return FilterSpec.from_json(spark.read.text(f"{path}/spec").first()[0])
 
 
 def exists(spark: SparkSession, path: str) -> bool:

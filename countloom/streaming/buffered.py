@@ -1,18 +1,26 @@
-"""Buffered counting: a stored base, a delta beside it, and streams that feed the delta.
+"""Buffered counting: a stored base, batches beside it, and streams that feed the batches.
 
-Reads see both tiers.  A sync merges the delta into the next version of the base; versions are
-whole folders, and the newest complete one counts, so a run that breaks off leaves the old.
+Reads see both tiers.  A sync merges the batches into the next version of the base; versions are
+whole folders, and the newest complete one counts, so a run that breaks off leaves the old.  A version names
+the batches that are in it: a batch that comes again, because its stream was restarted before it had noted the end,
+is left out, and one that is written while a sync is under way stays for the next.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from countloom.operators import counted
+from countloom.operators import counted, labels, layout
 from countloom.operators.algebra import merge
 from countloom.plans.spec import FilterSpec
+from countloom.sources import tables
+
+#: How full the buffer may be before it is merged.
+FLUSH = 0.75
 
 
 def view(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -20,58 +28,173 @@ def view(base: DataFrame, delta: DataFrame) -> DataFrame:
     return merge(base, delta)
 
 
-def remove(base: DataFrame, delta: DataFrame, rows: DataFrame, **how) -> DataFrame:
+def remove(base: DataFrame, delta: DataFrame, rows: DataFrame, spec: FilterSpec | None = None, **how) -> DataFrame:
     """The merged view after taking counts once from the sum of both tiers."""
-    return counted.remove(view(base, delta), rows, **how)
+    return counted.remove(view(base, delta), rows, spec, **how)
 
 
 class BufferedSet:
-    """A counted set in a folder: base versions, and delta batches under the version they follow."""
+    """A counted set in a folder: base versions, and the batches that are not in the newest.
+
+    The parameters are stored with the set; one that is opened again needs none.  `buffer_bits`: quotient bits of the
+    buffer; when the batches fill FLUSH of its slots they are merged.  Without it only sync() merges.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, spec: FilterSpec):
-        self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+    def __init__(self, spark: SparkSession, path: str, spec: FilterSpec | None = None, *, buffer_bits: int | None = None):
+        self.spark, self.path, self.buffer_bits = spark, path.rstrip("/"), buffer_bits
         self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        stored = tables.read_spec(spark, self.path) if tables.exists(spark, f"{self.path}/spec") else None
+        if stored is None and spec is None:
+            raise ValueError("a new buffered set needs its parameters")
+        if stored is not None and spec is not None and stored != spec:
+            raise ValueError("the stored set has other parameters")
+        self.spec = stored or spec
+        if stored is None:
+            tables.write_spec(spark, spec, self.path)
 
     def _names(self, folder: str) -> list[str]:
         where = self.fs_path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(where)) if self.fs.exists(where) else []
 
+    def _delete(self, name: str) -> None:
+        self.fs.delete(self.fs_path(f"{self.path}/{name}"), True)
+
+    # tiers
+
     def version(self) -> int:
         """Number of the newest complete base; 0 before the first sync."""
-        done = [int(n.split("-")[1]) for n in self._names(self.path) if n.startswith("base-") and self.fs.exists(self.fs_path(f"{self.path}/{n}/_SUCCESS"))]
+        done = [int(n.split("-")[1]) for n in self._names(self.path) if n.startswith("base-") and self.fs.exists(self.fs_path(f"{self.path}/{n}/items/_SUCCESS"))]
         return max(done, default=0)
 
     def base(self) -> DataFrame:
         v = self.version()
-        return self.spark.read.schema(counted.SCHEMA).parquet(f"{self.path}/base-{v:09d}") if v else counted.empty(self.spark)
+        return self.spark.read.schema(counted.SCHEMA).parquet(f"{self.path}/base-{v:09d}/items") if v else counted.empty(self.spark)
 
-    def delta(self) -> DataFrame:
-        folder = f"{self.path}/delta-{self.version():09d}"
-        if not self._names(folder):
+    def merged_batches(self) -> set[str]:
+        """Names of the batches that the base has."""
+        v = self.version()
+        return {r["value"] for r in self.spark.read.text(f"{self.path}/base-{v:09d}/batches").collect()} if v else set()
+
+    def waiting(self) -> list[str]:
+        """Names of complete batches that the base has not."""
+        done = self.merged_batches()
+        return [n for n in self._names(f"{self.path}/delta") if n not in done and self.fs.exists(self.fs_path(f"{self.path}/delta/{n}/_SUCCESS"))]
+
+    def _delta(self, names: list[str]) -> DataFrame:
+        if not names:
             return counted.empty(self.spark)
-        rows = self.spark.read.schema("key bigint, count bigint, label bigint").parquet(f"{folder}/*")
+        rows = self.spark.read.schema(counted.SCHEMA).parquet(*(f"{self.path}/delta/{n}" for n in names))
         return rows.groupBy("key").agg(F.sum("count").alias("count"), F.max("label").alias("label"))
 
+    def delta(self) -> DataFrame:
+        return self._delta(self.waiting())
+
     def items(self) -> DataFrame:
         """What all inserts so far amount to."""
-        return view(self.base(), self.delta())
+        return self._saturated(view(self.base(), self.delta()))
+
+    def _saturated(self, items: DataFrame) -> DataFrame:
+        return items.withColumn("count", counted.saturated(F.col("count"), self.spec))
+
+    # changes
 
     def insert(self, rows: DataFrame, batch: str, *, key: str = "key", n: str | None = None) -> None:
-        """Append counted rows as one named batch; the same batch again replaces itself (exactly once)."""
-        counted.build(rows, self.spec, key=key, n=n).write.mode("overwrite").parquet(f"{self.path}/delta-{self.version():09d}/{batch}")
+        """Append counted rows as one named batch; the same batch again replaces itself, or is left out once it is merged.
 
-    def sync(self) -> None:
-        """Merge the delta into the next base."""
+        OverflowError if both tiers together need more slots than the disk's limit leaves.
+        """
+        if batch in self.merged_batches():
+            return
+        counted.build(rows, self.spec, key=key, n=n).write.mode("overwrite").parquet(f"{self.path}/delta/{batch}")
+        if self.buffer_bits is None:
+            return
+        waiting = layout.occupied(self.delta(), self.spec).first()["slots"]
+        base = layout.occupied(self.base(), self.spec).first()["slots"]
+        if waiting + base > self.spec.capacity(disk=True):
+            self._delete(f"delta/{batch}")
+            raise OverflowError(f"{waiting + base} slots are needed, {self.spec.capacity(disk=True)} may be occupied")
+        if waiting > FLUSH * (1 << self.buffer_bits):
+            self.sync()
+
+    def _write(self, items: DataFrame, batches: set[str]) -> None:
+        """The next version, then nothing of what it makes superfluous; the last version stays for those who read it."""
         v = self.version()
-        merged = view(self.base(), self.delta())
-        if self.spec.maximum_count is not None:
-            merged = merged.withColumn("count", F.least("count", F.lit(self.spec.maximum_count)))
-        merged.write.mode("overwrite").parquet(f"{self.path}/base-{v + 1:09d}")
-        self.fs.delete(self.fs_path(f"{self.path}/delta-{v:09d}"), True)
+        folder = f"{self.path}/base-{v + 1:09d}"
+        names = self.spark.createDataFrame([(b,) for b in sorted(batches)], "value string")
+        names.coalesce(1).write.mode("overwrite").text(f"{folder}/batches")
+        items.select("key", "count", "label").write.mode("overwrite").parquet(f"{folder}/items")
+        for batch in self._names(f"{self.path}/delta"):
+            if batch in batches:
+                self._delete(f"delta/{batch}")
+        for name in self._names(self.path):
+            if name.startswith("base-") and int(name.split("-")[1]) < v:
+                self._delete(name)
+
+    def sync(self) -> None:
+        """Merge the batches that are complete now into the next base."""
+        batches = self.waiting()
+        self._write(self._saturated(view(self.base(), self._delta(batches))), self.merged_batches() | set(batches))
+
+    def _change(self, change, batch: str | None) -> None:
+        done, batches = self.merged_batches(), self.waiting()
+        if batch is None or batch not in done:
+            items = change(self._saturated(view(self.base(), self._delta(batches))))
+            self._write(items, done | set(batches) | ({batch} if batch else set()))
+
+    def remove(self, rows: DataFrame, batch: str | None = None, *, key: str = "key", n: str | None = None) -> None:
+        """Take counts once from the sum of both tiers, into the next base; a named batch is taken once."""
+        self._change(lambda items: counted.remove(items, rows, self.spec, key=key, n=n), batch)
+
+    def add_labels(self, assigned: DataFrame, batch: str | None = None) -> None:
+        """Labels of existing keys (key, label) set, in the next base."""
+        self._change(lambda items: labels.add_labels(items, assigned, self.spec), batch)
+
+    def remove_labels(self, keys: DataFrame, batch: str | None = None) -> None:
+        """Labels of the given keys set to 0, in the next base; counts stay."""
+        self._change(lambda items: labels.remove_labels(items, keys, self.spec), batch)
+
+    def drop_buffer(self) -> None:
+        """Merge the batches and leave none."""
+        self.sync()
+        self._delete("delta")
+
+    def reset(self) -> None:
+        """No items in either tier; the parameters stay, and so does the knowledge of what was merged."""
+        self._write(counted.empty(self.spark), self.merged_batches() | set(self.waiting()))
+
+    def copy(self, path: str) -> BufferedSet:
+        """The same items as a set of its own."""
+        other = BufferedSet(self.spark, path, self.spec, buffer_bits=self.buffer_bits)
+        other._write(self.items(), self.merged_batches() | set(self.waiting()))
+        return other
+
+    # lookups
+
+    def count_key(self, key: int) -> int:
+        return counted.count_key(self.items(), key, self.spec)
+
+    def query(self, keys: DataFrame, *, key: str = "key") -> DataFrame:
+        """(key, count, label) of the distinct keys asked for, zeros for absent ones."""
+        return counted.query(self.items(), keys, self.spec, key=key)
+
+    def batch_query(self, batch: DataFrame, *, key: str = "key") -> DataFrame:
+        """(key, count) of the batch's keys that either tier holds, counts of both added."""
+        return counted.batch_query(self.items(), batch, self.spec, key=key)
+
+    def get_labels(self, keys: DataFrame) -> DataFrame:
+        return labels.get_labels(self.items(), keys, self.spec)
+
+    def space(self) -> DataFrame:
+        """One row (percent): how much of the disk's slots both tiers occupy, each for itself."""
+        tiers = layout.occupied(self.base(), self.spec).unionAll(layout.occupied(self.delta(), self.spec))
+        return tiers.agg((F.sum("slots") * 100 / self.spec.all_slots).cast("int").alias("percent"))
+
+    # streams
 
     def feed(self, stream: DataFrame, checkpoint: str, *, key: str, n: str | None = None, **trigger) -> StreamingQuery:
         """Start counting a stream into the delta, one batch each trigger; by default all that is there."""
+
         def one(rows: DataFrame, number: int) -> None:
             self.insert(rows, f"batch-{number:012d}", key=key, n=n)
 
@@ -83,7 +206,53 @@ def running_counts(stream: DataFrame, spec: FilterSpec, *, key: str) -> DataFram
     return counted.build(stream, spec, key=key)
 
 
-def windowed_counts(stream: DataFrame, *, time: str, key: str, late: str, width: str) -> DataFrame:
-    """(start, key, count) over tumbling windows; rows later than `late` behind the newest are dropped."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(key).alias("key"))
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
+def windowed_counts(stream: DataFrame, *, time: str, key: str, late: str, width: str, slide: str | None = None) -> DataFrame:
+    """(start, key, count) over tumbling or, with slide, overlapping windows; rows later than `late` behind the newest are dropped."""
+    timed = _timed(stream, time, late).groupBy(F.window(time, width, slide).alias("w"), F.col(key).alias("key"))
     return timed.agg(F.count("*").alias("count")).select(F.col("w.start").alias("start"), "key", "count")
+
+
+def session_counts(stream: DataFrame, *, time: str, key: str, late: str, gap: str) -> DataFrame:
+    """(start, end, key, count) of each key's runs of rows with less than `gap` between them."""
+    timed = _timed(stream, time, late).groupBy(F.session_window(time, gap).alias("w"), F.col(key).alias("key"))
+    return timed.agg(F.count("*").alias("count")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "key", "count")
+
+
+def without_repeats(stream: DataFrame, *, time: str, late: str, by: list[str]) -> DataFrame:
+    """The rows, of those equal in `by` within the watermark the first."""
+    return _timed(stream, time, late).dropDuplicatesWithinWatermark(by)
+
+
+def _take_in(maximum: int | None):
+    def step(key, frames, state):
+        """Adds each trigger's changes, first the insertions, then the removals, down to none and up to the maximum."""
+        import pandas as pd
+
+        count = state.get[0] if state.exists else 0
+        more, less = 0, 0
+        for frame in frames:
+            more += int(frame["n"].clip(lower=0).sum())
+            less += int(-frame["n"].clip(upper=0).sum())
+        count = max(0, (count + more if maximum is None else min(count + more, maximum)) - less)
+        state.update((count,))
+        yield pd.DataFrame({"key": [key[0]], "count": [count]})
+
+    return step
+
+
+def running_changes(stream: DataFrame, spec: FilterSpec, *, key: str, n: str) -> DataFrame:
+    """(key, count) after each trigger, for insertions (n > 0) and removals (n < 0), saturated; update mode."""
+    from countloom.functions.expressions import key_in_range
+
+    changes = stream.select(key_in_range(key, spec).alias("key"), F.col(n).cast("bigint").alias("n"))
+    # one row a key and trigger leaves the JVM for each sign
+    return changes.groupBy("key").applyInPandasWithState(_take_in(spec.maximum_count), "key bigint, count bigint", "count bigint", "update", "NoTimeout")
+
+
+def scratch(root: str) -> str:
+    """A folder of one's own below `root`."""
+    return f"{root}/countloom-{uuid.uuid4().hex}"

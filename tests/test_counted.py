@@ -133,7 +133,7 @@ def test_layout_is_greedy_placement(spark):
 
 
 def test_spec_errors():
-    for bad in (dict(quotient_bits=0), dict(key_bits=64), dict(fixed_counter_size=0), dict(maximum_count=0)):
+    for bad in (dict(quotient_bits=0), dict(key_bits=65), dict(policy="wrap"), dict(fixed_counter_size=0), dict(maximum_count=0)):
         with pytest.raises(ValueError):
             FilterSpec(**bad)
     with pytest.raises(ValueError):
