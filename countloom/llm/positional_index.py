@@ -352,19 +352,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH,
     return matches(docs, benchmark, width=width, slop=slop).select(*columns, *near)
 
 
-def oracle_sql(width: int = WIDTH) -> str:
+def oracle_sql(width: int = WIDTH, slop: int = 3) -> str:
     """contamination() of `documents` against `benchmark` as DuckDB SQL, for tables without repeated ids."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = f"regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
     return f"""with d as (select doc_id, {words} as w from documents),
 b as (select item_id, {words} as w from benchmark),
-windows as (select distinct item_id, least(len(w), {width}) as n, array_to_string(w[i:i + {width - 1}], ' ') as g from (select item_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) as i from b where len(w) > 0) t),
+windows as (select distinct item_id, least(len(w), {width}) as n, w[i:i + {width - 1}] as g from (select item_id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) as i from b where len(w) > 0) t),
 starts as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from windows) s where len(w) >= n),
-hits as (select doc_id, i, t.n, item_id from (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from starts) t join windows using (n, g)),
+hits as (select doc_id, i, t.n, item_id from (select doc_id, i, n, w[i:i + n - 1] as g from starts) t join windows using (n, g)),
 covered as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from hits) h) c group by doc_id),
-items as (select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as s from (select distinct doc_id, cast(item_id as varchar) as item_id from hits) i group by doc_id)
-select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join covered using (doc_id) left join items using (doc_id)"""
+items as (select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as s from (select distinct doc_id, cast(item_id as varchar) as item_id from hits) i group by doc_id),
+p as (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as pos from d),
+often as (select t, count(*) as c from p group by t),
+wins as (select g, n, row_number() over (order by g) as wid from (select distinct g, n from windows where n > 1) x),
+wt as (select wid, n, unnest(g) as t, generate_subscripts(g, 1) as k from wins),
+seed as (select wid, arg_min(t, c * 100 + k) as t, arg_min(k, c * 100 + k) as k from wt left join often using (t) group by wid, n having count(c) = n),
+cand as (select distinct wid, doc_id, pos - k + shift as start from seed join p using (t), (select unnest(range(-{slop}, {slop + 1})) as shift) x),
+near as (select distinct wid, doc_id from (select c.wid, c.doc_id, c.start from cand c join wt on wt.wid = c.wid join p on p.doc_id = c.doc_id and p.t = wt.t and p.pos between c.start + wt.k - {slop} and c.start + wt.k + {slop} group by 1, 2, 3, wt.n having count(distinct wt.k) = wt.n) y),
+nearby as (select doc_id, count(distinct item_id) as n_near_items from near join wins using (wid) join windows using (g, n) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near_items, 0) as n_near_items
+from d left join covered using (doc_id) left join items using (doc_id) left join nearby using (doc_id)"""
 
 
 def _keep(sent, text_at, batches):

@@ -137,9 +137,11 @@ def best_pieces(word, scores, byte_score):
     return best[-1][2]
 
 
-def test_op4(spark, sf_dir, duck):
-    want = duck.execute(registry.ORACLE["op4_license_rules"]).df()
-    got = registry.op4_license_rules(spark, sf_dir).toPandas()
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_query_matches_sql(spark, sf_dir, duck, name):
+    want = duck.execute(registry.ORACLE[name]).df()
+    got = registry.QUERIES[name](spark, sf_dir).toPandas()
+    assert sorted(got) == sorted(want) and len(got)
     assert sorted(map(tuple, got[sorted(got)].values.tolist())) == sorted(map(tuple, want[sorted(got)].values.tolist()))
 
 
