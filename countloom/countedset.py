@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from countloom.functions.expressions import key_order
 from countloom.operators import algebra, counted, labels, layout, sizing
@@ -41,6 +42,10 @@ class CountedSet:
     def _with(self, items: DataFrame, index: DataFrame | None = None) -> CountedSet:
         return CountedSet(items, self.spec, index)
 
+    def copy(self) -> CountedSet:
+        """The same set: nothing changes in place."""
+        return self._with(self.items, self.index)
+
     def _other(self, other: CountedSet) -> DataFrame:
         self.spec.require_same_keys(other.spec)
         return other.items
@@ -168,5 +173,60 @@ class CountedSet:
     def layout(self) -> DataFrame:
         return layout.layout(self.items, self.spec)
 
+    def dump(self, payloads: DataFrame | None = None) -> DataFrame:
+        """What each block holds."""
+        return layout.dump(self.items, self.spec, payloads)
+
     def estimate_requirement(self) -> tuple[int, int, int]:
         return sizing.estimate_requirement(sizing.count_histogram(self.items), self.spec.key_bits, self.spec.label_bits)
+
+
+class LayeredSet(CountedSet):
+    """A set in two layers: items counted once, and the others.  All operations are those of the whole.
+
+    The layers are predicates of one relation, so an item never has to be moved; stored, each has its own parameters.
+    """
+
+    def __init__(self, items: DataFrame, spec: FilterSpec, index: DataFrame | None = None, *, repeated_spec: FilterSpec | None = None):
+        super().__init__(items, spec, index)
+        self.repeated_spec = repeated_spec or spec
+        spec.require_same_keys(self.repeated_spec)
+
+    def _with(self, items: DataFrame, index: DataFrame | None = None) -> LayeredSet:
+        return LayeredSet(items, self.spec, index, repeated_spec=self.repeated_spec)
+
+    @classmethod
+    def of_layers(cls, rows: DataFrame, spec: FilterSpec, repeated_spec: FilterSpec | None = None, *, key: str = "key", n: str | None = None) -> LayeredSet:
+        """Count rows that may repeat."""
+        return cls(counted.build(rows, spec, key=key, n=n), spec, repeated_spec=repeated_spec)
+
+    def singletons(self) -> CountedSet:
+        return CountedSet(counted.singletons(self.items), self.spec)
+
+    def repeated(self) -> CountedSet:
+        return CountedSet(counted.repeated(self.items), self.repeated_spec)
+
+    def reset(self) -> LayeredSet:
+        return self._with(counted.empty(self.items.sparkSession))
+
+    def space(self) -> int:
+        """Percent full of the fuller layer."""
+        return layout.layered_space([(self.singletons().items, self.spec), (self.repeated().items, self.repeated_spec)]).first()["percent"]
+
+    def check_capacity(self, **how) -> None:
+        self.singletons().check_capacity(**how)
+        self.repeated().check_capacity(**how)
+
+    def dump(self, payloads: DataFrame | None = None) -> DataFrame:
+        """What each block of each layer (0: counted once) holds."""
+        both = [part.dump(payloads).withColumn("layer", F.lit(i)) for i, part in enumerate((self.singletons(), self.repeated()))]
+        return both[0].unionByName(both[1])
+
+    def save(self, path: str, **how) -> None:
+        self.singletons().save(f"{path}/once", **how)
+        self.repeated().save(f"{path}/more", **how)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LayeredSet:
+        once, more = CountedSet.load(spark, f"{path}/once"), CountedSet.load(spark, f"{path}/more")
+        return cls(once.items.unionByName(more.items), once.spec, repeated_spec=more.spec)

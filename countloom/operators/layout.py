@@ -94,6 +94,15 @@ def blocks(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     return local.join(F.broadcast(base), "part").select("block_id", "n", (F.col("n_before") + F.col("base")).cast("bigint").alias("n_before"))
 
 
+def dump(cs: DataFrame, spec: FilterSpec, payloads: DataFrame | None = None) -> DataFrame:
+    """(block_id, n, slots, first_key, last_key, payload): what begins in each block that something begins in."""
+    placed = _placed(cs, spec).withColumn("block_id", F.expr(f"slot div {BLOCK_SLOTS}"))
+    rows = placed.groupBy("block_id").agg(F.count("*").alias("n"), F.sum("len").alias("slots"), F.min_by("key", "slot").alias("first_key"), F.max_by("key", "slot").alias("last_key"))
+    if payloads is None:
+        return rows.withColumn("payload", F.lit(None).cast("string"))
+    return rows.join(payloads.select("block_id", "payload"), "block_id", "left")
+
+
 def clusters(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     """(start, length, n) of every maximal run of occupied slots."""
     return _placed(cs, spec).groupBy("shift").agg(F.min("slot").alias("start"), F.sum("len").alias("length"), F.count("*").alias("n")).drop("shift")

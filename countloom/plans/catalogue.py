@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.countedset import CountedSet
+from countloom.countedset import CountedSet, LayeredSet
 from countloom.functions import expressions as X
 from countloom.operators import algebra, counted, labels, layout, sizing
 from countloom.plans.spec import FilterSpec
@@ -382,6 +382,12 @@ def block_counts(spark, sf_dir):
     return layout.blocks(scrambled(spark, sf_dir, "A"), SPEC)
 
 
+@register(f"{PLACED} select slot // 64 as block_id, count(*) as n, cast(sum(len) as bigint) as slots, min(key) as first_key, max(key) as last_key, cast(slot // 64 * 3 as varchar) as payload from z group by slot // 64")
+def block_dump(spark, sf_dir):
+    payloads = spark.range(SPEC.blocks).select(F.col("id").alias("block_id"), (F.col("id") * 3).cast("string").alias("payload"))
+    return layout.dump(scrambled(spark, sf_dir, "A"), SPEC, payloads)
+
+
 @register(f"""{PLACED}, c as (select slot, len, case when slot > coalesce(lag(slot + len) over (order by slot), -1) then 1 else 0 end as fresh from z),
 d as (select slot, len, sum(fresh) over (order by slot rows between unbounded preceding and current row) as id from c)
 select min(slot) as start, cast(sum(len) as bigint) as length, count(*) as n from d group by id""")
@@ -412,6 +418,20 @@ def resize(spark, sf_dir):
     return larger.layout().select("key", "count", "len", "slot")
 
 
+@register(f"select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select * from {R} r) u group by key")
+def layered_merge(spark, sf_dir):
+    """Layers of A, stored and read again, merged with those of R."""
+    path = _scratch(spark)
+    LayeredSet(source(spark, sf_dir, "A"), SPEC).save(path)
+    return LayeredSet.load(spark, path).merge(LayeredSet(source(spark, sf_dir, "R"), SPEC)).items.select("key", "count")
+
+
+@register(f"select cast(sum(t.count * r.count) as bigint) as product from {R} r join (select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select * from {N} n) u group by key) t on t.key = r.key")
+def buffered_inner_product(spark, sf_dir):
+    product = _buffered(spark, sf_dir).as_set().inner_product(CountedSet(source(spark, sf_dir, "R"), SPEC))
+    return spark.createDataFrame([(product,)], "product bigint")
+
+
 @register(f"select cast(floor(100.0 * max(s) / {SPEC.all_slots}) as integer) as percent from (select sum({SLOTS}) as s from {S} t group by count = 1) u")
 def layered_space(spark, sf_dir):
     cs = scrambled(spark, sf_dir, "A")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from countloom.countedset import CountedSet
 from countloom.operators import counted, labels, layout
 from countloom.operators.algebra import merge
 from countloom.plans.spec import FilterSpec
@@ -190,6 +191,15 @@ class BufferedSet:
         tiers = layout.occupied(self.base(), self.spec).unionAll(layout.occupied(self.delta(), self.spec))
         return tiers.agg((F.sum("slots") * 100 / self.spec.all_slots).cast("int").alias("percent"))
 
+    def as_set(self) -> CountedSet:
+        """Both tiers as one set, for merges, products and all else."""
+        return CountedSet(self.items(), self.spec)
+
+    def dump(self) -> DataFrame:
+        """What each block holds, of the base (tier 0) and of the batches."""
+        tiers = [layout.dump(t, self.spec).withColumn("tier", F.lit(i)) for i, t in enumerate((self.base(), self.delta()))]
+        return tiers[0].unionByName(tiers[1])
+
     # streams
 
     def feed(self, stream: DataFrame, checkpoint: str, *, key: str, n: str | None = None, **trigger) -> StreamingQuery:

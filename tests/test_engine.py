@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from countloom.countedset import CountedSet
+from countloom.countedset import CountedSet, LayeredSet
 from countloom.functions import expressions as X
 from countloom.operators import algebra, counted, labels, layout, ranges, sizing
 from countloom.plans.spec import FilterSpec
@@ -245,3 +245,29 @@ def test_running_changes_over_triggers(spark, tmp_path):
 
     buffered.running_changes(stream, spec, key="key", n="n").writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     assert got == {1: 0, 2: 3, 3: 0}
+
+
+def test_layered_set(spark, tmp_path):
+    spec, more = FilterSpec(8, 18), FilterSpec(6, 18)
+    both = LayeredSet.of_layers(keys(spark, [1, 2, 2, 3, 9]), spec, more)
+    assert both.singletons().distinct() == 3 and both.repeated().distinct() == 1
+    grown = both.insert(keys(spark, [1, 5]))
+    assert isinstance(grown, LayeredSet) and grown.repeated().distinct() == 2 and grown.count_key(1) == 2
+    assert grown.remove(keys(spark, [1])).singletons().count_key(1) == 1
+    assert both.space() == max(both.singletons().space(), both.repeated().space())
+    assert {(r.layer, r.n) for r in both.dump().collect()} == {(0, 3), (1, 1)}
+    grown.save(str(tmp_path / "set"))
+    again = LayeredSet.load(spark, str(tmp_path / "set"))
+    assert again.equals(grown) and again.repeated_spec == more and again.reset().distinct() == 0
+    again.check_capacity()
+    with pytest.raises(ValueError):
+        LayeredSet(both.items, spec, repeated_spec=FilterSpec(6, 20))
+
+
+def test_buffered_dump_and_set(spark, tmp_path):
+    held = buffered.BufferedSet(spark, str(tmp_path / "set"), SPEC)
+    held.insert(keys(spark, [1, 2]), "a")
+    held.sync()
+    held.insert(keys(spark, [2, 3, 3]), "b")
+    assert {(r.tier, r.n) for r in held.dump().collect()} == {(0, 2), (1, 2)}
+    assert held.as_set().magnitude() == 3 and held.as_set().merge(held.as_set()).count_key(3) == 4
