@@ -67,7 +67,7 @@ def utf8_list(column) -> list[bytes | None]:
 
 
 #: Rows and bytes of one batch between the JVM and Python, set where the session has Spark's defaults.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -73,7 +73,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
             label = label[label]
 
 
-def linked(words: np.ndarray, limit: int, block: int = 512) -> np.ndarray:
+def linked(words: np.ndarray, limit: int, block: int = 128) -> np.ndarray:
     """Root number of each word: two words share it if a chain of near words joins them."""
     order = np.argsort(gray_rank(words), kind="stable")
     index, label = GrayIndex(words[order]), np.arange(len(words))

@@ -34,6 +34,8 @@ SEGMENT_BYTES = 4 << 20
 BROADCAST_BYTES = 4 << 20
 #: Windows that one segment is asked for at a time, where the benchmark is larger.
 BLOCK_WINDOWS = 100_000
+#: Candidate places looked at together.
+CANDIDATES = 500_000
 #: Positions between two documents of a segment, so that nothing reaches from one into the next (twice the slop must be
 #: less), and room that a window may ask for beyond a segment's ends.
 GAP, ROOM = 32, 4096
@@ -119,6 +121,13 @@ class Segment:
         offsets = np.where(offsets < length[:, None], offsets, 0)  # the filling asks for the first term again
         order = np.argsort(self.counts[number], axis=1, kind="stable")
         number, offsets = np.take_along_axis(number, order, 1), np.take_along_axis(offsets, order, 1)
+        # some windows at a time, so that a term which stands everywhere in the segment needs no more room than others
+        so_far = np.cumsum(self.counts[number[:, 0]] * (2 * slop + 1)) // CANDIDATES
+        found = [self._places(alive[k], number[k], offsets[k], slop) for k in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(so_far)) + 1)]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def _places(self, alive: np.ndarray, number: np.ndarray, offsets: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of windows whose terms come by number, the rarest first."""
         which, at = spread(self.starts[number[:, 0]], self.counts[number[:, 0]])
         start = self.positions[at].astype(np.int64) - offsets[which, 0]
         if slop:

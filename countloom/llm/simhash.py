@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import bounded_batches, cut, unused, utf8_list
+from countloom.llm.common import bounded_batches, cut, give_back, unused, utf8_list
 from countloom.llm.components import components
 from countloom.llm.gray_index import linked
 
@@ -54,6 +54,7 @@ def _fingerprints(batches):
     for batch in batches:
         words = np.array([fingerprint(t or b"") for t in utf8_list(batch.column(1))], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.view(np.int64))], ["doc_id", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,6 +118,7 @@ def _edges(limit, batches):
                 yield close([x[:last] for x in rows])
     if rest is not None and len(rest[0]):
         yield close(rest)
+    give_back()
 
 
 def near_edges(nodes: DataFrame, *, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
