@@ -3,7 +3,7 @@
 A page is a sequence of tokens: tags by their path (with class and id), and text blocks by path and
 text.  Over a host's pages a token has an occurrence vector (how often it is on each page); tokens
 with equal vectors form an equivalence class.  A class is valid if it occurs on LEAST_PAGES
-different pages or more and its tokens keep their order (each is always preceded by the same one).  Classes nest: what
+different pages and LEAST_SHARE of the host's or more, and its tokens keep their order (each is always preceded by the same one).  Classes nest: what
 stands before a class's tokens belongs to the class itself or to one other, its parent, which must be valid and on all its
 pages too; the root is the class of the page itself.  The nested classes of two tokens or more are the host's template.  Text
 that belongs to it is left out, and the slots that remain are judged by where they lie and extracted.
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from countloom.llm.common import bounded_batches, cut, give_back, utf8_list
 
-#: Different pages that a class needs: its support.
-LEAST_PAGES = 4
+#: Different pages that a class needs, told apart by 63 hash values, and its least share of the host's pages: so a template
+#: has the tokens of some hundred pages at most, however many the host has.
+LEAST_PAGES, LEAST_SHARE = 4, 0.01
 #: Rounds in which nested classes are accepted below accepted ones.
 NESTING = 4
 #: Template tokens of all hosts that may be broadcast; beyond it they are joined.
@@ -253,11 +254,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-VECTORS = "host string, token bigint, v1 bigint, v2 bigint, pages bigint, first_before bigint, last_before bigint, is_text boolean, some array<bigint>"
+VECTORS = "host string, token bigint, v1 bigint, v2 bigint, pages bigint, first_before bigint, last_before bigint, is_text boolean, mask bigint"
 
 
-def _vectors(least_pages, batches):
-    """Per batch and host: tokens with the sums that make their vectors' fingerprints, and the least hashes of their pages."""
+def _vectors(batches):
+    """Per batch and host: tokens with the sums that make their vectors' fingerprints, and one bit for each hash of their pages."""
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
         for url, raw in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1)), strict=True):
@@ -270,23 +271,21 @@ def _vectors(least_pages, batches):
                 t = token(b.path, f"\x00{b.text}")
                 tokens[t] = tokens.get(t, (0,))[0] + 1, b.path, True
             tokens[PAGE] = 1, PAGE, False
-            page = own - (1 << 63)
+            page = 1 << own % 63
             for t, (n, before, is_text) in tokens.items():
                 mixed = xxhash.xxh64_intdigest(own.to_bytes(8, "little"), n)
                 row = sums.get((host, t))
                 if row is None:
-                    sums[host, t] = [mixed & 0x3FFFFFFF, mixed >> 34, 1, before, before, is_text, {page}]
+                    sums[host, t] = [mixed & 0x3FFFFFFF, mixed >> 34, 1, before, before, is_text, page]
                 else:
                     row[0] += mixed & 0x3FFFFFFF
                     row[1] += mixed >> 34
                     row[2] += 1
                     row[3], row[4] = min(row[3], before), max(row[4], before)
-                    row[6].add(page)
-                    if len(row[6]) > least_pages:
-                        row[6].remove(max(row[6]))
-        rows = [(h, t, *v[:6], sorted(v[6])) for (h, t), v in sums.items()]
+                    row[6] |= page
+        rows = [(h, t, *v) for (h, t), v in sums.items()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-        kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.list_(pa.int64())]
+        kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in VECTORS.split(", ")])
     give_back()
 
@@ -294,7 +293,7 @@ def _vectors(least_pages, batches):
 def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, template): sorted text tokens of the nested valid classes of a host."""
     bounded_batches(pages.sparkSession)
-    sums = pages.select("url", "html").mapInArrow(functools.partial(_vectors, least_pages), VECTORS)
+    sums = pages.select("url", "html").mapInArrow(_vectors, VECTORS)
     per = sums.groupBy("host", "token").agg(
         F.sum("v1").alias("v1"),
         F.sum("v2").alias("v2"),
@@ -302,7 +301,7 @@ def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES) -> DataFrame:
         F.min("first_before").alias("before"),
         (F.min("first_before") == F.max("last_before")).alias("ordered"),
         F.max("is_text").alias("is_text"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("some")))).alias("different"),
+        F.bit_count(F.bit_or("mask")).alias("different"),
     )
     per = cut(per.filter(F.col("different") >= least_pages).withColumn("class", F.xxhash64("v1", "v2", "pages")).drop("v1", "v2"))
     # the class that each token's predecessor belongs to
@@ -311,6 +310,7 @@ def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES) -> DataFrame:
     parents = F.collect_set(F.when(F.col("above") != F.col("class"), F.col("above")))
     classes = placed.groupBy("host", "class").agg(
         F.count("*").alias("size"),
+        F.max("pages").alias("pages"),
         F.min("ordered").alias("ordered"),
         F.min(F.col("above").isNotNull() & (F.col("on") >= F.col("pages"))).alias("below"),
         parents.alias("parents"),
@@ -319,7 +319,9 @@ def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES) -> DataFrame:
     )
     # a single tag may hold others, but no text goes on its account
     tokens = F.when(F.col("size") >= 2, F.col("tokens")).otherwise(F.array().cast("array<bigint>"))
-    valid = cut(classes.filter("ordered and (root or below and size(parents) <= 1)").select("host", "class", "root", F.get("parents", 0).alias("parent"), tokens.alias("tokens")))
+    valid = cut(classes.filter("ordered and (root or below and size(parents) <= 1)").select("host", "class", "root", F.get("parents", 0).alias("parent"), "pages", tokens.alias("tokens")))
+    roots = valid.filter("root").select(F.col("host").alias("at"), F.col("pages").alias("n_pages"))
+    valid = valid.join(roots, F.col("host") == F.col("at")).filter(F.col("pages") >= LEAST_SHARE * F.col("n_pages")).drop("at", "n_pages")
     taken = valid.filter("root")
     level = taken
     for _ in range(NESTING):
