@@ -15,14 +15,21 @@ from countloom.plans.spec import FilterSpec
 
 
 def save(cs: DataFrame, spec: FilterSpec, path: str, index: DataFrame | None = None, *, block_labels: DataFrame | None = None, mode: str = "errorifexists") -> None:
-    """Write items, parameters and, if given, the index (label, sources) and the blocks' payloads (block_id, payload)."""
+    """Write items, parameters and, if given, the index (label, sources) and the blocks' payloads (block_id, payload).
+
+    Payloads of more than the spec's block_label_bytes are an error, unless that is 0.
+    """
     order = key_order("key", spec)
     cs.select("key", "count", "label").repartitionByRange(order).sortWithinPartitions(order).write.mode(mode).parquet(f"{path}/items")
     write_spec(cs.sparkSession, spec, path, mode=mode)
     if index is not None:
         index.select("label", "sources").write.mode(mode).parquet(f"{path}/labels")
     if block_labels is not None:
-        block_labels.select("block_id", "payload").write.mode(mode).parquet(f"{path}/block_labels")
+        payload = F.col("payload")
+        if spec.block_label_bytes:
+            long = F.raise_error(F.concat(F.lit("payload too long in block "), F.col("block_id").cast("string"))).cast(block_labels.schema["payload"].dataType)
+            payload = F.when(F.octet_length("payload") > spec.block_label_bytes, long).otherwise(payload)
+        block_labels.select("block_id", payload.alias("payload")).write.mode(mode).parquet(f"{path}/block_labels")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, FilterSpec, DataFrame | None]:

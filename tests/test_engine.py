@@ -214,6 +214,9 @@ def test_block_labels_are_stored(spark, tmp_path):
     items, spec, index = tables.load(spark, str(tmp_path / "set"))
     own = layout.with_block_labels(items, spec, tables.load_block_labels(spark, str(tmp_path / "set")))
     assert index is None and all(bytes(r.payload) == b"x%d" % r.block_id for r in own.filter("block_id < 5").collect()) and own.count() == items.count()
+    with pytest.raises(PySparkException, match="payload too long"):
+        tables.save(cs, FilterSpec(10, 18, block_label_bytes=1), str(tmp_path / "long"), block_labels=payloads)
+    tables.save(cs, FilterSpec(10, 18, block_label_bytes=2), str(tmp_path / "short"), block_labels=payloads)
     tables.save(cs, SPEC, str(tmp_path / "bare"))
     assert tables.load_block_labels(spark, str(tmp_path / "bare")) is None
 
