@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from countloom.llm import compact_windows, crf_toxicity, ftrl_quality, license_rules, positional_index, quality_rules, simhash, template_html, trie_bpe, unigram_trie
+from countloom.llm import compact_windows, crf_toxicity, ftrl_quality, license_rules, merge_replay, positional_index, quality_rules, simhash, template_html, tput_search, trie_bpe, unigram_trie, whitening
 
 
 def table(spark, sf_dir: str, name: str):
@@ -53,6 +53,18 @@ def op10_ftrl_quality(spark, sf_dir):
     return ftrl_quality.score(docs, ftrl_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_tput_search(spark, sf_dir):
+    return tput_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merge_replay(spark, sf_dir):
+    return merge_replay.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_svd_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +78,9 @@ QUERIES = {
         op8_trie_bpe,
         op9_positional_index,
         op10_ftrl_quality,
+        op11_tput_search,
+        op12_merge_replay,
+        op13_svd_whitening,
     )
 }
-ORACLE: dict[str, str] = {"op4_license_rules": license_rules.oracle_sql(), "op9_positional_index": positional_index.oracle_sql()}
+ORACLE: dict[str, str] = {"op4_license_rules": license_rules.oracle_sql(), "op9_positional_index": positional_index.oracle_sql(), "op11_tput_search": tput_search.oracle_sql()}
