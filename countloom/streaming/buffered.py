@@ -1,9 +1,8 @@
-"""Buffered counting: a stored base, batches beside it, and streams that feed the batches.
+"""Buffered counting: a stored base, changes beside it, and streams that feed them.
 
-Reads see both tiers.  A sync merges the batches into the next version of the base; versions are
-whole folders, and the newest complete one counts, so a run that breaks off leaves the old.  A version names
-the batches that are in it: a batch that comes again, because its stream was restarted before it had noted the end,
-is left out, and one that is written while a sync is under way stays for the next.
+Reads see both.  A sync merges what waits into the base, in the key ranges that it touches and no others.  Every accepted batch
+is named in the manifest of the change that brought it: one that comes again, because its stream was restarted before it had
+noted the end, is left out, and one that is written while a sync is under way stays for the next.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from countloom.countedset import CountedSet
 from countloom.operators import counted, labels, layout
 from countloom.operators.algebra import merge
 from countloom.plans.spec import FilterSpec
-from countloom.sources import tables
+from countloom.sources.tiered import BASE, INSERT, TieredSet
 
 #: How full the buffer may be before it is merged.
 FLUSH = 0.75
@@ -35,156 +34,108 @@ def remove(base: DataFrame, delta: DataFrame, rows: DataFrame, spec: FilterSpec
 
 
 class BufferedSet:
-    """A counted set in a folder: base versions, and the batches that are not in the newest.
+    """A counted set in a folder: a base in key ranges, and the changes that are not merged into it.
 
     The parameters are stored with the set; one that is opened again needs none.  `buffer_bits`: quotient bits of the
-    buffer; when the batches fill FLUSH of its slots they are merged.  Without it only sync() merges.
+    buffer; when the insertions that wait fill FLUSH of its slots they are merged.  Without it only sync() merges.
     """
 
-    def __init__(self, spark: SparkSession, path: str, spec: FilterSpec | None = None, *, buffer_bits: int | None = None):
-        self.spark, self.path, self.buffer_bits = spark, path.rstrip("/"), buffer_bits
-        self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        stored = tables.read_spec(spark, self.path) if tables.exists(spark, f"{self.path}/spec") else None
-        if stored is None and spec is None:
-            raise ValueError("a new buffered set needs its parameters")
-        if stored is not None and spec is not None and stored != spec:
-            raise ValueError("the stored set has other parameters")
-        self.spec = stored or spec
-        if stored is None:
-            tables.write_spec(spark, spec, self.path)
-
-    def _names(self, folder: str) -> list[str]:
-        where = self.fs_path(folder)
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(where)) if self.fs.exists(where) else []
-
-    def _delete(self, name: str) -> None:
-        self.fs.delete(self.fs_path(f"{self.path}/{name}"), True)
+    def __init__(self, spark: SparkSession, path: str, spec: FilterSpec | None = None, *, buffer_bits: int | None = None, ranges: int | None = None):
+        self.spark, self.buffer_bits = spark, buffer_bits
+        self.tiers = TieredSet(spark, path, spec, ranges=ranges)
+        self.path, self.spec = self.tiers.path, self.tiers.spec
 
     # tiers
 
     def version(self) -> int:
-        """Number of the newest complete base; 0 before the first sync."""
-        done = [int(n.split("-")[1]) for n in self._names(self.path) if n.startswith("base-") and self.fs.exists(self.fs_path(f"{self.path}/{n}/items/_SUCCESS"))]
-        return max(done, default=0)
+        """How many times changes were merged; 0 before the first sync."""
+        return self.tiers.manifest()["version"]
 
     def base(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(counted.SCHEMA).parquet(f"{self.path}/base-{v:09d}/items") if v else counted.empty(self.spark)
-
-    def merged_batches(self) -> set[str]:
-        """Names of the batches that the base has."""
-        v = self.version()
-        return {r["value"] for r in self.spark.read.text(f"{self.path}/base-{v:09d}/batches").collect()} if v else set()
+        return self.tiers._live(self.tiers.manifest(), [BASE]).select("key", "count", "label")
 
     def waiting(self) -> list[str]:
-        """Names of complete batches that the base has not."""
-        done = self.merged_batches()
-        return [n for n in self._names(f"{self.path}/delta") if n not in done and self.fs.exists(self.fs_path(f"{self.path}/delta/{n}/_SUCCESS"))]
+        """Names of the batches that the base has not, or not in all ranges."""
+        return sorted(b for g in self.tiers.manifest()["gens"] if g["kind"] != BASE for b in g["batches"])
 
-    def _delta(self, names: list[str]) -> DataFrame:
-        if not names:
-            return counted.empty(self.spark)
-        rows = self.spark.read.schema(counted.SCHEMA).parquet(*(f"{self.path}/delta/{n}" for n in names))
-        return rows.groupBy("key").agg(F.sum("count").alias("count"), F.max("label").alias("label"))
+    def _delta(self, m: dict) -> DataFrame:
+        rows = self.tiers._live(m, [INSERT])
+        return rows.groupBy("part", "key").agg(F.sum("count").alias("count")).select("key", "count", F.lit(0).cast("bigint").alias("label"))
 
     def delta(self) -> DataFrame:
-        return self._delta(self.waiting())
+        """The insertions that wait."""
+        return self._delta(self.tiers.manifest())
 
     def items(self) -> DataFrame:
-        """What all inserts so far amount to."""
-        return self._saturated(view(self.base(), self.delta()))
-
-    def _saturated(self, items: DataFrame) -> DataFrame:
-        return items.withColumn("count", counted.saturated(F.col("count"), self.spec))
+        """What all changes so far amount to; the base isn't shuffled."""
+        return self.tiers.items()
 
     # changes
 
     def insert(self, rows: DataFrame, batch: str, *, key: str = "key", n: str | None = None) -> None:
-        """Append counted rows as one named batch; the same batch again replaces itself, or is left out once it is merged.
+        """Append counted rows as one named batch; the same batch again is left out.
 
-        OverflowError if both tiers together need more slots than the disk's limit leaves.
+        OverflowError, and nothing is accepted, if both tiers together need more slots than the disk's limit leaves.
         """
-        if batch in self.merged_batches():
-            return
-        counted.build(rows, self.spec, key=key, n=n).write.mode("overwrite").parquet(f"{self.path}/delta/{batch}")
-        if self.buffer_bits is None:
-            return
-        waiting = layout.occupied(self.delta(), self.spec).first()["slots"]
-        base = layout.occupied(self.base(), self.spec).first()["slots"]
-        if waiting + base > self.spec.capacity(disk=True):
-            self._delete(f"delta/{batch}")
-            raise OverflowError(f"{waiting + base} slots are needed, {self.spec.capacity(disk=True)} may be occupied")
-        if waiting > FLUSH * (1 << self.buffer_bits):
+        full = []
+
+        def check(now: dict, new: dict) -> None:
+            waiting = layout.occupied(self._delta(new), self.spec).first()["slots"]
+            base = sum(s[2] for g in new["gens"] if g["kind"] == BASE for s in g["ranges"].values())
+            if waiting + base > self.spec.capacity(disk=True):
+                raise OverflowError(f"{waiting + base} slots are needed, {self.spec.capacity(disk=True)} may be occupied")
+            full.append(waiting > FLUSH * (1 << self.buffer_bits))
+
+        if self.tiers.insert(rows, batch, key=key, n=n, check=check if self.buffer_bits is not None else None) and full and full[-1]:
             self.sync()
 
-    def _write(self, items: DataFrame, batches: set[str]) -> None:
-        """The next version, then nothing of what it makes superfluous; the last version stays for those who read it."""
-        v = self.version()
-        folder = f"{self.path}/base-{v + 1:09d}"
-        names = self.spark.createDataFrame([(b,) for b in sorted(batches)], "value string")
-        names.coalesce(1).write.mode("overwrite").text(f"{folder}/batches")
-        items.select("key", "count", "label").write.mode("overwrite").parquet(f"{folder}/items")
-        for batch in self._names(f"{self.path}/delta"):
-            if batch in batches:
-                self._delete(f"delta/{batch}")
-        for name in self._names(self.path):
-            if name.startswith("base-") and int(name.split("-")[1]) < v:
-                self._delete(name)
-
-    def sync(self) -> None:
-        """Merge the batches that are complete now into the next base."""
-        batches = self.waiting()
-        self._write(self._saturated(view(self.base(), self._delta(batches))), self.merged_batches() | set(batches))
-
-    def _change(self, change, batch: str | None) -> None:
-        done, batches = self.merged_batches(), self.waiting()
-        if batch is None or batch not in done:
-            items = change(self._saturated(view(self.base(), self._delta(batches))))
-            self._write(items, done | set(batches) | ({batch} if batch else set()))
+    def sync(self, ratio: float = 0) -> list[int]:
+        """Merge what waits into the base, in ranges where it is at least `ratio` times as much as the base; the ranges that were rewritten."""
+        return self.tiers.compact(ratio)
 
     def remove(self, rows: DataFrame, batch: str | None = None, *, key: str = "key", n: str | None = None) -> None:
-        """Take counts once from the sum of both tiers, into the next base; a named batch is taken once."""
-        self._change(lambda items: counted.remove(items, rows, self.spec, key=key, n=n), batch)
+        """Take counts once from the sum of both tiers; a named batch is taken once."""
+        self.tiers.remove(rows, batch, key=key, n=n)
 
     def add_labels(self, assigned: DataFrame, batch: str | None = None) -> None:
-        """Labels of existing keys (key, label) set, in the next base."""
-        self._change(lambda items: labels.add_labels(items, assigned, self.spec), batch)
+        """Labels of existing keys (key, label) set."""
+        self.tiers.set_labels(assigned, batch)
 
     def remove_labels(self, keys: DataFrame, batch: str | None = None) -> None:
-        """Labels of the given keys set to 0, in the next base; counts stay."""
-        self._change(lambda items: labels.remove_labels(items, keys, self.spec), batch)
+        """Labels of the given keys set to 0; counts stay."""
+        self.tiers.set_labels(keys.select("key", F.lit(0).alias("label")), batch)
 
     def drop_buffer(self) -> None:
-        """Merge the batches and leave none."""
+        """Merge the changes and leave none."""
         self.sync()
-        self._delete("delta")
 
     def reset(self) -> None:
-        """No items in either tier; the parameters stay, and so does the knowledge of what was merged."""
-        self._write(counted.empty(self.spark), self.merged_batches() | set(self.waiting()))
+        """No items in either tier; the parameters stay, and so does the knowledge of what was accepted."""
+        self.tiers.clear()
 
     def copy(self, path: str) -> BufferedSet:
-        """The same items as a set of its own."""
+        """The same items as a set of its own, which knows the same batches."""
         other = BufferedSet(self.spark, path, self.spec, buffer_bits=self.buffer_bits)
-        other._write(self.items(), self.merged_batches() | set(self.waiting()))
+        other.tiers.load(self.items())
+        marks = self.tiers.manifest()["marks"]
+        other.tiers._commit(lambda now: now | {"marks": marks})
         return other
 
     # lookups
 
     def count_key(self, key: int) -> int:
-        return counted.count_key(self.items(), key, self.spec)
+        return self.tiers.count_key(key)
 
     def query(self, keys: DataFrame, *, key: str = "key") -> DataFrame:
         """(key, count, label) of the distinct keys asked for, zeros for absent ones."""
-        return counted.query(self.items(), keys, self.spec, key=key)
+        return self.tiers.query(keys, key=key)
 
     def batch_query(self, batch: DataFrame, *, key: str = "key") -> DataFrame:
         """(key, count) of the batch's keys that either tier holds, counts of both added."""
-        return counted.batch_query(self.items(), batch, self.spec, key=key)
+        return self.tiers.batch_query(batch, key=key)
 
     def get_labels(self, keys: DataFrame) -> DataFrame:
-        return labels.get_labels(self.items(), keys, self.spec)
+        return labels.get_labels(self.tiers.query(keys), keys, self.spec)
 
     def space(self) -> DataFrame:
         """One row (percent): how much of the disk's slots both tiers occupy, each for itself."""
@@ -196,7 +147,7 @@ class BufferedSet:
         return CountedSet(self.items(), self.spec)
 
     def dump(self) -> DataFrame:
-        """What each block holds, of the base (tier 0) and of the batches."""
+        """What each block holds, of the base (tier 0) and of the insertions that wait."""
         tiers = [layout.dump(t, self.spec).withColumn("tier", F.lit(i)) for i, t in enumerate((self.base(), self.delta()))]
         return tiers[0].unionByName(tiers[1])
 
