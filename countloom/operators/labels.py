@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countloom.functions.expressions import label_fits
@@ -87,3 +87,37 @@ def compose(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame
     combined = settled(both.groupBy("key").agg(F.sum("count").alias("count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources")))
     index = label_index(combined, n_sources)
     return combined.join(index, "sources").select("key", "count", "label"), index
+
+
+def _later(ids: str, by: int) -> Column:
+    return F.transform(ids, lambda s: (s + by).cast("int"))
+
+
+def compose_many(inputs: Sequence[tuple[DataFrame, DataFrame, int] | DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Compose any number of labelled sets (items, index, n_sources) and fresh ones (items alone, one source each) at once.
+
+    The sources of the inputs follow one another: ids of an input start where those of the ones before it end.  Items carry their
+    labels as they are; which combination of (input, label) pairs a key has is put into one number by which the
+    distinct combinations, and nothing else, are looked up in the indexes.
+    """
+    rows, index, base = None, None, 0
+    for i, one in enumerate(inputs):
+        items, own, n = (one, None, 1) if isinstance(one, DataFrame) else one
+        part = items.select(F.lit(i).alias("input"), "key", "count", (F.lit(0).cast("bigint") if own is None else F.col("label").cast("bigint")).alias("label"))
+        names = items.sparkSession.range(1).select(F.col("id").alias("label"), F.array(F.lit(0)).alias("sources")) if own is None else own.select("label", "sources")
+        moved = names.select(F.lit(i).alias("input"), F.col("label").cast("bigint").alias("label"), _later("sources", base).alias("sources"))
+        rows, index, base = (part, moved, base + n) if rows is None else (rows.unionAll(part), index.unionAll(moved), base + n)
+    # a key has at most one label an input: an array of them, as short as the inputs are few, is the combination
+    labels_of = F.array(*(F.coalesce(F.max(F.when(F.col("input") == i, F.col("label"))), F.lit(-1)) for i in range(len(inputs))))
+    per_key = settled(rows.groupBy("key").agg(F.sum("count").alias("count"), labels_of.alias("combination")).withColumn("code", F.xxhash64("combination")))
+    distinct = per_key.groupBy("code", "combination").agg(F.min("key").alias("first"))
+    each = distinct.select("code", "combination", "first", F.posexplode("combination").alias("input", "label")).filter("label >= 0")
+    spelled = each.join(index, ["input", "label"]).groupBy("code", "combination").agg(F.min("first").alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    spelled = settled(spelled)
+    # different combinations may name the same sources; those are one label
+    many = spelled.filter(F.size("sources") > 1).groupBy("sources").agg(F.min("first").alias("first"))
+    numbered = ranked(settled(many), F.col("first")).select((F.col("rank") + base).alias("label"), "sources")
+    single = per_key.sparkSession.range(base).select(F.col("id").alias("label"), F.array(F.col("id").cast("int")).alias("sources"))
+    found = single.unionByName(numbered)
+    code = spelled.join(found, "sources").select("code", "combination", "label")
+    return per_key.join(code, ["code", "combination"]).select("key", "count", "label"), found

@@ -208,9 +208,12 @@ def unsigned_keys(spark, sf_dir):
     return ranked.select(X.to_unsigned("key").cast("string").alias("key"), "count", "rank")
 
 
-@register(f"select cast(key as varchar) as key, count from {WIDE_SQL} t where key // 281474976710656 >= 40000")
+@register(f"select cast(key as varchar) as key, count from {WIDE_SQL} t where key // 281474976710656 >= (select (max(key) // 281474976710656 + min(key) // 281474976710656) // 2 from {WIDE_SQL} m)")
 def unsigned_seek(spark, sf_dir):
-    return layout.seek(wide(spark, sf_dir), WIDE, 40000).select(X.to_unsigned("key").cast("string").alias("key"), "count")
+    """From the middle of the quotients that there are."""
+    cs = wide(spark, sf_dir)
+    ends = cs.agg(F.min(X.quotient("key", WIDE)).alias("low"), F.max(X.quotient("key", WIDE)).alias("high")).first()
+    return layout.seek(cs, WIDE, (ends["low"] + ends["high"]) // 2).select(X.to_unsigned("key").cast("string").alias("key"), "count")
 
 
 @register(f"select key, count from {A} a where count = 1")
@@ -649,3 +652,6 @@ def text_kmers(spark, sf_dir):
     words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))).alias("word"))
     kmers = words.filter(F.length("word") >= 5).select(F.explode(F.expr("transform(sequence(1, length(word) - 4), i -> substring(word, i, 5))")).alias("kmer"))
     return kmers.groupBy("kmer").agg(F.count("*").alias("count"))
+
+
+from countloom.plans import stored  # noqa: E402, F401  its queries register here

@@ -21,16 +21,19 @@ import time
 from collections.abc import Callable, Iterable
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from countloom.functions.expressions import key_order, slots
+from countloom.functions.expressions import key_order, label_fits, slots
 from countloom.operators import counted
+from countloom.operators.algebra import differences
 from countloom.plans.spec import FilterSpec
 from countloom.sources import tables
 
 #: Ranges of a new set at least and at most, rows that a range should have, and how many times as many make it be cut anew.
 RANGES, MOST_RANGES, ROWS, WIDEST = 8, 16_384, 1_000_000, 4
+#: Keys asked for that may be sent to the ranges.
+SENT = 100_000
 #: So many generations of insertions of one level become one of the next.
 FAN = 8
 #: Seconds after which an unfinished manifest counts as given up.
@@ -302,9 +305,8 @@ class TieredSet:
         folded = rows.groupBy("part", "range", "key").agg(*columns)
         return folded.select("part", "range", "key", count.cast("bigint").alias("count"), label.cast("bigint").alias("label")).filter("count > 0")
 
-    def _items(self, m: dict, ranges: Iterable[int] | None = None, among: DataFrame | None = None) -> DataFrame:
-        rows = self._live(m, ranges=ranges)
-        return self._fold(rows if among is None else rows.join(among, "key", "left_semi"), m)
+    def _items(self, m: dict, ranges: Iterable[int] | None = None) -> DataFrame:
+        return self._fold(self._live(m, ranges=ranges), m)
 
     def items(self) -> DataFrame:
         """(key, count, label): what all changes so far amount to."""
@@ -372,8 +374,6 @@ class TieredSet:
 
     def set_labels(self, assigned: DataFrame, batch: str | None = None) -> bool:
         """Labels (key, label) of the keys that are there; of several for one key the largest."""
-        from countloom.functions.expressions import label_fits
-
         rows = assigned.select(counted._key("key", self.spec).alias("key"), label_fits("label", self.spec).alias("label")).filter("key is not null")
         return self._append(rows.groupBy("key").agg(F.max("label").alias("label")).select("key", F.lit(0).cast("bigint").alias("count"), "label"), LABEL, batch)
 
@@ -477,18 +477,27 @@ class TieredSet:
 
     # lookups that read what they need
 
-    def _asked(self, keys: DataFrame, key: str, m: dict) -> tuple[DataFrame, list[int]]:
-        """(key) of the distinct keys asked for, and the ranges that they lie in (at most all there are)."""
+    def _asked(self, keys: DataFrame, key: str, m: dict) -> tuple[DataFrame, list[int], DataFrame]:
+        """(the distinct keys asked for, the ranges that they lie in, the items (range, key, count, label) of these keys).
+
+        Few keys are sent to the ranges; with many, the items of their ranges are joined with them.
+        """
         asked = keys.select(counted._key(key, self.spec).alias("key")).filter("key is not null").distinct()
-        return asked, sorted(r["range"] for r in self._ranged(asked, m).select("range").distinct().collect())
+        found = self._ranged(asked, m).groupBy("range").count().collect()  # a row a range
+        ranges = sorted(r["range"] for r in found)
+        if sum(r["count"] for r in found) <= SENT:
+            items = self._fold(self._live(m, ranges=ranges).join(F.broadcast(asked), "key", "left_semi"), m)
+        else:
+            items = self._items(m, ranges).join(asked, "key", "left_semi")
+        return asked, ranges, items
 
     def query(self, keys: DataFrame, *, key: str = "key") -> DataFrame:
         """(key, count, label) of the distinct keys asked for, zeros for absent ones; opens the files of their ranges alone."""
         m = self.manifest()
         if m["cuts"] is None:
             return counted.query(counted.empty(self.spark), keys, self.spec, key=key)
-        asked, ranges = self._asked(keys, key, m)
-        found = self._items(m, ranges, asked).select("key", "count", "label")
+        asked, _, items = self._asked(keys, key, m)
+        found = items.select("key", "count", "label")
         return asked.join(found, "key", "left").select("key", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("count", "label")))
 
     def batch_query(self, batch: DataFrame, *, key: str = "key") -> DataFrame:
@@ -496,8 +505,7 @@ class TieredSet:
         m = self.manifest()
         if m["cuts"] is None:
             return counted.empty(self.spark).select("key", "count")
-        asked, ranges = self._asked(batch, key, m)
-        return self._items(m, ranges, asked).select("key", "count")
+        return self._asked(batch, key, m)[2].select("key", "count")
 
     def count_key(self, key: int) -> int:
         m, key = self.manifest(), self.spec.reduce(key)
@@ -535,9 +543,7 @@ class TieredSet:
         for r in range(len(m["parts"])):
             before.append(so_far)
             so_far += figures.get(r, [0])[0]
-        asked, ranges = self._asked(keys, key, m)
-        from pyspark.sql import Window
-
+        asked, ranges, _ = self._asked(keys, key, m)
         inside = Window.partitionBy("part", "range").orderBy(key_order("key", self.spec))
         placed = self._items(m, ranges).withColumn("place", F.row_number().over(inside) - 1)
         return placed.join(asked, "key", "left_semi").select("key", (F.get(F.lit(before), F.col("range")) + F.col("place")).cast("bigint").alias("rank"))
@@ -579,8 +585,6 @@ class TieredSet:
 
         Sets that are cut alike compare their ranges' digests, and only the rows of ranges that differ; others are compared whole.
         """
-        from countloom.operators.algebra import differences
-
         self.spec.require_same_keys(other.spec)
         a, b = self.manifest(), other.manifest()
         if a["cuts"] != b["cuts"]:
@@ -599,7 +603,3 @@ class TieredSet:
             return mine == theirs
         return all(sum(r[k] for r in mine.values()) % DIGESTS == sum(r[k] for r in theirs.values()) % DIGESTS for k in range(4))
 
-
-def order_column(spec: FilterSpec) -> Column:
-    """The order of the keys of a stored set."""
-    return key_order("key", spec)

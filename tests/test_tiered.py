@@ -1,0 +1,232 @@
+"""Stored sets in key ranges: what is read and rewritten, changes in any order, and sets that others change meanwhile."""
+
+import random
+import re
+
+import pytest
+
+from countloom.operators import counted, labels
+from countloom.plans.spec import FilterSpec
+from countloom.sources.tiered import FAN, Conflict, TieredSet
+
+SPEC = FilterSpec(12, 20, label_bits=4)
+
+
+def keys(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "key bigint")
+
+
+def counts(spark, pairs):
+    return spark.createDataFrame(list(pairs), "key bigint, n bigint")
+
+
+def files(tiered):
+    return {p.name for p in (tiered_path(tiered)).rglob("*.parquet")}
+
+
+def tiered_path(tiered):
+    from pathlib import Path
+
+    return Path(tiered.path)
+
+
+def as_dict(rows):
+    return {r["key"]: (r["count"], r["label"]) for r in rows.collect()}
+
+
+@pytest.fixture
+def held(spark, tmp_path):
+    """4,000 keys in 16 ranges, merged."""
+    out = TieredSet(spark, str(tmp_path / "set"), SPEC, ranges=16)
+    out.insert(keys(spark, range(0, 8000, 2)), "first")
+    out.compact()
+    return out
+
+
+def test_merge_rewrites_touched_ranges_only(spark, held):
+    before = files(held)
+    assert len(before) >= 16
+    held.insert(keys(spark, range(1, 80, 2)), "few")  # 1 % of the keys, in one range
+    assert held.compact() == [0]
+    new = files(held) - before
+    assert len(new) <= 2, "a change's file and the range's"
+    held.insert(keys(spark, [1]), "more")
+    held.compact()
+    assert len(before & files(held)) == 15 and held.items().count() == 4040
+
+
+def test_ratio_leaves_small_changes(spark, held):
+    held.insert(keys(spark, [1, *range(7000, 7600)]), "few")
+    assert 0 not in held.compact(0.5) and held.dirty() == {0: 1}
+    assert held.count_key(1) == 1 and held.count_key(7001) == 1 and held.count_key(7000) == 2
+
+
+def test_merge_scan_has_no_exchange(spark, held):
+    held.insert(keys(spark, range(0, 500)), "a")
+    held.remove(keys(spark, [3, 4]))
+    plan = held.items()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+def read_files(df):
+    """Files that the scans of a finished query opened."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if name.startswith("Scan parquet"):
+            metric = node.metrics().get("numFiles")
+            found += metric.get().value() if metric.isDefined() else 0
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_lookups_open_the_asked_ranges(spark, held):
+    few = held.batch_query(keys(spark, [10, 12, 13]))
+    assert {r.key: r["count"] for r in few.collect()} == {10: 1, 12: 1}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SelectedBucketsCount: 1 out of 16", plan)
+    assert read_files(few) <= 16 and len(held.query(keys(spark, [10, 11])).collect()) == 2
+    assert "1 out of 16" in held.query(keys(spark, [10, 11]))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_and_pages(spark, held):
+    held.insert(keys(spark, [3, 5, 7999, 3]), "odd")
+    held.remove(keys(spark, [0, 2]))
+    every = sorted(as_dict(held.items()))
+    asked = [3, 4, 4000, 7999, 9999]
+    assert {r.key: r["rank"] for r in held.rank(keys(spark, asked)).collect()} == {k: every.index(k) for k in asked if k in every}
+    assert [r.key for page in held.pages(900) for r in page.collect()] == every
+    rows, cursor = held.page(10, 6)
+    assert [r.key for r in rows.collect()] == list(range(8, 28, 2)) and cursor == 26
+    assert held.page(10, 8000)[1] is None and held.page(10, 8000)[0].count() == 0
+    within = held.page(5, 100)[0]._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"SelectedBucketsCount: (\d+) out of 16", within)) == {"1"}
+
+
+def test_figures_and_digests(spark, held, tmp_path):
+    held.insert(keys(spark, [3, 4, 4]), "odd")
+    assert held.statistics() == {"distinct": 4001, "total": 4003, "slots": 4001}
+    other = TieredSet(spark, str(tmp_path / "other"), SPEC)
+    other._commit(lambda now: now | {k: held.manifest()[k] for k in ("cuts", "parts")})
+    other.load(held.items())
+    assert held.equals(other) and held.differences(other).count() == 0
+    other.set_labels(spark.createDataFrame([(4, 2)], "key bigint, label bigint"))
+    assert not held.equals(other)
+    assert [tuple(r) for r in held.differences(other).collect()] == [(4, 3, 0, 3, 2)]
+    plan = held.differences(other)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"SelectedBucketsCount: (\d+) out of 16", plan)) == {"1"}
+    elsewhere = TieredSet(spark, str(tmp_path / "elsewhere"), SPEC, ranges=3)
+    elsewhere.load(held.items())
+    assert held.equals(elsewhere) and not other.equals(elsewhere) and other.differences(elsewhere).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_changes_in_any_order(spark, tmp_path, seed):
+    rng, spec = random.Random(seed), FilterSpec(6, 10, label_bits=3, maximum_count=7)
+    held, plain = TieredSet(spark, str(tmp_path / "set"), spec, ranges=rng.choice([1, 5])), {}
+    for step in range(9):
+        kind = rng.choice(["insert", "insert", "remove", "label", "compact"])
+        rows = {rng.randrange(40): rng.randrange(1, 6) for _ in range(12)}
+        if kind == "insert":
+            held.insert(counts(spark, rows.items()), f"s-{step}", n="n")
+            held.insert(counts(spark, rows.items()), f"s-{step}", n="n")  # comes again
+            for k, n in rows.items():
+                c, label = plain.get(k, (0, 0))
+                plain[k] = min(7, c + min(7, n)), label
+        elif kind == "remove":
+            held.remove(counts(spark, rows.items()), n="n")
+            for k, n in rows.items():
+                if k in plain:
+                    plain[k] = plain[k][0] - n, 0
+                    if plain[k][0] <= 0:
+                        del plain[k]
+        elif kind == "label":
+            held.set_labels(spark.createDataFrame(list(rows.items()), "key bigint, label bigint"))
+            for k, label in rows.items():
+                if k in plain:
+                    plain[k] = plain[k][0], label
+        else:
+            held.compact(rng.choice([0, 0.5]))
+        assert as_dict(held.items()) == plain, (step, kind)
+    assert as_dict(TieredSet(spark, held.path).items()) == plain
+    assert {k: held.count_key(k) for k in range(40)} == {k: plain.get(k, (0, 0))[0] for k in range(40)}
+    held.cut_anew(3)
+    assert as_dict(held.items()) == plain and held.statistics()["distinct"] == len(plain)
+
+
+def test_insertions_are_gathered_and_marks_stay_small(spark, held):
+    for k in range(FAN + 1):
+        held.insert(keys(spark, [k, 9000 + k]), f"batch-{k:012d}")
+    gens = [(g["kind"], g["level"]) for g in held.manifest()["gens"]]
+    assert gens == [("base", 0), ("insert", 1), ("insert", 0)]
+    assert held.manifest()["marks"] == {"names": ["first"], "sources": {"batch-#12": [FAN, []]}}
+    assert not held.insert(keys(spark, [1]), "batch-000000000003") and held.count_key(2) == 2
+    held.insert(keys(spark, [1]), "batch-000000000020")
+    assert held.manifest()["marks"]["sources"]["batch-#12"] == [FAN, [20]]
+
+
+def test_two_writers(spark, held, monkeypatch):
+    other = TieredSet(spark, held.path)
+    write = held._write
+
+    def slow(rows, m, kind, **how):
+        made = write(rows, m, kind, **how)
+        if kind == "base":
+            monkeypatch.setattr(held, "_write", write)
+            other.compact()  # comes first: what this one merged is taken back and done again
+            other.insert(keys(spark, [5]), "late")
+        return made
+
+    held.insert(keys(spark, [1]), "one")
+    monkeypatch.setattr(held, "_write", slow)
+    held.compact()
+    assert held.count_key(1) == 1 and held.count_key(5) == 1 and held.items().count() == 4002
+    with pytest.raises(Conflict):
+        held.load(counted.empty(spark))
+
+
+def test_an_unfinished_manifest_is_passed_over(spark, held, monkeypatch):
+    import os
+
+    number = held._newest()[0] + 1
+    where = tiered_path(held) / "manifest" / f"{number:09d}.json"
+    where.write_text('{"epoch": 0, "gens": [')
+    os.utime(where, (0, 0))
+    assert TieredSet(spark, held.path).items().count() == 4000
+    held.insert(keys(spark, [1]), "one")
+    assert held.count_key(1) == 1
+
+
+def test_empty_and_odd(spark, tmp_path):
+    held = TieredSet(spark, str(tmp_path / "set"), SPEC)
+    assert held.items().count() == 0 and held.compact() == [] and held.count_key(1) == 0 and held.page(5) [1] is None
+    assert held.statistics() == {"distinct": 0, "total": 0, "slots": 0} and held.rank(keys(spark, [1])).count() == 0
+    held.insert(keys(spark, [None, None]), "none")
+    held.insert(keys(spark, [None, 1, 1, SPEC.range + 1]), "some")
+    assert as_dict(held.items()) == {1: (3, 0)} and as_dict(held.query(keys(spark, [1, 2]))) == {1: (3, 0), 2: (0, 0)}
+    held.clear()
+    held.insert(keys(spark, [1]), "some")
+    assert held.items().count() == 0
+    with pytest.raises(ValueError):
+        TieredSet(spark, str(tmp_path / "new"))
+    with pytest.raises(ValueError):
+        TieredSet(spark, held.path, FilterSpec(9, 20))
+
+
+def test_compose_many(spark):
+    sets = {0: [1, 2, 3], 1: [2, 3, 9], 2: [3, 4], 3: [9], 4: [1, 9, 4]}
+    cs = {s: counted.build(keys(spark, k), SPEC) for s, k in sets.items()}
+    merged, index = labels.compose_many([(*labels.invertible_merge([cs[0], cs[1]]), 2), cs[2], (*labels.invertible_merge([cs[3], cs[4]]), 2)])
+    got = {r.key: (r["count"], r.sources) for r in merged.join(index, "label").collect()}
+    assert got == {k: (sum(k in v for v in sets.values()), [s for s, v in sets.items() if k in v]) for k in {1, 2, 3, 4, 9}}
+    assert len({tuple(r.sources) for r in index.collect()}) == index.count()
