@@ -398,13 +398,15 @@ def _keep(sent, text_at, batches):
 def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """The rows of `docs`, all columns, in which no window occurs.
 
-    Null and empty texts stay.  Each row is judged by itself, repeated ones alike, as long as the benchmark is small enough to
-    be sent to the rows; else rows that share a doc_id with a contaminated one go with it, and rows without an id stay.
+    Each row is judged by its own text, whatever its doc_id, repeated ones alike; null and empty texts stay.  A benchmark that is too
+    large to be sent to the rows is joined with their index; for that the rows are numbered, and written with their numbers.
     """
     bounded_batches(docs.sparkSession)
     sent = send(benchmark, width)
     if sent is not None:
         return docs.mapInArrow(functools.partial(_keep, sent, docs.columns.index("text")), docs.schema)
-    leaks = matches(docs, benchmark, width=width, slop=0).filter(F.size("spans") > 0).select("doc_id").distinct()
-    name = unused(docs, "leak")
-    return docs.join(leaks.withColumnRenamed("doc_id", name), docs["doc_id"].cast("bigint") == F.col(name), "left_anti")
+    row = unused(docs, "row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = matches(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, width=width, slop=0)
+    leaks = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias(row))
+    return numbered.join(leaks, row, "left_anti").select(docs.columns)

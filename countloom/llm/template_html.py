@@ -3,10 +3,11 @@
 A page is a sequence of tokens: tags by their path (with class and id), and text blocks by path and
 text.  Over a host's pages a token has an occurrence vector (how often it is on each page); tokens
 with equal vectors form an equivalence class.  A class is valid if it occurs on LEAST_PAGES
-different pages and LEAST_SHARE of the host's or more, and its tokens keep their order (each is always preceded by the same one).  Classes nest: what
+different pages and its tokens keep their order (each is always preceded by the same one).  Classes nest: what
 stands before a class's tokens belongs to the class itself or to one other, its parent, which must be valid and on all its
-pages too; the root is the class of the page itself.  The nested classes of two tokens or more are the host's template.  Text
-that belongs to it is left out, and the slots that remain are judged by where they lie and extracted.
+pages too; the root is the class of the page itself.  A class belongs to the template if its parent does and it is on NEARLY all pages
+that have the parent; so text that some pages share is content, and what every page repeats is not.  Text of
+the template's classes of two tokens or more is left out, and the slots that remain are judged by where they lie and extracted.
 
 Vectors are never built: a vector's fingerprint is a sum over pages of hashes of (page, occurrences), so
 the pages of a host, however many, are only ever summed up, within tasks first.
@@ -26,11 +27,10 @@ from pyspark.sql import functions as F
 
 from countloom.llm.common import bounded_batches, cut, give_back, utf8_list
 
-#: Different pages that a class needs, told apart by 63 hash values, and its least share of the host's pages: so a template
-#: has the tokens of some hundred pages at most, however many the host has.
-LEAST_PAGES, LEAST_SHARE = 4, 0.01
-#: Rounds in which nested classes are accepted below accepted ones.
-NESTING = 4
+#: Different pages that a class needs, and its least share of the pages that have its parent.
+LEAST_PAGES, NEARLY = 4, 0.9
+#: Pages are told apart by this many sets of 63 bits, each by a hash of its own: four pages pass for three once in 10 ** 8 times.
+MASKS = 8
 #: Template tokens of all hosts that may be broadcast; beyond it they are joined.
 BROADCAST_TOKENS = 1_000_000
 
@@ -59,8 +59,11 @@ BOILERPLATE_WORDS = frozenset(
 NEUTRAL_WORDS = frozenset(
     "a the and for of in on to site page blog post article entry main global primary secondary top bottom left right center upper lower mobile desktop"
     " box block bar section container wrapper wrap area list item items links link inner outer row col column group panel text content title heading"
-    " icon icons button buttons btn form box1 box2 fixed sticky js is has no unit slot zone".split()
+    " icon icons button buttons btn form box1 box2 fixed sticky js is unit slot zone".split()
 )
+#: Words that decide where a name begins or ends with one, whatever its other words, but for these exceptions.
+STRONG_WORDS = frozenset("nav navbar menu breadcrumbs sidebar footer advert adverts advertisement promo sponsored newsletter cookie cookies comment comments disqus".split())
+EXCEPTIONS = frozenset("with has no law open closed layout page theme body class main content article".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
 MAIN_WORDS = frozenset("article post entry story content main".split())
@@ -86,11 +89,14 @@ class Block:
 
 
 def is_boilerplate(value: str) -> bool:
-    """Whether one of a class attribute's names speaks of boilerplate and of nothing else."""
+    """Whether one of a class attribute's names speaks of boilerplate and of nothing else, or begins or ends with a word that decides."""
     for one in value.split():
-        words = {w.lower() for w in PARTS.findall(one) if not w.isdigit()}
+        order = [w.lower() for w in PARTS.findall(one) if not w.isdigit()]
+        words = set(order)
         if not words.isdisjoint(BOILERPLATE_WORDS) and words <= BOILERPLATE_WORDS | NEUTRAL_WORDS:
             return True
+        if words and words.isdisjoint(EXCEPTIONS) and not STRONG_WORDS.isdisjoint((order[0], order[-1])):
+            return True
     return False
 
 
@@ -254,11 +260,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-VECTORS = "host string, token bigint, v1 bigint, v2 bigint, pages bigint, first_before bigint, last_before bigint, is_text boolean, mask bigint"
+VECTORS = "host string, token bigint, v1 bigint, v2 bigint, pages bigint, first_before bigint, last_before bigint, is_text boolean, " + ", ".join(f"mask{k} bigint" for k in range(MASKS))
 
 
 def _vectors(batches):
-    """Per batch and host: tokens with the sums that make their vectors' fingerprints, and one bit for each hash of their pages."""
+    """Per batch and host: tokens with the sums that make their vectors' fingerprints, and bits for the hashes of their pages."""
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
         for url, raw in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1)), strict=True):
@@ -271,21 +277,22 @@ def _vectors(batches):
                 t = token(b.path, f"\x00{b.text}")
                 tokens[t] = tokens.get(t, (0,))[0] + 1, b.path, True
             tokens[PAGE] = 1, PAGE, False
-            page = 1 << own % 63
+            bits = [1 << xxhash.xxh64_intdigest(raw, k) % 63 for k in range(MASKS)]
             for t, (n, before, is_text) in tokens.items():
                 mixed = xxhash.xxh64_intdigest(own.to_bytes(8, "little"), n)
                 row = sums.get((host, t))
                 if row is None:
-                    sums[host, t] = [mixed & 0x3FFFFFFF, mixed >> 34, 1, before, before, is_text, page]
+                    sums[host, t] = [mixed & 0x3FFFFFFF, mixed >> 34, 1, before, before, is_text, *bits]
                 else:
                     row[0] += mixed & 0x3FFFFFFF
                     row[1] += mixed >> 34
                     row[2] += 1
                     row[3], row[4] = min(row[3], before), max(row[4], before)
-                    row[6] |= page
+                    for k, bit in enumerate(bits, 6):
+                        row[k] |= bit
         rows = [(h, t, *v) for (h, t), v in sums.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-        kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * (8 + MASKS)
+        kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), *[pa.int64()] * MASKS]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in VECTORS.split(", ")])
     give_back()
 
@@ -301,7 +308,7 @@ def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES) -> DataFrame:
         F.min("first_before").alias("before"),
         (F.min("first_before") == F.max("last_before")).alias("ordered"),
         F.max("is_text").alias("is_text"),
-        F.bit_count(F.bit_or("mask")).alias("different"),
+        F.greatest(*(F.bit_count(F.bit_or(f"mask{k}")) for k in range(MASKS))).alias("different"),
     )
     per = cut(per.filter(F.col("different") >= least_pages).withColumn("class", F.xxhash64("v1", "v2", "pages")).drop("v1", "v2"))
     # the class that each token's predecessor belongs to
@@ -320,13 +327,13 @@ def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES) -> DataFrame:
     # a single tag may hold others, but no text goes on its account
     tokens = F.when(F.col("size") >= 2, F.col("tokens")).otherwise(F.array().cast("array<bigint>"))
     valid = cut(classes.filter("ordered and (root or below and size(parents) <= 1)").select("host", "class", "root", F.get("parents", 0).alias("parent"), "pages", tokens.alias("tokens")))
-    roots = valid.filter("root").select(F.col("host").alias("at"), F.col("pages").alias("n_pages"))
-    valid = valid.join(roots, F.col("host") == F.col("at")).filter(F.col("pages") >= LEAST_SHARE * F.col("n_pages")).drop("at", "n_pages")
-    taken = valid.filter("root")
-    level = taken
-    for _ in range(NESTING):
-        above = level.select(F.col("host").alias("at"), F.col("class").alias("above"))
-        level = valid.filter("root is null").join(above, (F.col("host") == F.col("at")) & (F.col("parent") == F.col("above"))).select(*valid.columns)
+    level = taken = valid.filter("root")
+    while True:
+        above = level.select(F.col("host").alias("at"), F.col("class").alias("above"), F.col("pages").alias("on"))
+        below = valid.filter("root is null").join(above, (F.col("host") == F.col("at")) & (F.col("parent") == F.col("above")))
+        level = cut(below.filter(F.col("pages") >= NEARLY * F.col("on")).select(*valid.columns))
+        if level.isEmpty():
+            break
         taken = taken.unionAll(level)
     return taken.groupBy("host").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("template"))
 

@@ -61,7 +61,7 @@ def items(spark):
 
 
 def test_all_queries_are_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 14))
 
 
 # each query, whole table
@@ -93,7 +93,9 @@ class Article(HTMLParser):
             self.parts[-1].append(data)
 
 
-def test_op1(spark, sf_dir):
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])  # at sf0.1 hosts have enough pages for templates
+def test_op1(spark, sf_dir, size):
+    sf_dir = sf_dir.replace("sf0.001", size)
     pages = pd.read_parquet(f"{sf_dir}/pages.parquet").set_index("page_id")
     got = registry.op1_template_html(spark, sf_dir).toPandas()
     assert sorted(got.page_id) == sorted(pages.index) and (got.n_chars == got.text.str.len()).all()
@@ -270,7 +272,7 @@ def test_op9(spark, sf_dir, docs, items, odd, monkeypatch):
     assert Counter((r.doc_id, *(r[n] for n in names)) for r in rows) == want
     joined = positional_index.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=3).toPandas()
     assert joined.sort_values("doc_id").reset_index(drop=True).equals(near.sort_values("doc_id").reset_index(drop=True))
-    assert Counter(r.doc_id for r in positional_index.clean(odd, items).filter("doc_id is not null").collect()) == Counter(k[0] for k in want.elements() if not k[-1] and k[0] is not None)
+    assert Counter(r.doc_id for r in positional_index.clean(odd, items).collect()) == Counter(k[0] for k in want.elements() if not k[-1])
 
 
 @pytest.mark.parametrize(("name", "label"), [("op3_crf_toxicity", "toxic"), ("op10_ftrl_quality", "quality")])
@@ -394,23 +396,51 @@ def test_pages(spark):
 
 
 def test_templates_without_marks(spark, monkeypatch):
-    """No classes, no article: what all pages of a host share goes, and what part of them share below it."""
+    """No classes, no article: what nearly all pages of a host share goes, at any depth; what some of them share stays."""
     plain = "<html><body><div>Hello reader, welcome back</div>{}<div><p>{}</p></div><div>Closing words</div></body></html>"
     section = "<section><h3>Section of the day</h3><p>More of this section</p></section>"
-    rows = [(i, f"http://a.example/{i}", plain.format(section if i % 2 else "", prose(i, 30))) for i in range(12)]
+    rows = [(i, f"http://a.example/{i}", plain.format(section if i else "", prose(i, 30))) for i in range(12)]
     # copies of one article under several addresses, which share all but an advert
     article = "<html><body><article><h1>{}</h1><p>{}</p></article><div class=ad>{}</div></body></html>"
     rows += [(100 + i, f"http://b.example/?ref={i}", article.format(prose(50, 4), prose(51, 40), prose(60 + i, 5))) for i in range(6)]
     # a text that each article of the host has inside
     inside = "<html><body><article><h1>{}</h1><p>{}</p><p>Read our letters every week</p></article></body></html>"
     rows += [(200 + i, f"http://c.example/{i}", inside.format(prose(70 + i, 4), prose(80 + i, 40))) for i in range(6)]
+    # paragraphs that some pages share, in and outside of a marked article
+    shared = [prose(300, 12), prose(301, 12)]
+    rows += [(300 + i, f"http://d.example/{i}", inside.replace("Read our letters every week", shared[0] if i % 2 else prose(310 + i, 9)).format(prose(320 + i, 4), prose(330 + i, 20))) for i in range(12)]
+    rows += [(400 + i, f"http://e.example/{i}", plain.format(f"<p>{shared[1]}</p>" if i % 3 else "", prose(340 + i, 30))) for i in range(12)]
+    # template text deep inside: each level on nearly all pages of the one above
+    deep = lambda i, n: f"<div><b>Level {n} of it</b><p>Words of level {n}</p>{deep(i, n + 1) if n < 8 and i >= n // 4 else ''}</div>"
+    rows += [(500 + i, f"http://f.example/{i}", plain.format(deep(i, 0), prose(500 + i, 30))) for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
-    want = {i: prose(i, 30) for i in range(12)} | {100 + i: f"{prose(50, 4)}\n\n{prose(51, 40)}" for i in range(6)} | {200 + i: f"{prose(70 + i, 4)}\n\n{prose(80 + i, 40)}" for i in range(6)}
+    more = {300 + i: f"{prose(320 + i, 4)}\n\n{prose(330 + i, 20)}\n\n{shared[0] if i % 2 else prose(310 + i, 9)}" for i in range(12)}
+    more |= {400 + i: (f"{shared[1]}\n\n" if i % 3 else "") + prose(340 + i, 30) for i in range(12)} | {500 + i: prose(500 + i, 30) for i in range(30)}
+    want = more | {i: prose(i, 30) for i in range(12)} | {100 + i: f"{prose(50, 4)}\n\n{prose(51, 40)}" for i in range(6)} | {200 + i: f"{prose(70 + i, 4)}\n\n{prose(80 + i, 40)}" for i in range(6)}
     assert {r.page_id: r.text for r in template_html.extract(pages).collect()} == want
     monkeypatch.setattr(template_html, "BROADCAST_TOKENS", -1)
     assert {r.page_id: r.text for r in template_html.extract(pages).collect()} == want
 
 
+def test_boilerplate_names():
+    page = '<article><h1>Title here</h1><div class="{}">Not of it</div><p class="{}">Text of it</p></article>'
+    for name in ("user-comments", "disqus_thread", "promo-box-large", "commentList", "sticky newsletter-wide", "site-footer"):
+        assert template_html.main_text(page.format(name, "lead")) == "Title here\n\nText of it", name
+    for name in ("copyright-law", "comments-open", "with-sidebar", "has-menu", "content-with-sidebar", "adventure", "menus-of-the-past"):
+        assert template_html.main_text(page.format("ad", name)) == "Title here\n\nText of it", name
+
+
+def test_clean_judges_each_row_by_its_text(spark, items, monkeypatch):
+    """A contaminated row without an id goes, a clean row that shares an id with a contaminated one stays, for any size of the benchmark."""
+    bad, good = prose(1, 30), prose(77, 30)
+    docs = spark.createDataFrame([(None, bad, "x"), (7, bad, "x"), (7, good, "y"), (None, good, "z"), (8, None, ""), (7, good, "y")], "doc_id bigint, text string, row string")
+    want = sorted([(None, good, "z"), (7, good, "y"), (7, good, "y"), (8, None, "")], key=repr)
+    assert sorted(map(tuple, positional_index.clean(docs, items).collect()), key=repr) == want
+    monkeypatch.setattr(positional_index, "BROADCAST_BYTES", 0)
+    found = positional_index.clean(docs, items)
+    assert found.columns == docs.columns and sorted(map(tuple, found.collect()), key=repr) == want
+
+
 # structure
 
 
