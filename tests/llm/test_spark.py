@@ -430,6 +430,29 @@ def test_boilerplate_names():
         assert template_html.main_text(page.format("ad", name)) == "Title here\n\nText of it", name
 
 
+def test_op7_is_the_same_for_all_batchings(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    setting, results = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+    try:
+        for parts, rows in ((1, 1999), (7, 10), (4, 90)):
+            spark.conf.set(setting, str(rows))
+            results.append(compact_windows.passages(docs.repartition(parts)).orderBy("doc_id").collect())
+    finally:
+        spark.conf.set(setting, before)
+    assert sum(r.n_repeat_words > 0 for r in results[0]) > 50
+    assert results[0] == results[1] == results[2]
+
+
+def test_long_passages_come_whole(spark):
+    """One passage of 1,500 words, a word changed in every 40: long beyond the outermost run that only the two share."""
+    words = prose(5, 1500).split()
+    changed = [f"new{k}" if k % 40 == 20 else w for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (0, " ".join(words[300:380]) + " " + prose(6, 60)), (3, " ".join(words[:100]) + " " + prose(8, 20))]
+    got = {r.doc_id: r for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[2].n_repeat_words >= 1440 and got[3].n_repeat_words == 100 and {r.class_id for r in got.values()} == {0}
+
+
 def test_clean_judges_each_row_by_its_text(spark, items, monkeypatch):
     """A contaminated row without an id goes, a clean row that shares an id with a contaminated one stays, for any size of the benchmark."""
     bad, good = prose(1, 30), prose(77, 30)
