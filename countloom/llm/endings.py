@@ -6,6 +6,10 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 
+#: Moves remembered by all states together; beyond it they are found anew (a matter of speed only).
+MOST_MOVES = 1_000_000
+
+
 class State:
     """The longest end of a prefix that begins an entry; `ends`: what is to know of the entries that end there."""
 
@@ -27,6 +31,7 @@ class Endings:
             self.starts.update(s[:k] for k in range(1, len(s) + 1))
         self.describe = describe
         self.states: dict[str, State] = {}
+        self.moves = 0
         self.root = self.state("")
 
     def state(self, text: str) -> State:
@@ -39,7 +44,14 @@ class Endings:
         return found
 
     def after(self, state: State, letter: str) -> State:
-        found = state.moves[letter] = self.state(state.text + letter)
+        found = self.state(state.text + letter)
+        if found is not self.root:  # letters that begin no entry are as many as the corpus has
+            if self.moves >= MOST_MOVES:
+                for other in self.states.values():
+                    other.moves.clear()
+                self.moves = 0
+            state.moves[letter] = found
+            self.moves += 1
         return found
 
 

@@ -54,12 +54,25 @@ apache_basis: Unless required by applicable law or agreed to in writing, softwar
 apache_specific: See the License for the specific language governing permissions and limitations under the License
 gpl_free: This program is free software
 gpl2_or_later: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version
-gpl2_or_later: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation
+gpl_terms: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation
 gpl3_or_later: it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
 gpl3_or_later: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
-lgpl21_or_later: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation
+lgpl_terms: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation
 lgpl21_version: either version 2.1 of the License, or (at your option) any later version
 gpl2_version: either version 2 of the License, or (at your option) any later version
+gpl2_only: version 2 of the License
+gpl2_only: either version 2 of the License
+gpl2_only: version 2 of the License only
+gpl2_reference: you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation
+gpl2_reference: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License
+gpl2_reference: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2
+gpl3_only: version 3 of the License
+gpl3_only: version 3 of the License only
+gpl3_reference: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation
+gpl3_reference: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License
+gpl3_reference: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3
+lgpl21_only: version 2.1 of the License
+lgpl21_only: version 2.1 of the License only
 lgpl3_or_later: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
 agpl3_or_later: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version
 lgpl_free: This library is free software
@@ -72,6 +85,29 @@ agpl_details: See the GNU Affero General Public License for more details
 gpl_copy: You should have received a copy of the GNU General Public License along with this program
 lgpl_copy: You should have received a copy of the GNU Lesser General Public License along with this library
 agpl_copy: You should have received a copy of the GNU Affero General Public License along with this program
+mit_heading: MIT License
+mit_heading: The MIT License
+mit_heading: The MIT License (MIT)
+apache2_heading: Apache License Version 2.0, January 2004
+apache2_heading: Apache License Version 2.0, January 2004 http://www.apache.org/licenses/
+apache2_heading: Apache License Version 2.0, January 2004 https://www.apache.org/licenses/
+apache_terms: TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+apache_definition: "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document
+end_of_terms: END OF TERMS AND CONDITIONS
+apache_appendix: How to apply the Apache License to your work
+gpl3_heading: GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007
+gpl2_heading: GNU GENERAL PUBLIC LICENSE Version 2, June 1991
+lgpl3_heading: GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007
+lgpl21_heading: GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999
+agpl3_heading: GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007
+gnu_preamble: The GNU General Public License is a free, copyleft license for software and other kinds of works
+gnu_preamble: The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software
+gnu_preamble: The licenses for most software are designed to take away your freedom to share and change it
+gnu_preamble: The licenses for most software and other practical works are designed to take away your freedom to share and change the works
+lgpl3_incorporates: This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below
+gpl_apply: How to Apply These Terms to Your New Programs
+gpl_apply: How to Apply These Terms to Your New Libraries
+mpl2_heading: Mozilla Public License Version 2.0
 mpl2_header: This Source Code Form is subject to the terms of the Mozilla Public License, v
 mpl2_copy: If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/
 mpl2_copy: If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/
@@ -84,8 +120,17 @@ cc_by_nc_reference: This work is licensed under a Creative Commons Attribution-N
 cc_by_nd_reference: This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License
 """
 
+# Names in tags "SPDX-License-Identifier:".
+SPDX = """
+MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Zlib Unlicense BSL-1.0 Apache-2.0 MPL-2.0 EPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0
+GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only
+LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later
+""".split() + ["MIT OR Apache-2.0", "Apache-2.0 OR MIT"]
+
 # Phrases of sentences that vary, after normalisation, most specific first.
 SENTENCES = [
+    ("spdx_other", r"^spdx license identifier "),
+    ("fsf_verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
     ("apache2_reference", r"licensed under the apache license version 2\.0"),
     ("apache_reference", r"licensed under the apache license"),
     ("apache_compliance", r"you may not use this file except in compliance with the license"),
@@ -119,64 +164,81 @@ SENTENCES = [
     ("unlicensed_statement", r"(licensed|released|distributed) under .*licen[cs]e"),
 ]
 
-# Ordered rules; identifiers stand between commas, optional ones in brackets with a question mark.
+# Ordered rules over sequences of identifiers, each in angle brackets.
 RULES = [
-    ("BSD-3-Clause", r",(?:bsd_redistribution,)?bsd_source,bsd_binary,bsd_endorsement,(?:bsd_disclaimer,)?(?:bsd_liability,)?(?:bsd_loss,)?(?:bsd_cause,)?"),
-    ("BSD-2-Clause", r",(?:bsd_redistribution,)?bsd_source,bsd_binary,(?:bsd_disclaimer,)?(?:bsd_liability,)?(?:bsd_loss,)?(?:bsd_cause,)?"),
-    ("MIT", r",(?:mit_reference,)?mit_grant,mit_notice,(?:as_is,)?(?:mit_liability,)?"),
-    ("ISC", r",isc_grant,(?:isc_disclaimer,)?(?:isc_liability,)?"),
-    ("0BSD", r",zero_bsd_grant,(?:isc_disclaimer,)?(?:isc_liability,)?"),
-    ("Zlib", r",zlib_warranty,(?:zlib_liability,)?zlib_grant,(?:zlib_origin,)?(?:zlib_claim,)?(?:zlib_altered,)?(?:zlib_notice,)?"),
-    ("Unlicense", r",unlicense_release,unlicense_grant,(?:unlicense_dedication,)?(?:unlicense_benefit,)?(?:unlicense_act,)?(?:as_is,)?(?:mit_liability,)?"),
-    ("BSL-1.0", r",(?:boost_reference,)?boost_grant,(?:as_is,)?"),
-    ("BSL-1.0", r",boost_reference,"),
-    ("Apache-2.0", r",apache2_reference,(?:apache_compliance,)?(?:apache_copy,)?(?:apache_basis,)?(?:apache_specific,)?"),
-    ("AGPL-3.0", r",agpl3_reference,(?:gpl_warranty,)?"),
-    ("AGPL-3.0-or-later", r",(?:gpl_free,)?agpl3_or_later,(?:gpl_hope,)?(?:gpl_warranty,)?(?:agpl_details,)?(?:agpl_copy,)?"),
-    ("LGPL-3.0", r",lgpl3_reference,(?:gpl_warranty,)?"),
-    ("LGPL-3.0-or-later", r",(?:lgpl_free,)?lgpl3_or_later,(?:lgpl_hope,)?(?:gpl_warranty,)?(?:lgpl_details,)?(?:lgpl_copy,)?"),
-    ("LGPL-2.1", r",lgpl2_reference,(?:gpl_warranty,)?"),
-    ("LGPL-2.1-or-later", r",(?:lgpl_free,)?lgpl21_or_later,lgpl21_version,(?:lgpl_hope,)?(?:gpl_warranty,)?(?:lgpl_details,)?(?:lgpl_copy,)?"),
-    ("GPL-3.0-or-later", r",(?:gpl_free,)?gpl3_or_later,(?:gpl_hope,)?(?:gpl_warranty,)?(?:gpl_details,)?(?:gpl_copy,)?"),
-    ("GPL-2.0-or-later", r",(?:gpl_free,)?gpl2_or_later,(?:gpl2_version,)?(?:gpl_hope,)?(?:gpl_warranty,)?(?:gpl_details,)?(?:gpl_copy,)?"),
-    ("GPL-or-later", r",gpl_later,(?:gpl_warranty,)?"),
-    ("GPL-3.0", r",gpl3_reference,(?:gpl_warranty,)?"),
-    ("GPL-2.0", r",gpl2_reference,(?:gpl_warranty,)?"),
-    ("MIT", r",mit_reference,(?:as_is,)?"),
-    ("MPL-2.0", r",mpl2_header,(?:mpl2_copy,)?"),
-    ("MPL-2.0", r",mpl2_reference,(?:mpl2_copy,)?"),
-    ("EPL-2.0", r",epl2_header,"),
-    ("EPL-2.0", r",epl2_reference,"),
-    ("Artistic-1.0-Perl OR GPL", r",perl_terms,"),
-    ("CC0-1.0", r",cc0_waiver,"),
-    ("CC0-1.0", r",cc0_reference,"),
-    ("CC-BY-NC-4.0", r",cc_by_nc_reference,"),
-    ("CC-BY-SA-4.0", r",cc_by_sa_reference,"),
-    ("CC-BY-ND-4.0", r",cc_by_nd_reference,"),
-    ("CC-BY-4.0", r",cc_by_reference,"),
-    ("Unlicense", r",unlicense_release,"),
-    ("public-domain", r",public_domain,"),
-    ("unknown", r",(?:[a-z0-9_]+,)+"),
+    ("BSD-3-Clause", r"<bsd_redistribution>?<bsd_source><bsd_binary><bsd_endorsement><bsd_disclaimer>?<bsd_liability>?<bsd_loss>?<bsd_cause>?"),
+    ("BSD-2-Clause", r"<bsd_redistribution>?<bsd_source><bsd_binary><bsd_disclaimer>?<bsd_liability>?<bsd_loss>?<bsd_cause>?"),
+    ("MIT", r"(?:<mit_heading>|<mit_reference>)?<mit_grant><mit_notice><as_is>?<mit_liability>?"),
+    ("ISC", r"<isc_grant><isc_disclaimer>?<isc_liability>?"),
+    ("0BSD", r"<zero_bsd_grant><isc_disclaimer>?<isc_liability>?"),
+    ("Zlib", r"<zlib_warranty><zlib_liability>?<zlib_grant><zlib_origin>?<zlib_claim>?<zlib_altered>?<zlib_notice>?"),
+    ("Unlicense", r"<unlicense_release><unlicense_grant><unlicense_dedication>?<unlicense_benefit>?<unlicense_act>?<as_is>?<mit_liability>?"),
+    ("BSL-1.0", r"<boost_reference>?<boost_grant><as_is>?"),
+    ("BSL-1.0", r"<boost_reference>"),
+    ("Apache-2.0", r"<apache2_heading>(?:<apache_terms>|<apache_definition>|<unlicensed_statement>|<apache_basis>|<end_of_terms>)*(?:<apache_appendix>(?:<apache2_reference><apache_compliance>?<apache_copy>?<apache_basis>?<apache_specific>?)?)?"),
+    ("Apache-2.0", r"<apache2_reference><apache_compliance>?<apache_copy>?<apache_basis>?<apache_specific>?"),
+    ("MPL-2.0", r"<mpl2_heading>(?:<mpl2_definition>|<unlicensed_statement>)*(?:<mpl2_header><mpl2_copy>?)?"),
+    ("AGPL-3.0", r"<agpl3_heading>(?:<fsf_verbatim>|<gnu_preamble>|<unlicensed_statement>|<gpl_warranty>|<end_of_terms>)*(?:<gpl_apply>(?:<gpl_free><agpl3_or_later><gpl_hope>?<gpl_warranty>?<agpl_details>?<agpl_copy>?)?)?"),
+    ("LGPL-3.0", r"<lgpl3_heading>(?:<fsf_verbatim>|<gnu_preamble>|<unlicensed_statement>|<gpl_warranty>|<end_of_terms>)*<lgpl3_incorporates>?"),
+    ("LGPL-2.1", r"<lgpl21_heading>(?:<fsf_verbatim>|<gnu_preamble>|<unlicensed_statement>|<gpl_warranty>|<end_of_terms>)*(?:<gpl_apply>(?:<lgpl_free><lgpl_terms><lgpl21_version><lgpl_hope>?<gpl_warranty>?<lgpl_details>?<lgpl_copy>?)?)?"),
+    ("GPL-3.0", r"<gpl3_heading>(?:<fsf_verbatim>|<gnu_preamble>|<unlicensed_statement>|<gpl_warranty>|<end_of_terms>)*(?:<gpl_apply>(?:<gpl_free><gpl3_or_later><gpl_hope>?<gpl_warranty>?<gpl_details>?<gpl_copy>?)?)?"),
+    ("GPL-2.0", r"<gpl2_heading>(?:<fsf_verbatim>|<gnu_preamble>|<unlicensed_statement>|<gpl_warranty>|<end_of_terms>)*(?:<gpl_apply>(?:<gpl_free><gpl_terms><gpl2_version><gpl_hope>?<gpl_warranty>?<gpl_details>?<gpl_copy>?)?)?"),
+    ("AGPL-3.0", r"<gpl_free>?<agpl3_reference><gpl_hope>?<gpl_warranty>?<agpl_details>?<agpl_copy>?"),
+    ("AGPL-3.0-or-later", r"<gpl_free>?<agpl3_or_later><gpl_hope>?<gpl_warranty>?<agpl_details>?<agpl_copy>?"),
+    ("LGPL-3.0", r"<lgpl_free>?<lgpl3_reference><lgpl_hope>?<gpl_warranty>?<lgpl_details>?<lgpl_copy>?"),
+    ("LGPL-3.0-or-later", r"<lgpl_free>?<lgpl3_or_later><lgpl_hope>?<gpl_warranty>?<lgpl_details>?<lgpl_copy>?"),
+    ("LGPL-2.1-or-later", r"<lgpl_free>?<lgpl_terms><lgpl21_version><lgpl_hope>?<gpl_warranty>?<lgpl_details>?<lgpl_copy>?"),
+    ("LGPL-2.1", r"<lgpl_free>?(?:<lgpl_terms><lgpl21_only>|<lgpl2_reference>)<lgpl_hope>?<gpl_warranty>?<lgpl_details>?<lgpl_copy>?"),
+    ("GPL-3.0-or-later", r"<gpl_free>?<gpl3_or_later><gpl_hope>?<gpl_warranty>?<gpl_details>?<gpl_copy>?"),
+    ("GPL-3.0", r"<gpl_free>?(?:<gpl_terms><gpl3_only>|<gpl3_reference>)<gpl_hope>?<gpl_warranty>?<gpl_details>?<gpl_copy>?"),
+    ("GPL-2.0-or-later", r"<gpl_free>?(?:<gpl_terms><gpl2_version>|<gpl2_or_later>)<gpl_hope>?<gpl_warranty>?<gpl_details>?<gpl_copy>?"),
+    ("GPL-2.0", r"<gpl_free>?(?:<gpl_terms><gpl2_only>|<gpl2_reference>)<gpl_hope>?<gpl_warranty>?<gpl_details>?<gpl_copy>?"),
+    ("GPL-or-later", r"<gpl_free>?<gpl_later><gpl_hope>?<gpl_warranty>?<gpl_details>?<gpl_copy>?"),
+    ("GPL", r"<gpl_free>?<gpl_terms><gpl_hope>?<gpl_warranty>?<gpl_details>?<gpl_copy>?"),
+    ("LGPL", r"<lgpl_free>?<lgpl_terms><lgpl_hope>?<gpl_warranty>?<lgpl_details>?<lgpl_copy>?"),
+    ("MPL-2.0", r"<mpl2_header><mpl2_copy>?"),
+    ("MPL-2.0", r"<mpl2_reference><mpl2_copy>?"),
+    ("MIT", r"<mit_reference><as_is>?"),
+    ("MIT", r"<mit_heading>"),
+    ("EPL-2.0", r"<epl2_header>"),
+    ("EPL-2.0", r"<epl2_reference>"),
+    ("Artistic-1.0-Perl OR GPL", r"<perl_terms>"),
+    ("CC0-1.0", r"<cc0_waiver>"),
+    ("CC0-1.0", r"<cc0_reference>"),
+    ("CC-BY-NC-4.0", r"<cc_by_nc_reference>"),
+    ("CC-BY-SA-4.0", r"<cc_by_sa_reference>"),
+    ("CC-BY-ND-4.0", r"<cc_by_nd_reference>"),
+    ("CC-BY-4.0", r"<cc_by_reference>"),
+    ("Unlicense", r"<unlicense_release>"),
+    ("public-domain", r"<public_domain>"),
 ]
 
+RULES += [(name.removesuffix("-only"), f"<spdx_{re.sub('[-. ]', '_', name.lower())}>") for name in SPDX]
+RULES.append(("unknown", "(?:,[a-z0-9_]+,)+"))
+
 # Every known sentence holds one of these, so other texts need no cutting.  A blank stands for
 # all that normalisation turns into one: line breaks, hyphens and other marks.
 TRIGGERS = (
     "licen", "redistribut", "permission", "copyright notice", "warrant", "this software", "cc0", "endorse", "public domain", "as is", "in no event",
-    "loss of use", "original software", "this notice", "dedication", "free software", "perl itself", "of the mpl",
+    "loss of use", "original software", "this notice", "dedication", "free software", "perl itself", "of the mpl", "terms and conditions", "these terms",
 )
 
 TRIGGER = re.compile("|".join(TRIGGERS).replace(" ", "[^a-z0-9.]+").encode(), re.IGNORECASE)
 END = re.compile(r"[.!?;:](?=[ \t\n\r]|$)|\n[ \t\r]*\n")
 OTHER = re.compile(r"[^a-z0-9.]+")
 PHRASES = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
-ORDERED = [(name, re.compile(pattern)) for name, pattern in RULES]
+#: An identifier has a comma before and after it, so that neighbours share none and every one of a row can match.
+SEQUENCES = [(name, re.sub("<([a-z0-9_]+)>", r"(?:,\1,)", pattern)) for name, pattern in RULES]
+ORDERED = [(name, re.compile(pattern)) for name, pattern in SEQUENCES]
+#: A tag is a sentence of its own, up to the end of its expression; a plus says "or later".
+TAG, PLUS = r"spdx-license-identifier:[ \t]*([a-z0-9.() -]*)", r"(spdx-license-identifier:[ \t]*[a-z0-9.-]+)\+"
+TAGS = re.compile(TAG, re.IGNORECASE), re.compile(PLUS, re.IGNORECASE)
 
 
 def sentences(text: str) -> list[str]:
     """Normalised sentences: lower case, single blanks, no marks but inner full stops."""
     out = []
-    for part in END.split(text):
+    for part in END.split(TAGS[0].sub(r". spdx license identifier \1. ", TAGS[1].sub(r"\1-or-later", text))):
         plain = OTHER.sub(" ", part.translate(LOWER)).strip(" .")
         if plain:
             out.append(plain)
@@ -186,6 +248,7 @@ def sentences(text: str) -> list[str]:
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Identifiers by normalised sentence.
 KNOWN = {plain: name for name, sentence in (line.split(": ", 1) for line in WHOLE.strip().split("\n")) for plain in sentences(sentence)}
+KNOWN |= {f"spdx license identifier {' '.join(re.findall('[a-z0-9.]+', name.lower()))}": f"spdx_{re.sub('[-. ]', '_', name.lower())}" for name in SPDX}
 
 
 def identify(text: str) -> list[str]:
@@ -200,7 +263,7 @@ def identify(text: str) -> list[str]:
 
 def licences(identifiers: list[str]) -> list[str]:
     """Names of the rules that match, in rule order, each once."""
-    rest = "," + "".join(f"{i}," for i in identifiers) if identifiers else ""
+    rest = "".join(f",{i}," for i in identifiers)
     out: list[str] = []
     for name, pattern in ORDERED:
         taken, n = pattern.subn(",#,", rest)
@@ -226,7 +289,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences) of every row.
 
     sentence_ids: comma-joined identifiers in text order; licences: comma-joined names in rule
-    order, "unknown" for sentences no rule takes; both empty without any, also for null and empty texts; very long texts
+    order, each once however often it is named, "unknown" for sentences no rule takes (a tag with another expression among them); both empty without any, also for null and empty texts; very long texts
     are scanned whole.  Repeated rows are judged alike; other columns, whatever their names, are not read; an empty table
     has no rows.
     """
@@ -239,24 +302,22 @@ def oracle_sql() -> str:
     """The same as DuckDB SQL, from the same tables of sentences and rules."""
     case = " ".join(f"when regexp_matches(s, '{pattern}') then '{name}'" for name, pattern in SENTENCES)
     steps, columns = [], []
-    for k, (_, pattern) in enumerate(RULES):
+    for k, (_, pattern) in enumerate(SEQUENCES):
         last = f"r{k - 1}" if k else "r"
         steps.append(f"t{k} as (select *, regexp_matches({last}, '{pattern}') as m{k}, regexp_replace({last}, '{pattern}', ',#,', 'g') as r{k} from {f't{k - 1}' if k else 'seqs'})")
-    seen: list[str] = []
-    for k, (name, _) in enumerate(RULES):
-        if name in seen:
-            continue
-        seen.append(name)
-        own = " or ".join(f"m{j}" for j, (other, _) in enumerate(RULES) if other == name)
-        columns.append(f"case when {own} then '{name}' end")
+    for k, (name, _) in enumerate(RULES):  # a name stands where its first rule that matches does
+        before = [f"m{j}" for j in range(k) if RULES[j][0] == name]
+        columns.append(f"case when m{k}{f' and not ({' or '.join(before)})' if before else ''} then '{name}' end")
     whole = ", ".join(f"('{plain}', '{name}')" for plain, name in KNOWN.items())
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lowered = f"translate(part, '{letters}', '{letters.lower()}')"
-    return f"""with parts as (select doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]([ \\t\\n\\r]|$)', chr(1) || '\\1', 'g'), '\\x01|\\n[ \\t\\r]*\\n')) as part, generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?;:]([ \\t\\n\\r]|$)', chr(1) || '\\1', 'g'), '\\x01|\\n[ \\t\\r]*\\n'), 1) as i from documents),
+    tagged = f"regexp_replace(regexp_replace(coalesce(text, ''), '{PLUS}', '\\1-or-later', 'gi'), '{TAG}', '. spdx license identifier \\1. ', 'gi')"
+    parts = f"string_split_regex(regexp_replace({tagged}, '[.!?;:]([ \\t\\n\\r]|$)', chr(1) || '\\1', 'g'), '\\x01|\\n[ \\t\\r]*\\n')"
+    return f"""with parts as (select doc_id, unnest({parts}) as part, generate_subscripts({parts}, 1) as i from documents),
 plain as (select doc_id, i, trim(regexp_replace({lowered}, '[^a-z0-9.]+', ' ', 'g'), ' .') as s from parts),
 known(k, own) as (values {whole}),
 named as (select doc_id, i, coalesce(own, case {case} end) as name from plain left join known on s = k),
 ids as (select doc_id, count(name) as n_sentences, coalesce(string_agg(name, ',' order by i), '') as sentence_ids from named group by doc_id),
-seqs as (select *, case when n_sentences > 0 then ',' || sentence_ids || ',' else '' end as r from ids),
+seqs as (select *, case when n_sentences > 0 then ',' || replace(sentence_ids, ',', ',,') || ',' else '' end as r from ids),
 {", ".join(steps)}
 select doc_id, n_sentences, sentence_ids, concat_ws(',', {", ".join(columns)}) as licences from t{len(RULES) - 1}"""

@@ -135,11 +135,17 @@ def prior_model(path: str) -> Unigram:
 _now: dict[str, Unigram] = {}
 
 
+def forget() -> None:
+    """Drop the models of passes before this one; their states name each other, so they wait for a collection."""
+    _now.clear()
+    prior_model.cache_clear()
+    gc.collect()
+
+
 def model_of(path: str, name: str, counts) -> Unigram:
     """The model of broadcast counts, made once a worker; one of another name, and the prior's, are forgotten."""
     if name not in _now:
-        _now.clear()
-        prior_model.cache_clear()
+        forget()
         _now[name] = Unigram(scores_of(vocabulary(path), counts.value))
     return _now[name]
 
@@ -174,6 +180,8 @@ def _words(batches):
 
 def _pieces(path, batches):
     """Pieces in the best cuts of counted distinct words."""
+    if _now:
+        forget()
     model = prior_model(path)
     total = np.zeros(len(model.pieces), np.int64)
     often: dict[str, int] = {}

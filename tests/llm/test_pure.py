@@ -315,18 +315,37 @@ def test_spans_are_code_points():
 # licences
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("Some prose.\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
-        ("Permission is hereby granted, free of charge, to any person obtaining a copy. The above copyright notice and this permission notice shall be included in all copies. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND.", ["MIT"]),
-        ("Redistributions of source code must retain the above copyright notice; redistributions in binary form must reproduce the above copyright notice; neither the name of X may be used to endorse or promote.", ["BSD-3-Clause"]),
-        ("This work is licensed under the GNU General Public License, version 3. Released under the MIT License.", ["GPL-3.0", "MIT"]),
-        ("Distributed under a strange licence.", ["unknown"]),
-        ("The licence plate.", []),
-        ("", []),
-    ],
-)
+LICENCE_CASES = [
+    ("Some prose.\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy. The above copyright notice and this permission notice shall be included in all copies. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND.", ["MIT"]),
+    ("Redistributions of source code must retain the above copyright notice; redistributions in binary form must reproduce the above copyright notice; neither the name of X may be used to endorse or promote.", ["BSD-3-Clause"]),
+    ("This work is licensed under the GNU General Public License, version 3. Released under the MIT License.", ["GPL-3.0", "MIT"]),
+    ("Distributed under a strange licence.", ["unknown"]),
+    ("The licence plate.", []),
+    # the same licence twice running, and neighbours
+    ("Released under the MIT License. Released under the MIT License. Released under the MIT License.", ["MIT"]),
+    ("Licensed under CC BY 4.0. Licensed under CC BY 4.0. Released under the MIT License. Licensed under CC BY 4.0.", ["MIT", "CC-BY-4.0"]),
+    # tags
+    ("// SPDX-License-Identifier: MIT", ["MIT"]),
+    ("/* SPDX-License-Identifier: GPL-3.0-or-later */\nint main;", ["GPL-3.0-or-later"]),
+    ("# spdx-license-identifier:LGPL-2.1+\nimport os", ["LGPL-2.1-or-later"]),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0 OR MIT"]),
+    ("SPDX-License-Identifier: House-1.0", ["unknown"]),
+    # notices without "or later"
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.", ["GPL-2.0"]),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.", ["GPL-3.0"]),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["GPL-2.0-or-later"]),
+    # headings, and texts with their appendix
+    ("MIT License\n\nCopyright (c) 2020 Someone", ["MIT"]),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n  Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\n a work licensed under version 3 of the GNU Affero General Public License into one.\n\n                     END OF TERMS AND CONDITIONS\n\n            How to Apply These Terms to Your New Programs\n\n    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n\n", ["GPL-3.0"]),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   END OF TERMS AND CONDITIONS\n\n   APPENDIX: How to apply the Apache License to your work.\n\n   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n", ["Apache-2.0"]),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999\n\n", ["LGPL-2.1"]),
+    ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n", ["MPL-2.0"]),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LICENCE_CASES)
 def test_licence_rules(text, want):  # more of them, as whole texts, below
     assert license_rules.licences(license_rules.identify(text)) == want
 
@@ -348,7 +367,7 @@ LICENCES = {
     "Apache-2.0": ["apache2_reference", "apache_compliance", "apache_basis", "apache_specific"],
     "GPL-2.0-or-later": ["gpl_free", "gpl2_or_later", "gpl_hope", "gpl_warranty", "gpl_details", "gpl_copy"],
     "GPL-3.0-or-later": ["gpl_free", "gpl3_or_later", "gpl_hope", "gpl_warranty", "gpl_details", "gpl_copy"],
-    "LGPL-2.1-or-later": ["lgpl_free", "lgpl21_or_later", "lgpl21_version", "lgpl_hope", "gpl_warranty", "lgpl_details", "lgpl_copy"],
+    "LGPL-2.1-or-later": ["lgpl_free", "lgpl_terms", "lgpl21_version", "lgpl_hope", "gpl_warranty", "lgpl_details", "lgpl_copy"],
     "AGPL-3.0-or-later": ["gpl_free", "agpl3_or_later", "gpl_hope", "gpl_warranty", "agpl_details", "agpl_copy"],
 }
 

@@ -532,6 +532,18 @@ def test_licence_sql_on_odd_rows(odd):
         assert got[i] == (i, len(ids), ",".join(ids), ",".join(license_rules.licences(ids)))
 
 
+def test_licence_cases_in_sql_and_spark(spark):
+    """Expectations written by hand, for both."""
+    from test_pure import LICENCE_CASES
+
+    con = duckdb.connect()
+    documents = pd.DataFrame([(i, t) for i, (t, _) in enumerate(LICENCE_CASES)], columns=["doc_id", "text"])
+    con.register("documents", documents)
+    got = license_rules.scan(spark.createDataFrame(documents)).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: ",".join(want) for i, (_, want) in enumerate(LICENCE_CASES)}
+    assert sorted(map(tuple, got)) == sorted(con.execute(license_rules.oracle_sql()).fetchall())
+
+
 def test_wrapped_licence_sentences(spark):
     texts = ["Released into the public\ndomain.", "It is dedicated to the public \t domain", "placed in the public-domain!", "Distributed on an AS\nIS BASIS.", 'distributed on an "AS-IS" basis', "THIS\n  SOFTWARE IS PROVIDED BY THE AUTHORS AS\nIS", "The above copyright\nnotice and this permission notice shall be included", "the public. Domain"]
     want = {i: license_rules.identify(t) for i, t in enumerate(texts)}
