@@ -12,7 +12,8 @@ from countloom.functions import expressions as X
 from countloom.operators import algebra, counted, labels, layout, sizing
 from countloom.plans.spec import FilterSpec
 from countloom.sources import tables
-from countloom.streaming import buffered
+from countloom.sources.tiered import TieredSet
+from countloom.streaming import buffered, state
 
 SPEC = FilterSpec(quotient_bits=16, key_bits=24, label_bits=3, fixed_counter_size=3)
 QUERIES: dict = {}
@@ -626,11 +627,34 @@ def stream_dedup(spark, sf_dir):
     return _last(spark, once.select(F.col("user_id").alias("key"), "event_type"), "append")
 
 
-@register("""select user_id % 16777216 as key, cast(greatest(0, least(10, sum(case when event_id % 5 > 0 then 1 else 0 end)) - sum(case when event_id % 5 = 0 then 1 else 0 end)) as bigint) as count from events group by 1""")
+@register("""with c as (select user_id % 16777216 as key, ts, n from (select user_id, ts, case when event_id % 5 < 2 then -1 else 1 end as n from events) e),
+i as (select key, ts, n > 0 as more, cast(sum(n) as bigint) as n from c group by 1, 2, 3)
+select key, cast(list_reduce(list_prepend(0, list(n order by ts, more desc)), lambda a, x: greatest(0, least(10, a + x))) as bigint) as count from i group by key""")
 def stream_changes(spark, sf_dir):
-    spec = FilterSpec(16, 24, maximum_count=10)
-    stream = _events(spark, sf_dir).withColumn("n", F.when(F.col("event_id") % 5 == 0, -1).otherwise(1))
-    return _last(spark, buffered.running_changes(stream, spec, key="user_id", n="n"), "update")
+    """Insertions and removals over several triggers, whose cuts don't follow the events' order."""
+    spec, path = FilterSpec(16, 24, maximum_count=10), _scratch(spark)
+    events = read(spark, sf_dir, "events").withColumn("n", F.when(F.col("event_id") % 5 < 2, -1).otherwise(1)).select("user_id", "ts", "n")
+    events.repartition(4, F.xxhash64("ts")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return _last(spark, state.running_changes(stream, spec, key="user_id", n="n", time="ts", late="3650 days"), "update")
+
+
+@register("select user_id % 16777216 as key, count(*) as count from events group by 1")
+def stream_state(spark, sf_dir):
+    """What a stream has counted, read from its state while it runs, on top of a stored base."""
+    path = _scratch(spark)
+    events = read(spark, sf_dir, "events")
+    base = TieredSet(spark, f"{path}/base", SPEC)
+    base.insert(events.filter("event_id % 3 = 0").select("user_id"), "events-0", key="user_id")
+    counts = buffered.running_counts(_events(spark, sf_dir).filter("event_id % 3 <> 0").select("user_id"), SPEC, key="user_id")
+    running = counts.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{path}/log").trigger(processingTime="1 second").start()
+    try:
+        running.processAllAvailable()
+        found = state.with_base(spark, f"{path}/log", base.items(), SPEC).select("key", "count")
+        found.write.parquet(f"{path}/out")  # the stream is still running
+    finally:
+        running.stop()
+    return spark.read.parquet(f"{path}/out")
 
 
 @register("select user_id % 16777216 as key, count(*) as count from events group by 1")

@@ -1,6 +1,6 @@
 """Buffered counting: a stored base, changes beside it, and streams that feed them.
 
-Reads see both.  A sync merges what waits into the base, in the key ranges that it touches and no others.  Every accepted batch
+(Changes kept in a stream's own state are in countloom.streaming.state.)  Reads see both.  A sync merges what waits into the base, in the key ranges that it touches and no others.  Every accepted batch
 is named in the manifest of the change that brought it: one that comes again, because its stream was restarted before it had
 noted the end, is left out, and one that is written while a sync is under way stays for the next.
 """
@@ -188,32 +188,6 @@ def without_repeats(stream: DataFrame, *, time: str, late: str, by: list[str]) -
     return _timed(stream, time, late).dropDuplicatesWithinWatermark(by)
 
 
-def _take_in(maximum: int | None):
-    def step(key, frames, state):
-        """Adds each trigger's changes, first the insertions, then the removals, down to none and up to the maximum."""
-        import pandas as pd
-
-        count = state.get[0] if state.exists else 0
-        more, less = 0, 0
-        for frame in frames:
-            more += int(frame["n"].clip(lower=0).sum())
-            less += int(-frame["n"].clip(upper=0).sum())
-        count = max(0, (count + more if maximum is None else min(count + more, maximum)) - less)
-        state.update((count,))
-        yield pd.DataFrame({"key": [key[0]], "count": [count]})
-
-    return step
-
-
-def running_changes(stream: DataFrame, spec: FilterSpec, *, key: str, n: str) -> DataFrame:
-    """(key, count) after each trigger, for insertions (n > 0) and removals (n < 0), saturated; update mode."""
-    from countloom.functions.expressions import key_in_range
-
-    changes = stream.select(key_in_range(key, spec).alias("key"), F.col(n).cast("bigint").alias("n"))
-    # one row a key and trigger leaves the JVM for each sign
-    return changes.groupBy("key").applyInPandasWithState(_take_in(spec.maximum_count), "key bigint, count bigint", "count bigint", "update", "NoTimeout")
-
-
 def scratch(root: str) -> str:
     """A folder of one's own below `root`."""
     return f"{root}/countloom-{uuid.uuid4().hex}"

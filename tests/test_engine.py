@@ -11,7 +11,7 @@ from countloom.functions import expressions as X
 from countloom.operators import algebra, counted, labels, layout, ranges, sizing
 from countloom.plans.spec import FilterSpec
 from countloom.sources import tables
-from countloom.streaming import buffered
+from countloom.streaming import buffered, state
 
 SPEC = FilterSpec(10, 18, label_bits=3)
 
@@ -236,19 +236,55 @@ def test_bucketed_merge_has_no_shuffle_of_its_sources(spark):
         spark.sql(f"drop table {name}")
 
 
-def test_running_changes_over_triggers(spark, tmp_path):
-    spec = FilterSpec(10, 18, maximum_count=5)
+@pytest.mark.parametrize("triggers", [1, 20])
+def test_running_changes_over_triggers(spark, tmp_path, triggers):
+    """The same counts for any number of triggers, in which files don't follow the order of time."""
+    rng, spec = random.Random(5), FilterSpec(10, 18, maximum_count=5)
+    rows = [(rng.randrange(6), rng.choice([-4, -1, 1, 2, 3]), 1_700_000_000 + 60 * rng.randrange(200)) for _ in range(240)]
+    rows += [(7, 2, 1_700_000_000), (7 + spec.range, -5, 1_700_000_000)]  # of one instant what is added comes first
+    want: dict = {}
+    for key in {k % spec.range for k, _, _ in rows}:
+        by_time: dict = {}
+        for k, n, t in rows:
+            if k % spec.range == key:
+                own = by_time.setdefault(t, [0, 0])
+                own[n < 0] += abs(n)
+        count = 0
+        for t in sorted(by_time):
+            count = max(0, min(5, count + by_time[t][0]) - by_time[t][1])
+        want[key] = count
     folder = tmp_path / "in"
-    for k, rows in enumerate([[(1, 4), (2, 9)], [(1, 4), (2, -3), (3, -1)], [(1, -9), (2, 1), (1 + spec.range, 2)]]):
-        spark.createDataFrame(rows, "key bigint, n bigint").coalesce(1).write.mode("append").parquet(str(folder / f"f{k}"))
+    for k in range(triggers):
+        part = spark.createDataFrame(rows[k::triggers], "key bigint, n bigint, t bigint").selectExpr("key", "n", "timestamp_seconds(t) as ts")
+        part.coalesce(1).write.mode("append").parquet(str(folder))
     got = {}
-    stream = spark.readStream.schema("key bigint, n bigint").option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+    stream = spark.readStream.schema("key bigint, n bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder))
 
-    def one(rows, number):
-        got.update({r.key: r["count"] for r in rows.collect()})
+    def one(part, number):
+        got.update({r.key: r["count"] for r in part.collect()})
 
-    buffered.running_changes(stream, spec, key="key", n="n").writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
-    assert got == {1: 0, 2: 3, 3: 0}
+    # the newest row is 200 minutes after the oldest: nothing is late, and timers settle what is older than that
+    changes = state.running_changes(stream, spec, key="key", n="n", time="ts", late="4 hours")
+    changes.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert got == want
+
+
+def test_timers_settle_and_state_is_read(spark, tmp_path):
+    spec, folder = FilterSpec(10, 18), tmp_path / "in"
+    for rows in ([(1, 5, 0), (2, 3, 10)], [(1, -2, 20), (2, -9, 30)], [(3, 1, 100_000)], [(3, 1, 100_001), (4, 7, 5)]):
+        part = spark.createDataFrame(rows, "key bigint, n bigint, t bigint").selectExpr("key", "n", "timestamp_seconds(1700000000 + t) as ts")
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+        got = {}
+
+        def one(part, number, got=got):
+            got.update({r.key: r["count"] for r in part.collect()})
+
+        stream = spark.readStream.schema("key bigint, n bigint, ts timestamp").parquet(str(folder))
+        changes = state.running_changes(stream, spec, key="key", n="n", time="ts", late="1 hour")
+        changes.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert got == {3: 2}, "a row more than an hour behind is left out"
+    # settled by timers: key 1 has 3 left, key 2 none and so no state
+    assert {r.key: r["count"] for r in state.changes_state(spark, str(tmp_path / "log")).collect()} == {1: 3}
 
 
 def test_layered_set(spark, tmp_path):
