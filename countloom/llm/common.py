@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: what the cluster names; where it names none, a folder in the shared warehouse.
+    """The shared folder for checkpoints: what the cluster names; where it names none, a folder in the warehouse, if that is shared.
 
-    A folder of this machine's own is taken only by a session that runs in this machine's one process (tests).
+    A folder of this machine's own is taken only by a session that runs in this machine's one process (tests); a
+    cluster whose warehouse is on the driver's machine (Spark's default) has to name one.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
         local = sc.master == "local" or sc.master.startswith("local[")
-        found = tempfile.mkdtemp(prefix="countloom-checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/countloom-checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not local and warehouse.split(":")[0] in ("file", warehouse):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        found = tempfile.mkdtemp(prefix="countloom-checkpoints-") if local else f"{warehouse}/countloom-checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found

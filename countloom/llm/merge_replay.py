@@ -43,7 +43,10 @@ class Merges:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+            self.load({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())})
+
+    def load(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         joined = [[self.ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)]
@@ -123,9 +126,12 @@ class Merges:
             if overlap.any():
                 n = np.arange(len(at))
                 at = at[(n - np.maximum.accumulate(np.where(overlap, 0, n))) % 2 == 0]
-            right = after[at]
+            right, old = after[at], token[at]
             token[at], merge[right] = rank, NONE
             right = after[at] = after[right]
+            near = np.flatnonzero(right[:-1] == at[1:])  # the next merge is right beside: between the two another pair stood there
+            if len(near):
+                late.append(at[near[self.join_all(np.full(len(near), rank), old[near + 1]) < rank]])
             before[right[right >= 0]] = at[right >= 0]
             left = before[at]
             touched = np.unique(np.concatenate([at, left[left >= 0]]))

@@ -33,7 +33,9 @@ def quantised(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_
     entries = F.transform(vectors[vector], lambda c: c.cast("double"))
     rows = vectors.select(vectors[key].cast("bigint").alias("vec_id"), entries.alias("c"))
     good = F.forall("c", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * SCALE < LARGEST))
-    return rows.filter(F.col("c").isNotNull() & good).select("vec_id", F.transform("c", lambda c: F.floor(c * SCALE) + SHIFT).alias("x"))
+    # a filter alone may be evaluated after what it guards
+    x = F.when(F.col("c").isNotNull() & good, F.transform("c", lambda c: F.floor(c * SCALE) + SHIFT))
+    return rows.select("vec_id", x.alias("x")).filter("x is not null")
 
 
 def sums(rows: DataFrame) -> tuple[int, list[int]]:

@@ -7,10 +7,10 @@ from array import array
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from countloom.llm import compact_windows, crf_toxicity, ftrl_quality, gray_index, license_rules, positional_index, simhash, template_html, trie_bpe, unigram_trie
+from countloom.llm import compact_windows, crf_toxicity, endings, ftrl_quality, gray_index, license_rules, merge_replay, positional_index, simhash, template_html, trie_bpe, unigram_trie
 
 TOKENIZERS = pytest.importorskip("public_tokenizers")
 
@@ -431,3 +431,82 @@ def test_odd_pages_take_time_in_proportion(part):
         template_html.main_text(part * n + "x>")
         took.append(time.process_time() - began)
     assert took[1] < 12 * max(took[0], 0.02)
+
+
+# byte-level BPE and endings
+
+
+@pytest.fixture(scope="module")
+def byte_pair():
+    tiktoken = pytest.importorskip("tiktoken")
+    encoder = merge_replay.ByteEncoder(TOKENIZERS.path("byte_bpe_multi_50k.tiktoken"))
+    return encoder, tiktoken.Encoding("own", pat_str=TOKENIZERS.PATTERN, mergeable_ranks=encoder.merges.ranks, special_tokens={})
+
+
+def same_ids(byte_pair, texts):
+    encoder, library = byte_pair
+    for text, (ids, decoded) in zip(texts, encoder.encode_batch(texts), strict=True):
+        assert memoryview(ids).cast("I").tolist() == library.encode_ordinary(text), text[:80]
+        assert decoded == text.encode()
+
+
+def test_every_code_point_between_letters_digits_and_marks(byte_pair):
+    """A vocabulary in which every byte joins a, 1 and ! shows where pieces end."""
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)}
+    ranks |= {bytes([x, y]): 256 + 3 * x + k for x in range(256) for k, y in enumerate(b"a1!")}
+    library = tiktoken.Encoding("own", pat_str=TOKENIZERS.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = byte_pair[0]
+    for c in (c for c in range(0x110000) if not 0xD800 <= c < 0xE000):
+        for y in "a1!":
+            joined = len(encoder.pieces(chr(c) + y)) == 1
+            assert joined == (library.encode_ordinary(chr(c) + y)[-1] >= 256), (hex(c), y)
+
+
+@given(st.text(max_size=200), st.lists(st.sampled_from(["ab", "'s", "'S", " ", "  ", "\n", "12", "é", "漢字", "aaaa", "\x1c", "\u3000", "x" * 300]), max_size=30))
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_bytes_like_the_library(byte_pair, text, parts):
+    same_ids(byte_pair, [text, "".join(parts), "".join(parts) * 3])
+
+
+def test_replay_of_long_words_and_of_any_tokens(byte_pair):
+    encoder, library = byte_pair
+    same_ids(byte_pair, ["a" * 20_000 + " " * 3_000 + "ab" * 9_000, "", "\0"])
+    rng, tokens = random.Random(2), list(encoder.merges.ranks)
+    words = [b"".join(rng.choice(tokens) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    for few in (words, words[:3], words[:1]):
+        got = encoder.merges.encode_all(few)
+        assert all(memoryview(i).cast("I").tolist() == library._core_bpe.encode_single_piece(w) for w, i in zip(few, got, strict=True))
+
+
+def test_replay_where_a_merge_makes_a_smaller_rank():
+    """A rank file no training would give: joined tokens may come before their parts; one word at a time, by the definition."""
+    rng = random.Random(4)
+    for _ in range(60):
+        merges = merge_replay.Merges.__new__(merge_replay.Merges)
+        tokens = {bytes([b]) for b in range(256)} | {bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(40)}
+        order = sorted(tokens, key=lambda t: (len(t) > 1, rng.random()))
+        merges.load({t: r for r, t in enumerate(order)})
+
+        def plain(word, ranks=merges.ranks):
+            parts = [word[k : k + 1] for k in range(len(word))]
+            while True:
+                found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+                if not found:
+                    return [ranks[p] for p in parts]
+                k = min(found)[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+        assert [memoryview(i).cast("I").tolist() for i in merges.replay(words)] == [plain(w) for w in words]
+
+
+def test_moves_are_bounded(monkeypatch):
+    monkeypatch.setattr(endings, "MOST_MOVES", 5)
+    found = endings.Endings(["ab", "abc", "b"], lambda ends: ends)
+    state = found.root
+    for letter in "abcxabyz漢abcabcab":
+        state = state.moves.get(letter) or found.after(state, letter)
+        assert sum(len(s.moves) for s in found.states.values()) <= 6 and all(s is not found.root for t in found.states.values() for s in t.moves.values())
+    assert state.text == "ab"

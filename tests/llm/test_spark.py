@@ -1,6 +1,7 @@
 """The operators on Spark: every query against a plain definition, and odd tables."""
 
 import hashlib
+import math
 import random
 import re
 from array import array
@@ -14,11 +15,29 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.llm import compact_windows, components, crf_toxicity, ftrl_quality, license_rules, positional_index, quality_rules, registry, simhash, template_html, trie_bpe, unigram_trie
+from countloom.llm import (
+    common,
+    compact_windows,
+    components,
+    crf_toxicity,
+    ftrl_quality,
+    license_rules,
+    merge_replay,
+    positional_index,
+    quality_rules,
+    registry,
+    simhash,
+    template_html,
+    tput_search,
+    trie_bpe,
+    unigram_trie,
+    whitening,
+)
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -464,6 +483,129 @@ def test_clean_judges_each_row_by_its_text(spark, items, monkeypatch):
     assert found.columns == docs.columns and sorted(map(tuple, found.collect()), key=repr) == want
 
 
+def brute_rank(docs, items, k=50):
+    """op11 by its definition, over (doc_id, text) and (item_id, text) rows."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    rows = [(i, Counter(term.findall(lower(t)))) for i, t in docs]
+    n_docs, words = sum(bool(c) for _, c in rows), sum(sum(c.values()) for _, c in rows)
+    df = Counter(t for _, c in rows for t in c)
+    wanted: dict = {}
+    for i, t in items:
+        if i is not None:
+            wanted.setdefault(i, set()).update(term.findall(lower(t)))
+    out = []
+    for item, terms in wanted.items():
+        scores = []
+        for at, (i, c) in enumerate(rows):
+            m = 50 + (50 * sum(c.values()) * n_docs) // words if words else 0
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 20 * m)) for t in terms if t in c)
+            if score > 0:
+                scores.append((-score, i is None, i, at))
+        out += [(item, r + 1, i, -s) for r, (s, _, i, _) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return Counter(out)
+
+
+def test_op11(spark, sf_dir, duck, odd, items, none, monkeypatch):
+    want = duck.execute(registry.ORACLE["op11_tput_search"]).df()
+    pairs = pd.read_parquet(f"{sf_dir}/documents.parquet")[["doc_id", "text"]].itertuples(index=False, name=None)
+    asked = pd.read_parquet(f"{sf_dir}/benchmark.parquet")[["item_id", "text"]].itertuples(index=False, name=None)
+    assert Counter(want[["item_id", "rank", "doc_id", "score"]].itertuples(index=False, name=None)) == brute_rank(pairs, asked)
+    got = registry.op11_tput_search(spark, sf_dir)
+    assert got.dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+    names = ["item_id", "rank"]
+    assert got.toPandas().sort_values(names).reset_index(drop=True).equals(want[got.columns].sort_values(names).reset_index(drop=True).astype({"rank": "int32"}))
+    # odd rows and few places; then lookups by a join, small segments and blocks, many rounds, and an index of all terms
+    rows, questions = [(r.doc_id, r.text) for r in odd.collect()], [(r.item_id, r.text) for r in items.collect()]
+    questions += [(7, "b a same"), (8, prose(2, 400)), (9, "Ünknown")]
+    more = spark.createDataFrame(questions, "item_id bigint, text string")
+    for k in (3, 50):
+        assert Counter(map(tuple, tput_search.rank(odd, more, k=k).collect())) == brute_rank(rows, questions, k)
+    assert tput_search.rank(none, more).count() == 0 and tput_search.rank(odd, more.limit(0)).count() == 0
+    for name, value in (("LOOKUPS", -1), ("SEGMENT_BYTES", 300), ("CELLS", 40), ("ITEM_PAIRS", 30)):
+        monkeypatch.setattr(tput_search, name, value)
+    assert Counter(map(tuple, tput_search.rank(odd.repartition(3), more, k=3).collect())) == brute_rank(rows, questions, 3)
+    path = f"{common.checkpoint_dir(spark)}/index-of-a-test"
+    tput_search.write_index(odd.repartition(2), path)
+    for _ in range(2):
+        assert Counter(map(tuple, tput_search.search(spark, path, more, k=4).collect())) == brute_rank(rows, questions, 4)
+
+
+def byte_library():
+    import base64
+
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_op12(spark, sf_dir, docs, odd, none):
+    library = byte_library()
+
+    def want(i, text):
+        ids = library.encode_ordinary(text or "")
+        return i, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+    got = registry.op12_merge_replay(spark, sf_dir)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, got.collect())) == sorted(want(i, t) for i, t in zip(docs.doc_id, docs.text, strict=True))
+    assert Counter(map(tuple, merge_replay.encode(odd, RANKS).collect())) == Counter(want(r.doc_id, r.text) for r in odd.collect())
+    assert merge_replay.encode(none, RANKS).count() == 0
+    real = merge_replay.encode(spark.createDataFrame([(1, "It's two  words\n")], "doc_id bigint, text string"), RANKS, with_ids=True).first()
+    assert list(real.ids) == library.encode_ordinary("It's two  words\n") and bytes(real.decoded) == b"It's two  words\n"
+
+
+def test_op13(spark, sf_dir):
+    vectors = pd.read_parquet(f"{sf_dir}/embeddings.parquet")
+    check_whitening(registry.op13_svd_whitening(spark, sf_dir).toPandas(), list(zip(vectors.vec_id, vectors.embedding, strict=True)))
+
+
+def check_whitening(got, rows, k=8):
+    """op13's rows against exact deviations and numpy's eigenvectors."""
+    x = np.array([[math.floor(1024 * float(c)) + 100_000 for c in v] for _, v in rows], np.int64)
+    n, total = len(x), x.sum(axis=0)
+    off = (n * x - total) / n
+    value, vector = np.linalg.eigh(off.T @ off / n)
+    value, vector = value[::-1][:k], vector[:, ::-1][:, :k]
+    value, vector = value[value > 1e-9 * value[0]], vector[:, value > 1e-9 * value[0]]
+    k = len(value)
+    assert len(got) == n * k and (got.n == n).all() and sorted(got.component.unique()) == list(range(1, k + 1))
+    exact = [sum((n * int(c) - int(s)) ** 2 for c, s in zip(row, total, strict=True)) for row in x]
+    assert Counter(got[got.component == 1][["vec_id", "deviation"]].itertuples(index=False, name=None)) == Counter(zip([i for i, _ in rows], exact, strict=True))
+    assert np.allclose(got.drop_duplicates("component").sort_values("component").explained, value / (sum(exact) / n**3), rtol=1e-9)
+    assert got.identity_error.nunique() == 1 and got.identity_error[0] < 1e-9
+    white = off @ vector / np.sqrt(value)
+    for c in range(k):
+        own = got[got.component == c + 1].sort_values(["vec_id", "whitened"]).whitened.to_numpy()
+        ways = [np.array([w for _, w in sorted((i, s * float(w)) for (i, _), w in zip(rows, white[:, c], strict=True))]) for s in (1, -1)]
+        assert min(np.abs(own - w).max() for w in ways) < 1e-7
+
+
+def test_whitening_of_odd_tables(spark):
+    nan, inf, rng = float("nan"), float("inf"), random.Random(3)
+    good = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(40)]
+    good += [(i, [0.5, -0.25, 1e-3, 3.0, 0.0]) for i in (90, 90, 91)]  # repeated
+    bad = [(50, None), (51, [0.1, None, 0.2, 0.3, 0.4]), (52, [nan, 0.0, 0.0, 0.0, 0.0]), (53, [inf, 0.0, 0.0, 0.0, 0.0]), (54, []), (55, [1.0, 2.0]), (56, [1e300, 0.0, 0.0, 0.0, 0.0])]
+    schema = "vec_id bigint, embedding array<double>, x int, c string, white int, n string"
+    frame = lambda rows: spark.createDataFrame([(i, v, 1, "", 2, "") for i, v in rows], schema)
+    check_whitening(whitening.whiten(frame(good + bad)).toPandas(), good)
+    # fewer components than asked for, and dimensions that depend on each other
+    low = [(i, [a, b, a + b, 2 * a]) for i in range(30) for a, b in [(rng.randrange(50) / 16, rng.randrange(50) / 16)]]
+    got = whitening.whiten(frame(low)).toPandas()
+    assert sorted(got.component.unique()) == [1, 2]
+    check_whitening(got, low)
+    # nothing varies, or nothing is there
+    for rows in ([(1, [0.5, 0.5])] * 4, [(1, [0.5])], bad[:4], []):
+        assert whitening.whiten(frame(rows)).count() == 0
+    # deviations beyond 64 bits; beside such a component another can't be told from rounding
+    far = [(i, [float(rng.randrange(-(10**9), 10**9)), float(i)]) for i in range(12)]
+    got = whitening.whiten(frame(far)).toPandas()
+    assert got.deviation.isna().all() and got.identity_error[0] < 1e-6 and sorted(got.vec_id) == list(range(12)) and got.explained[0] > 0.999
+    ids = spark.createDataFrame([(None, [0.0, 1.0]), (None, [1.0, 0.5]), (3, [0.25, 0.75])], "vec_id bigint, embedding array<float>")
+    assert whitening.whiten(ids).filter("vec_id is null").count() == 4
+
+
 # structure
 
 
