@@ -48,7 +48,7 @@ def label_index(combined: DataFrame, n_sources: int) -> DataFrame:
     """
     spark = combined.sparkSession
     many = combined.filter(F.size("sources") > 1).groupBy("sources").agg(F.min("key").alias("first"))
-    numbered = ranked(settled(many), F.col("first")).select((F.col("rank") + n_sources).alias("label"), "sources")
+    numbered = ranked(many, F.col("first")).select((F.col("rank") + n_sources).alias("label"), "sources")
     single = spark.range(n_sources).select(F.col("id").alias("label"), F.array(F.col("id").cast("int")).alias("sources"))
     return single.unionByName(numbered)
 
@@ -116,7 +116,7 @@ def compose_many(inputs: Sequence[tuple[DataFrame, DataFrame, int] | DataFrame])
     spelled = settled(spelled)
     # different combinations may name the same sources; those are one label
     many = spelled.filter(F.size("sources") > 1).groupBy("sources").agg(F.min("first").alias("first"))
-    numbered = ranked(settled(many), F.col("first")).select((F.col("rank") + base).alias("label"), "sources")
+    numbered = ranked(many, F.col("first")).select((F.col("rank") + base).alias("label"), "sources")
     single = per_key.sparkSession.range(base).select(F.col("id").alias("label"), F.array(F.col("id").cast("int")).alias("sources"))
     found = single.unionByName(numbered)
     code = spelled.join(found, "sources").select("code", "combination", "label")

@@ -42,7 +42,11 @@ def check_capacity(cs: DataFrame, spec: FilterSpec, *, disk: bool = False) -> No
 
 
 def guarded(cs: DataFrame, spec: FilterSpec, *, disk: bool = False) -> DataFrame:
-    """The same items; evaluating them fails if the counts need more slots than may be occupied."""
+    """The same items; evaluating them fails if the counts need more slots than may be occupied.
+
+    They are settled first, so that what makes them runs once, and check and result read what is written.
+    """
+    cs = settled(cs)
     limit = spec.capacity(disk=disk)
     message = F.concat(F.col("slots").cast("string"), F.lit(f" slots are needed, {limit} may be occupied"))
     fits = occupied(cs, spec).select(F.when(F.col("slots") > limit, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("fits"))

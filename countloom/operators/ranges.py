@@ -20,8 +20,12 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def with_ranges(df: DataFrame, order: Column, *, ranges: int | None = None) -> DataFrame:
-    """Adds part: the number of a row's range in the order.  Ranges are cut at quantiles, as many as the rows need."""
-    own = df.withColumn("part_value", order.cast("double"))
+    """Adds part: the number of a row's range in the order.  Ranges are cut at quantiles, as many as the rows need.
+
+    The rows are settled first: counting them, the quantiles, what is summed up a range and the result all read what is written.
+    """
+    own = settled(df.withColumn("part_value", order.cast("double")))
+    df = own.drop("part_value")
     if ranges is None:
         ranges = max(1, min(MOST, -(-df.count() // ROWS)))
     cuts = own.approxQuantile("part_value", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []

@@ -58,7 +58,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def save_bucketed(cs: DataFrame, table: str, buckets: int) -> None:
-    """A table bucketed and sorted by key: unions, joins and merges on key then need no shuffle."""
+    """A table bucketed and sorted by key: joins on key, and algebra.merge_joined, then need no shuffle."""
     cs.write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").saveAsTable(table)
 
 

@@ -326,12 +326,12 @@ class TieredSet:
 
         self._commit(add)
 
-    def _append(self, rows: DataFrame, kind: str, batch: str | None, check: Callable[[dict, dict], None] | None = None) -> bool:
+    def _append(self, rows: DataFrame, kind: str, batch: str | None, check: Callable[[dict, dict], None] | None = None, *, placed: bool = False) -> bool:
         """One change as a generation; False if a batch of that name is known."""
         if batch is not None and _noted(self.manifest()["marks"], batch):
             return False
         m = self._cut_first(rows)
-        made = self._write(rows, m, kind) | {"batches": [batch] if batch is not None else []}
+        made = self._write(rows, m, kind, placed=placed) | {"batches": [batch] if batch is not None else []}
 
         def add(now: dict) -> dict | None:
             if batch is not None and _noted(now["marks"], batch):
@@ -349,7 +349,7 @@ class TieredSet:
             done = self._commit(add)
         except Conflict:
             self._drop(m, made)
-            return self._append(rows, kind, batch, check)
+            return self._append(rows.select("key", "count", "label"), kind, batch, check)
         except OverflowError:
             self._drop(m, made)
             raise
@@ -367,6 +367,15 @@ class TieredSet:
         """Count rows; a batch of a name that is known is left out."""
         return self._append(counted.build(rows, self.spec, key=key, n=n), INSERT, batch, check)
 
+    def absorb(self, other: TieredSet, batch: str | None = None) -> bool:
+        """Add another stored set's counts; one that is cut alike is read, merged and written range by range, without a shuffle."""
+        self.spec.require_same_keys(other.spec)
+        m, theirs = self.manifest(), other.manifest()
+        none = F.lit(0).cast("bigint").alias("label")
+        if m["cuts"] is None or m["cuts"] != theirs["cuts"] or m["parts"] != theirs["parts"]:
+            return self._append(other.items().select("key", "count", none), INSERT, batch)
+        return self._append(other._items(theirs).select("part", "range", "key", "count", none), INSERT, batch, placed=True)
+
     def remove(self, rows: DataFrame, batch: str | None = None, *, key: str = "key", n: str | None = None) -> bool:
         """Take counts, down to none; a key that something was taken from loses its label."""
         whole = FilterSpec(**(json.loads(self.spec.to_json()) | {"maximum_count": None}))

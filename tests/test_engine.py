@@ -222,18 +222,35 @@ def test_block_labels_are_stored(spark, tmp_path):
     assert tables.load_block_labels(spark, str(tmp_path / "bare")) is None
 
 
-def test_bucketed_merge_has_no_shuffle_of_its_sources(spark):
-    for name, first in (("bucketed_a", 0), ("bucketed_b", 500)):
-        tables.save_bucketed(counted.build(keys(spark, range(first, first + 1000)), SPEC), name, 4)
-    both = spark.table("bucketed_a").join(spark.table("bucketed_b"), "key")
+def test_bucketed_sets_join_and_merge_without_a_shuffle(spark):
+    sets = {"bucketed_a": range(1000), "bucketed_b": range(500, 1500)}
+    for name, values in sets.items():
+        tables.save_bucketed(counted.build(keys(spark, values), SPEC), name, 4)
+    a, b = (spark.table(name) for name in sets)
+    merged = algebra.merge_joined(a, b)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = both._jdf.queryExecution().executedPlan().toString()
+        for df in (algebra.intersect(a, b), algebra.subtract(a, b), merged):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.key: r["count"] for r in merged.collect()} == {k: 1 + (500 <= k < 1000) for k in range(1500)}
+        assert algebra.equals(merged, algebra.merge(a, b)).first()["eq"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert both.count() == 500 and "Exchange hashpartitioning" not in plan
-    for name in ("bucketed_a", "bucketed_b"):
-        spark.sql(f"drop table {name}")
+        for name in sets:
+            spark.sql(f"drop table {name}")
+
+
+def test_a_guarded_set_is_made_once(spark):
+    """Its rows come from what was written; only the check reads them a second time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for frame in batches:
+            made.add(len(frame))
+            yield frame
+
+    cs = CountedSet.of(keys(spark, range(300)).mapInPandas(seen, "key bigint"), SPEC)
+    assert cs.items.count() == 300 and cs.items.filter("key < 9").count() == 9 and made.value == 300
 
 
 @pytest.mark.parametrize("triggers", [1, 20])

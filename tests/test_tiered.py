@@ -223,6 +223,18 @@ def test_empty_and_odd(spark, tmp_path):
         TieredSet(spark, held.path, FilterSpec(9, 20))
 
 
+def test_absorb(spark, held, tmp_path):
+    alike = TieredSet(spark, str(tmp_path / "alike"), SPEC)
+    alike._commit(lambda now: now | {k: held.manifest()[k] for k in ("cuts", "parts")})
+    alike.load(counted.build(keys(spark, range(0, 100, 3)), SPEC))
+    elsewhere = TieredSet(spark, str(tmp_path / "elsewhere"), SPEC, ranges=3)
+    elsewhere.load(counted.build(keys(spark, range(0, 100, 5)), SPEC))
+    held.absorb(alike, "alike")
+    assert not held.absorb(alike, "alike") and held.absorb(elsewhere)
+    want = {k: (k % 2 == 0) + (k % 3 == 0) + (k % 5 == 0) for k in range(100)}
+    assert {r.key: r["count"] for r in held.items().filter("key < 100").collect()} == {k: n for k, n in want.items() if n}
+
+
 def test_compose_many(spark):
     sets = {0: [1, 2, 3], 1: [2, 3, 9], 2: [3, 4], 3: [9], 4: [1, 9, 4]}
     cs = {s: counted.build(keys(spark, k), SPEC) for s, k in sets.items()}
