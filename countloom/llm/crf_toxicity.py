@@ -309,7 +309,8 @@ def score(docs: DataFrame, model: Crf, *, threshold: float = 0.5) -> DataFrame:
     spans: code-point offsets of the toxic tokens' runs.  Null and empty texts have no
     token and get the score of none.  Repeated rows get equal results; very long texts are scored whole; other
     columns, whatever their names, are not read.  If the sample has no toxic token, every text gets the sample's
-    share of toxic documents as its score, or one just below 0.5 if that is higher; an empty table has no rows.
+    share of toxic documents as its score, or one just below 0.5 if that is higher; an empty table has no rows.  Ties: a
+    score of the threshold is predicted 1, equal scores are no order.
     """
     bounded_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(model)  # SIZE weights, whatever the input

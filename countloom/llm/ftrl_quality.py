@@ -111,7 +111,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = 0.3) -> Da
 
     Null and empty texts have the constant feature only and get its score; very long texts are scored whole.  Repeated
     rows get equal scores; other columns, whatever their names, are not read; without training documents every score
-    is 0.5; an empty table has no rows.
+    is 0.5; an empty table has no rows.  Ties: a score of the threshold is predicted 1, equal scores are no order.
     """
     bounded_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE weights, whatever the input

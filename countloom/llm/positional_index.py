@@ -319,7 +319,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, slop:
     exact window; near_items (with slop): those with a window of two words or more each of whose words stands within
     `slop` words of its place.  Null and empty texts have no words and nothing matches them; items
     without an id or without words match nothing; items of one id are taken together; a
-    repeated document gives a row each time; very long texts are searched whole; empty
+    repeated document gives a row each time, and windows that tie for a place all count; very long texts are searched whole; empty
     tables give no rows, or rows without matches; other columns, whatever their names, are not read.
     """
     return search(cut(index(docs)), benchmark, width=width, slop=slop)

@@ -91,7 +91,8 @@ def judge(docs: DataFrame, weights: list[float], *, threshold: float = THRESHOLD
 
     verdict: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     score (null without n-grams) and kept.  Null and empty texts have no words and fail the
-    base rules; very long texts are judged whole; repeated rows are judged alike; columns of `docs` may have any names.
+    base rules; very long texts are judged whole; repeated rows are judged alike; columns of `docs` may have any names.  Ties: a
+    score of the threshold is kept, and shares of exactly the base rules' limits don't fail.
     """
     vector = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one array by the optimizer
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))

@@ -380,7 +380,8 @@ def extract(pages: DataFrame, *, least_pages: int = LEAST_PAGES) -> DataFrame:
 
     Null and empty pages have the empty text; very long ones take time in proportion to their length; pages without a
     usable url are a host of their own; repeated rows give repeated results, and count as one page of the host; other
-    columns, whatever their names, are not read; an empty table has no rows.  Of hosts with fewer than `least_pages` different
+    columns, whatever their names, are not read; an empty table has no rows.  Ties: equal blocks of a page are all
+    template or all content, and stay in page order.  Of hosts with fewer than `least_pages` different
     pages the slots are judged by place alone.
     """
     spark = pages.sparkSession

@@ -483,6 +483,80 @@ def test_clean_judges_each_row_by_its_text(spark, items, monkeypatch):
     assert found.columns == docs.columns and sorted(map(tuple, found.collect()), key=repr) == want
 
 
+def test_op10_by_hand(spark, sf_dir, docs):
+    """Training and scoring again, coordinate by coordinate, in plain Python, over all rows."""
+    from zlib import crc32
+
+    def plain(text):
+        tokens, counts = ftrl_quality.TOKENS.findall((text or "").encode()), Counter()
+        one = [crc32(t) for t in tokens]
+        for h in one:
+            counts[h % ftrl_quality.SIZE or 2] += 1
+        for a, b in zip(one, one[1:], strict=False):
+            slot = ((a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F % 2**64 >> 40) % ftrl_quality.SIZE
+            counts[ftrl_quality.SAME if a == b else slot or 2] += 1
+        values = {k: math.log(1 + n) for k, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in values.values()))
+        return {0: 1.0} | {k: v / norm for k, v in values.items()}
+
+    texts = dict(zip(docs.doc_id, docs.text, strict=True))
+    own = pd.read_parquet(f"{sf_dir}/labels.parquet").dropna(subset=["quality"]).groupby("doc_id").quality.max()
+    sample = sorted((i for i in own.index if crc32(str(i).encode()) % 5 and i in texts), key=lambda i: crc32(str(i).encode()))
+    z, n, w = {}, {}, {}
+    for _ in range(ftrl_quality.EPOCHS):
+        for i in sample:
+            x = plain(texts[i])
+            p = 1 / (1 + math.exp(-sum(w.get(k, 0.0) * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - own[i]) * v
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) * w.get(k, 0.0)
+                n[k] = n.get(k, 0.0) + g * g
+                w[k] = 0.0 if abs(z[k]) <= 0.01 else (math.copysign(0.01, z[k]) - z[k]) / (1 + math.sqrt(n[k]) + 0.02)
+    got = registry.op10_ftrl_quality(spark, sf_dir).toPandas().set_index("doc_id")
+    want = {i: 1 / (1 + math.exp(-sum(w.get(k, 0.0) * v for k, v in plain(t).items()))) for i, t in texts.items()}
+    assert set(got.index) == set(want) and max(abs(got.score[i] - s) for i, s in want.items()) < 1e-3
+    assert all(got.held_out[i] == (crc32(str(i).encode()) % 5 == 0) and got.predicted[i] == (got.score[i] >= 0.3) for i in want)
+
+
+def test_op3_by_hand(spark, sf_dir, docs):
+    """Scores and marked words of every text again, by sums over the chain's states one token at a time."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = crf_toxicity.train(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = crf_toxicity.score(table, model).toPandas().set_index("doc_id")
+    start, t01, t10, t11 = model.transitions
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+    def chain(unary):
+        """Marginals by forward and backward sums over both states."""
+        ahead = [(0.0, unary[0] + start)]
+        for u in unary[1:]:
+            a, b = ahead[-1]
+            ahead.append((add(a, b + t10), u + add(a + t01, b + t11)))
+        back = [(0.0, 0.0)]
+        for u in unary[:0:-1]:
+            a, b = back[-1]
+            back.append((add(a, t01 + u + b), add(t10 + a, t11 + u + b)))
+        return [1 / (1 + math.exp(min(700.0, (a + x) - (b + y)))) for (a, b), (x, y) in zip(ahead, back[::-1], strict=True)]
+
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        words, marks, part = crf_toxicity.TOKENS.findall((text or "").encode()), [], []
+        for word in [*words, None]:
+            if word is not None and word not in crf_toxicity.ENDS:
+                part.append(float(model.weights[crf_toxicity.slots(word)].sum()) + model.constant)
+                continue
+            marks += chain(part) if part else []
+            part = []
+            if word is not None:
+                marks.append(0.0)
+        if marks:
+            most, total = min(max(*marks, 6e-6, 6e-6), 1 - 6e-6), sum(marks) + 6e-6
+            told = math.log(most / (1 - most)), math.log(total), math.log(total / len(marks))
+        else:
+            told = crf_toxicity.NOTHING
+        want = 1 / (1 + math.exp(-min(40.0, max(-40.0, sum(a * b for a, b in zip(model.top, (1.0, *told), strict=True))))))
+        assert abs(got.score[i] - want) < 1e-6 and (len(got.spans[i]) > 0) == any(m >= 0.5 for m in marks), i
+
+
 def brute_rank(docs, items, k=50):
     """op11 by its definition, over (doc_id, text) and (item_id, text) rows."""
     term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
