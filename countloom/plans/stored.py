@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countloom.countedset import CountedSet
 from countloom.functions import expressions as X
-from countloom.operators import labels
+from countloom.operators import algebra, counted, labels
 from countloom.plans.catalogue import A, N, R, SLOTS, SPEC, WIDE, WIDE_SQL, _scratch, labelled, read, register, source, wide
 from countloom.plans.spec import FilterSpec
+from countloom.sources import tables
 from countloom.sources.tiered import TieredSet
 
 SATURATED = FilterSpec(quotient_bits=16, key_bits=24, label_bits=3, maximum_count=60)
@@ -118,8 +123,7 @@ def stored_differences(spark, sf_dir):
     """Two stored sets compared by their ranges' digests; only ranges that differ are read row by row."""
     one = tiered(spark, sf_dir)
     one.compact()
-    other = TieredSet(spark, _scratch(spark), SPEC)
-    other._commit(lambda now: now | {k: one.manifest()[k] for k in ("cuts", "parts")})
+    other = TieredSet(spark, _scratch(spark), SPEC, like=one)
     other.load(one.items())
     other.remove(one.items().filter("key % 1000 = 7").select("key"))
     return one.differences(other).select("key", "c0", "c1")
@@ -131,8 +135,6 @@ def stored_differences(spark, sf_dir):
 select key, cast(sum(count) as bigint) as count, array_to_string(list_sort(list(distinct src)), ';') as sources from s group by key""")
 def compose_many(spark, sf_dir):
     """Three labelled sets and a fresh one composed at once: ids of their sources follow one another."""
-    from countloom.operators import counted
-
     parts = {f: source(spark, sf_dir, f) for f in "ANR"}
     lines = {k: counted.build(read(spark, sf_dir, "lineitem").filter(f"l_linenumber <= 2 and l_linenumber % 2 = {k}"), SPEC, key="l_orderkey", n=F.col("l_quantity").cast("bigint")) for k in (0, 1)}
     one, two, three = labels.invertible_merge([parts["A"], parts["N"]]), labels.invertible_merge([parts["R"]]), labels.invertible_merge([lines[0], lines[1]])
@@ -147,3 +149,37 @@ def stored_labels(spark, sf_dir):
     held = TieredSet(spark, _scratch(spark), SPEC)
     held.load(labelled(spark, sf_dir, "A"))
     return TieredSet(spark, held.path).items()
+
+
+@register(f"select key, count, label from (select key, count, cast(0 as bigint) as label, row_number() over (order by key) as place from {A_N} t) u where place <= 2500")
+def stored_iterator(spark, sf_dir):
+    """The first items of an iteration, which fetches pages as they are asked for."""
+    first = itertools.islice(tiered(spark, sf_dir), 2500)
+    return spark.createDataFrame([(key, count, label) for key, label, count in first], "key bigint, count bigint, label bigint")
+
+
+@register(f"select key, cast(count * 2 as bigint) as count from {A} t")
+def set_copy_reset(spark, sf_dir):
+    """A copy is a set of its own: the first one's reset leaves it, and merging both copies counts twice."""
+    one = CountedSet(source(spark, sf_dir, "A"), SPEC)
+    other, again = one.copy(), one.copy()
+    return other.merge(again).merge(one.reset()).items.select("key", "count")
+
+
+@register(f"select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select * from {N} n) u group by key")
+def bucketed_merge(spark, sf_dir):
+    """Two sets stored in buckets, merged without a shuffle."""
+    names = [f"bucketed_{uuid.uuid4().hex}" for _ in range(2)]
+    for name, flag in zip(names, "AN", strict=True):
+        tables.save_bucketed(source(spark, sf_dir, flag), name, 8)
+    return algebra.merge_joined(*map(spark.table, names)).select("key", "count")
+
+
+@register(f"select key, cast(sum(count) as bigint) as count from (select * from {A} a union all select * from {N} n union all select * from {R} r) u group by key")
+def tiered_absorb(spark, sf_dir):
+    """A stored set merged into another that is cut alike, range by range."""
+    held = tiered(spark, sf_dir)
+    other = TieredSet(spark, _scratch(spark), SPEC, like=held)
+    other.load(source(spark, sf_dir, "R"))
+    held.absorb(other, "R")
+    return held.items().select("key", "count")

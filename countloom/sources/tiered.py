@@ -18,7 +18,7 @@ import hashlib
 import json
 import re
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from countloom.functions.expressions import key_order, label_fits, slots
 from countloom.operators import counted
 from countloom.operators.algebra import differences
+from countloom.operators.ranges import settled
 from countloom.plans.spec import FilterSpec
 from countloom.sources import tables
 
@@ -40,10 +41,34 @@ FAN = 8
 GIVEN_UP = 60
 BASE, INSERT, REMOVE, LABEL = "base", "insert", "remove", "label"
 COLUMNS = ["part", "range", "key", "count", "label", "gen"]
+#: Items that an iteration fetches at a time.
+PAGE = 10_000
 #: Digests are sums of hashes modulo this.
 DIGESTS = 1 << 64
 
 
+def spark_hash(value: int) -> int:
+    """Spark's hash of an INT: Murmur3 of 32 bits with seed 42, signed."""
+    k = value * 0xCC9E2D51 & 0xFFFFFFFF
+    k = (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+    h = 42 ^ k
+    h = (h << 13 & 0xFFFFFFFF | h >> 19) * 5 + 0xE6546B64 & 0xFFFFFFFF
+    h ^= 4
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * factor & 0xFFFFFFFF
+    return h - (1 << 32) if h >> 31 else h
+
+
+def parts_of(n: int) -> list[int]:
+    """A number for each of n ranges that Spark's hash brings to the bucket of the range's own number."""
+    found: dict[int, int] = {}
+    value = 0
+    while len(found) < n:
+        found.setdefault(spark_hash(value) % n, value)
+        value += 1
+    return [found[k] for k in range(n)]
+
+
 class Conflict(RuntimeError):
     """Another writer changed what a change was made from."""
 
@@ -74,9 +99,12 @@ def _noted(marks: dict, batch: str) -> bool:
 
 
 class TieredSet:
-    """A stored counted set; `ranges`: how many key ranges a new one has, by default as many as its first rows need."""
+    """A stored counted set; `ranges`: how many key ranges a new one has, by default as many as its first rows need.
 
-    def __init__(self, spark: SparkSession, path: str, spec: FilterSpec | None = None, *, ranges: int | None = None):
+    `like`: another set whose ranges a new one takes over, so that both can be compared and merged range by range.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, spec: FilterSpec | None = None, *, ranges: int | None = None, like: TieredSet | None = None):
         self.spark, self.path, self.wanted_ranges = spark, path.rstrip("/"), ranges
         self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -89,7 +117,8 @@ class TieredSet:
         self._known: set[tuple[str, int]] = set()
         if stored is None:
             tables.write_spec(spark, spec, self.path)
-            self._create(0, self._empty())
+            alike = like.manifest() if like is not None else {}
+            self._create(0, self._empty() | {k: alike[k] for k in ("cuts", "parts") if k in alike})
 
     @staticmethod
     def _empty() -> dict:
@@ -186,24 +215,12 @@ class TieredSet:
             self._known.update((name, g) for g in missing)
         return name
 
-    def _parts(self, n: int) -> list[int]:
-        """A number for each of n ranges that Spark's hash brings to the bucket of that number."""
-        tried = self.spark.range(n * 40 + 200).select(F.col("id").cast("int").alias("v"))
-        found = tried.groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("bucket")).agg(F.min("v").alias("v"))
-        parts = {r["bucket"]: r["v"] for r in found.collect()}  # a row a range
-        at = n * 40 + 200
-        while len(parts) < n:
-            more = self.spark.range(at, 2 * at).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("bucket")).agg(F.min("v").alias("v"))
-            parts = {r["bucket"]: r["v"] for r in more.collect()} | parts
-            at *= 2
-        return [parts[k] for k in range(n)]
-
     def _cut(self, rows: DataFrame) -> tuple[list[float], list[int]]:
         """Where the ranges begin, at quantiles of these rows, and the ranges' numbers in the table."""
         own = rows.select(key_order("key", self.spec).cast("double").alias("o"))
         n = self.wanted_ranges or max(RANGES, min(MOST_RANGES, -(-own.count() // ROWS)))
         cuts = sorted(set(own.approxQuantile("o", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
-        return cuts, self._parts(len(cuts) + 1)
+        return cuts, parts_of(len(cuts) + 1)
 
     def _ranged(self, rows: DataFrame, m: dict) -> DataFrame:
         """Adds range and part."""
@@ -316,6 +333,8 @@ class TieredSet:
 
     def load(self, items: DataFrame) -> None:
         """Items of distinct keys as the base of an empty set."""
+        if self.manifest()["cuts"] is None:
+            items = settled(items)  # read for the ranges' cuts, too
         m = self._cut_first(items)
         made = self._write(items.select("key", "count", "label"), m, BASE)
 
@@ -330,6 +349,8 @@ class TieredSet:
         """One change as a generation; False if a batch of that name is known."""
         if batch is not None and _noted(self.manifest()["marks"], batch):
             return False
+        if self.manifest()["cuts"] is None:
+            rows = settled(rows)
         m = self._cut_first(rows)
         made = self._write(rows, m, kind, placed=placed) | {"batches": [batch] if batch is not None else []}
 
@@ -480,6 +501,12 @@ class TieredSet:
 
         self._commit(replace)
 
+    def release(self) -> None:
+        """Take the set's tables out of the session's catalogue; its files stay, and it can be opened again."""
+        for name in {n for n, _ in self._known}:
+            self.spark.sql(f"drop table if exists {name}")
+        self._known.clear()
+
     def clear(self) -> None:
         """No items; the parameters and the knowledge of batches stay."""
         self._commit(lambda now: now | {"gens": [], "version": now["version"] + 1, "dead": [[f"data-{now['epoch']}/gen={g['gen']}", None] for g in now["gens"]]})
@@ -589,6 +616,12 @@ class TieredSet:
             if after is None:
                 return
 
+    def __iter__(self) -> Iterator[tuple[int, int, int]]:
+        """(key, label, count) in key order, a page at a time: no more is read, and held here, than is asked for."""
+        for rows in self.pages(PAGE):
+            for row in rows.collect():  # a page
+                yield row["key"], row["label"], row["count"]
+
     def differences(self, other: TieredSet) -> DataFrame:
         """(key, c0, l0, c1, l1) of the keys whose counts or labels differ, 0 where a set lacks the key.
 

@@ -7,7 +7,7 @@ import pytest
 
 from countloom.operators import counted, labels
 from countloom.plans.spec import FilterSpec
-from countloom.sources.tiered import FAN, Conflict, TieredSet
+from countloom.sources.tiered import FAN, Conflict, TieredSet, parts_of, spark_hash
 
 SPEC = FilterSpec(12, 20, label_bits=4)
 
@@ -116,8 +116,7 @@ def test_ranks_and_pages(spark, held):
 def test_figures_and_digests(spark, held, tmp_path):
     held.insert(keys(spark, [3, 4, 4]), "odd")
     assert held.statistics() == {"distinct": 4001, "total": 4003, "slots": 4001}
-    other = TieredSet(spark, str(tmp_path / "other"), SPEC)
-    other._commit(lambda now: now | {k: held.manifest()[k] for k in ("cuts", "parts")})
+    other = TieredSet(spark, str(tmp_path / "other"), SPEC, like=held)
     other.load(held.items())
     assert held.equals(other) and held.differences(other).count() == 0
     other.set_labels(spark.createDataFrame([(4, 2)], "key bigint, label bigint"))
@@ -223,9 +222,32 @@ def test_empty_and_odd(spark, tmp_path):
         TieredSet(spark, held.path, FilterSpec(9, 20))
 
 
+def test_parts_follow_the_hash_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    values = [0, 1, 2, 42, 2**31 - 1, *range(100, 140)]
+    got = spark.createDataFrame([(v,) for v in values], "v int").select(F.hash("v").alias("h")).collect()
+    assert [r.h for r in got] == [spark_hash(v) for v in values]
+    for n in (1, 2, 7, 300):
+        assert [spark_hash(v) % n for v in parts_of(n)] == list(range(n))
+
+
+def test_iteration_fetches_pages(spark, held, monkeypatch):
+    import itertools
+
+    from countloom.sources import tiered
+
+    monkeypatch.setattr(tiered, "PAGE", 300)
+    asked = []
+    page = held.page
+    monkeypatch.setattr(held, "page", lambda *a: asked.append(a) or page(*a))
+    assert list(itertools.islice(held, 500)) == [(k, 0, 1) for k in range(0, 1000, 2)] and len(asked) == 2
+    held.release()
+    assert held.count_key(4) == 1 and sum(1 for _ in held) == 4000
+
+
 def test_absorb(spark, held, tmp_path):
-    alike = TieredSet(spark, str(tmp_path / "alike"), SPEC)
-    alike._commit(lambda now: now | {k: held.manifest()[k] for k in ("cuts", "parts")})
+    alike = TieredSet(spark, str(tmp_path / "alike"), SPEC, like=held)
     alike.load(counted.build(keys(spark, range(0, 100, 3)), SPEC))
     elsewhere = TieredSet(spark, str(tmp_path / "elsewhere"), SPEC, ranges=3)
     elsewhere.load(counted.build(keys(spark, range(0, 100, 5)), SPEC))
