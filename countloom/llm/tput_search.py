@@ -38,8 +38,9 @@ K = 50
 PARTS = 4
 #: Text of one segment.
 SEGMENT_BYTES = 8 << 20
-#: (item, term) pairs asked together, and so of what is collected and broadcast; an item is never split.
-ITEM_PAIRS = 500_000
+#: (item, term) pairs and items asked together, and so of what is collected and broadcast, and of the list heads that a task holds;
+#: an item is never split, and more items are asked in further rounds.
+ITEM_PAIRS, ITEMS = 500_000, 5_000
 #: Cells (item, document) that a block works on at a time: a matter of memory only.
 CELLS = 4_000_000
 #: Lookups that may be broadcast; more are joined.
@@ -337,7 +338,8 @@ def search(spark: SparkSession, path: str, items: DataFrame, *, k: int = K) -> D
 
 def _search(spark: SparkSession, path: str, asked: DataFrame, k: int) -> DataFrame:
     index = spark.read.schema(INDEX).parquet(path)
-    rounds = -(-asked.count() // ITEM_PAIRS)
+    size = asked.agg(F.count("*").alias("pairs"), F.count_distinct("item_id").alias("items")).first()
+    rounds = max(-(-size["pairs"] // ITEM_PAIRS), -(-size["items"] // ITEMS))
     out = spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
     for r in range(rounds):
         pairs = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r).select("item_id", "term").collect()  # about ITEM_PAIRS

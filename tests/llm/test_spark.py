@@ -595,7 +595,7 @@ def test_op11(spark, sf_dir, duck, odd, items, none, monkeypatch):
     for k in (3, 50):
         assert Counter(map(tuple, tput_search.rank(odd, more, k=k).collect())) == brute_rank(rows, questions, k)
     assert tput_search.rank(none, more).count() == 0 and tput_search.rank(odd, more.limit(0)).count() == 0
-    for name, value in (("LOOKUPS", -1), ("SEGMENT_BYTES", 300), ("CELLS", 40), ("ITEM_PAIRS", 30)):
+    for name, value in (("LOOKUPS", -1), ("SEGMENT_BYTES", 300), ("CELLS", 40), ("ITEM_PAIRS", 30), ("ITEMS", 2)):
         monkeypatch.setattr(tput_search, name, value)
     assert Counter(map(tuple, tput_search.rank(odd.repartition(3), more, k=3).collect())) == brute_rank(rows, questions, 3)
     path = f"{common.checkpoint_dir(spark)}/index-of-a-test"
