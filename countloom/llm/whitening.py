@@ -9,9 +9,11 @@ deviations, not from the singular values.  Only per-dimension sums and the compo
 from __future__ import annotations
 
 import functools
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -28,35 +30,69 @@ LARGEST = float(1 << 53)
 FLOOR = 1e-13
 
 
-def quantised(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(vec_id, x) of the rows whose vector isn't null, nor holds null, non-finite or too large entries."""
-    entries = F.transform(vectors[vector], lambda c: c.cast("double"))
-    rows = vectors.select(vectors[key].cast("bigint").alias("vec_id"), entries.alias("c"))
-    good = F.forall("c", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * SCALE < LARGEST))
-    # a filter alone may be evaluated after what it guards
-    x = F.when(F.col("c").isNotNull() & good, F.transform("c", lambda c: F.floor(c * SCALE) + SHIFT))
-    return rows.select("vec_id", x.alias("x")).filter("x is not null")
+def quantised(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each vector, whether it counts, vector of each entry, entries as exact integers).
+
+    Vectors count that aren't null or empty, nor hold null, non-finite or too large entries; entries of others are anything.
+    """
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    entries = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    good = np.abs(entries) < LARGEST / SCALE  # not a number: no
+    x = np.floor(np.where(good, entries, 0.0) * SCALE).astype(np.int64) + SHIFT
+    return lengths, (lengths > 0) & (np.bincount(row[~good], minlength=len(lengths)) == 0), row, x
+
+
+def of_length(column: pa.ListArray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which vectors count and have d entries, their integers as rows)."""
+    lengths, counts, row, x = quantised(column)
+    keep = counts & (lengths == d)
+    return np.flatnonzero(keep), x[keep[row]].reshape(-1, d)
+
+
+SUMS = "d int, at int, n bigint, s decimal(38,0)"
 
 
-def sums(rows: DataFrame) -> tuple[int, list[int]]:
-    """(n, S) of the vectors of the commonest length (of equally common ones the largest)."""
-    lengths = rows.filter(F.size("x") > 0).groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not lengths:
+def _sums(batches):
+    """A task's vectors by length, and the sums of their entries."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        lengths, counts, row, x = quantised(batch.column(0))
+        for d in np.unique(lengths[counts]).tolist():
+            keep = counts & (lengths == d)
+            own = x[keep[row]].reshape(-1, d)
+            if int(np.abs(own).max()) * len(own) >= 1 << 62:
+                own = own.astype(object)
+            n, s = total.get(d, (0, 0))
+            total[d] = [n + len(own), own.sum(axis=0).astype(object) + s]
+    rows = [(d, at, n, Decimal(int(v))) for d, (n, s) in total.items() for at, v in enumerate(s)]
+    kinds = pa.int32(), pa.int32(), pa.int64(), pa.decimal128(38, 0)
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["d", "at", "n", "s"])
+
+
+def sums(vectors: DataFrame) -> tuple[int, list[int]]:
+    """(n, S) of the vectors (vec_id, v) of the commonest length (of equally common ones the largest)."""
+    found = cut(vectors.select("v").mapInArrow(_sums, SUMS).groupBy("d", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    first = found.filter("at = 0").orderBy(F.desc("n"), F.desc("d")).first()
+    if first is None:
         return 0, []
-    d, n = lengths[0]
-    found = rows.filter(F.size("x") == d).select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("s"))
-    return n, [int(r["s"]) for r in found.orderBy("at").collect()]  # a row a dimension
+    return first["n"], [int(r["s"]) for r in found.filter(F.col("d") == first["d"]).orderBy("at").collect()]  # a row a dimension
+
+
+def _centred(n, total, batches):
+    whole, part = means(n, total)
+    for batch in batches:
+        x = of_length(batch.column(0), len(total))[1]
+        yield pa.RecordBatch.from_arrays([pa.array(list((x - whole) - part), pa.list_(pa.float64()))], ["v"])
 
 
-def components(rows: DataFrame, n: int, total: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+def components(vectors: DataFrame, n: int, total: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit components as columns, their variances), by falling variance; those without any left out.
 
     All d are asked for, so that MLlib solves the Gramian by LAPACK to double precision; k of them are kept.
     """
-    whole, part = means(n, total)
-    exact = F.zip_with("x", F.lit(whole), lambda x, q: x - q)
-    centred = F.zip_with(exact, F.lit(part), lambda e, f: e.cast("double") - f)
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector(centred).alias("v")), "v"))
+    centred = vectors.select("v").mapInArrow(functools.partial(_centred, n, total), "v array<double>")
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(centred.select(array_to_vector("v").alias("v")), "v"), n, len(total))
     found = matrix.computeSVD(len(total), computeU=False)
     variance = np.asarray(found.s.toArray()) ** 2 / n
     some = (variance > 0) & (variance > FLOOR * variance.max(initial=0))
@@ -79,11 +115,12 @@ def _project(n, total, basis, batches):
     whole, part = means(n, total)
     rest = np.array([s % n for s in total], np.int64)
     for batch in batches:
-        off = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, len(total)) - whole
+        which, x = of_length(batch.column(1), len(total))
+        off = x - whole
         exact = deviations(off, rest, n)
         white = (off - part) @ basis
         columns = [
-            batch.column(0),
+            batch.column(0).take(pa.array(which)),
             pa.array([v if v < 1 << 63 else None for v in exact], pa.int64()),
             pa.array([v / (n * n) for v in exact], pa.float64()),
             pa.array(list(white), pa.list_(pa.float64())),
@@ -103,9 +140,8 @@ def whiten(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id"
     spark = vectors.sparkSession
     bounded_batches(spark)
     schema = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
-    rows = quantised(vectors, vector=vector, key=key)
+    rows = vectors.select(vectors[key].cast("bigint").alias("vec_id"), vectors[vector].alias("v"))
     n, total = sums(rows)
-    rows = rows.filter(F.size("x") == len(total))
     basis, variance = components(rows, n, total, k) if n else (np.zeros((0, 0)), np.zeros(0))
     if not len(variance):
         return spark.createDataFrame([], schema)
