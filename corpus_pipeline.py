@@ -71,15 +71,26 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is written as Parquet and read again, and goes once the next is written."""
+    """All stages over `documents`; what a stage returns is written as Parquet and read again, and goes once the next is written.
+
+    A run that fails leaves nothing; the last stage's table stays in the checkpoint folder, since the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+
+    def delete(name: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
     before = None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before is not None:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        before = name
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before is not None:
+                delete(f"{folder}/{before}")
+            before = name
+    except BaseException:
+        delete(folder)
+        raise
     return docs
