@@ -14,6 +14,7 @@ from countloom.functions.expressions import key_order
 from countloom.operators import algebra, counted, labels, layout, sizing
 from countloom.plans.spec import FilterSpec
 from countloom.sources import tables
+from countloom.sources.tiered import TieredSet
 
 
 class CountedSet:
@@ -152,6 +153,22 @@ class CountedSet:
         items, index = labels.invertible_merge([sets[0]._other(s) for s in sets])
         return sets[0]._with(items, index)
 
+    @staticmethod
+    def compose(sets: Sequence[CountedSet]) -> CountedSet:
+        """Sets with an index and plain ones merged at once: the sources of each follow those of the ones before it."""
+        inputs = []
+        for s in sets:
+            items = sets[0]._other(s)
+            inputs.append(items if s.index is None else (items, s.index, s.index.filter(F.size("sources") == 1).count()))
+        merged, index = labels.compose_many(inputs)
+        return sets[0]._with(merged, index)
+
+    def stored(self, path: str, **how) -> TieredSet:
+        """The items as a new stored set in key ranges, for changes in place, lookups, ranks and pages."""
+        held = TieredSet(self.items.sparkSession, path, self.spec, **how)
+        held.load(self.items)
+        return held
+
     # room
 
     def distinct(self) -> int:

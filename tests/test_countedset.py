@@ -57,3 +57,18 @@ def test_windowed_stream_equals_batch(spark, sf_dir):
     query = running.writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("running").agg(F.sum("count")).first()[0] == events.filter("user_id is not null").count()
+
+
+def test_compose_and_store(spark, tmp_path):
+    def of(values):
+        return CountedSet.of(spark.createDataFrame([(v,) for v in values], "key bigint"), FilterSpec(10, 18), guard=False)
+
+    sources = [[1, 2, 3], [2, 3], [3, 9], [4, 1], [9]]
+    a, b, c, d, e = map(of, sources)
+    whole = CountedSet.compose([CountedSet.invertible_merge([a, b]), c, CountedSet.invertible_merge([d, e])])
+    got = {r.key: list(r.sources) for r in whole.sources_of().collect()}
+    assert got == {k: [i for i, s in enumerate(sources) if k in s] for k in (1, 2, 3, 4, 9)}
+    again = CountedSet.compose([whole, of([1])])  # a composed set is an input like others
+    assert {r.key: list(r.sources) for r in again.sources_of().collect()}[1] == [0, 3, 5]
+    held = whole.stored(str(tmp_path / "set"), ranges=2)
+    assert held.count_key(3) == 3 and held.statistics()["distinct"] == 5
