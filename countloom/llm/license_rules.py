@@ -177,7 +177,7 @@ RULES = [
     ("BSL-1.0", r"<boost_reference>"),
     ("Apache-2.0", r"<apache2_heading>(?:<apache_terms>|<apache_definition>|<unlicensed_statement>|<apache_basis>|<end_of_terms>)*(?:<apache_appendix>(?:<apache2_reference><apache_compliance>?<apache_copy>?<apache_basis>?<apache_specific>?)?)?"),
     ("Apache-2.0", r"<apache2_reference><apache_compliance>?<apache_copy>?<apache_basis>?<apache_specific>?"),
-    ("MPL-2.0", r"<mpl2_heading>(?:<mpl2_definition>|<unlicensed_statement>)*(?:<mpl2_header><mpl2_copy>?)?"),
+    ("MPL-2.0", r"<mpl2_heading><unlicensed_statement>*(?:<mpl2_header><mpl2_copy>?)?"),
     ("AGPL-3.0", r"<agpl3_heading>(?:<fsf_verbatim>|<gnu_preamble>|<unlicensed_statement>|<gpl_warranty>|<end_of_terms>)*(?:<gpl_apply>(?:<gpl_free><agpl3_or_later><gpl_hope>?<gpl_warranty>?<agpl_details>?<agpl_copy>?)?)?"),
     ("LGPL-3.0", r"<lgpl3_heading>(?:<fsf_verbatim>|<gnu_preamble>|<unlicensed_statement>|<gpl_warranty>|<end_of_terms>)*<lgpl3_incorporates>?"),
     ("LGPL-2.1", r"<lgpl21_heading>(?:<fsf_verbatim>|<gnu_preamble>|<unlicensed_statement>|<gpl_warranty>|<end_of_terms>)*(?:<gpl_apply>(?:<lgpl_free><lgpl_terms><lgpl21_version><lgpl_hope>?<gpl_warranty>?<lgpl_details>?<lgpl_copy>?)?)?"),
