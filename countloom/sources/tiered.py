@@ -4,7 +4,7 @@ The keys are cut into ranges once, at quantiles.  Every generation, the base's o
 file each, as a bucketed table: Spark then knows that all rows of a range lie in one partition, so the scan that
 merges the generations needs no shuffle, and one that is asked for few ranges opens their files alone.  Which generations hold
 in which range, with rows, counts, slots, digest and least and greatest key of each, is told by a manifest; the newest complete
-one counts.  A change of the set is a new manifest, so a run that breaks off leaves the old one.
+one counts, and has the parameters.  A change of the set is a new manifest, so a run that breaks off leaves the old one.
 
 Generations apply in their order: insertions add (up to the saturation), removals take down to none and
 clear the label, labels go to keys that are there.  Neighbours of one kind are combined by one sum, so that the merge stays one aggregation.
@@ -29,7 +29,6 @@ from countloom.operators import counted
 from countloom.operators.algebra import differences
 from countloom.operators.ranges import settled
 from countloom.plans.spec import FilterSpec
-from countloom.sources import tables
 
 #: Ranges of a new set at least and at most, rows that a range should have, and how many times as many make it be cut anew.
 RANGES, MOST_RANGES, ROWS, WIDEST = 8, 16_384, 1_000_000, 4
@@ -108,21 +107,21 @@ class TieredSet:
         self.spark, self.path, self.wanted_ranges = spark, path.rstrip("/"), ranges
         self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        stored = tables.read_spec(spark, self.path) if tables.exists(spark, f"{self.path}/spec") else None
+        self._known: set[tuple[str, int]] = set()
+        found = self._newest()[1]
+        stored = FilterSpec.from_json(found["spec"]) if found["spec"] else None
         if stored is None and spec is None:
             raise ValueError("a new stored set needs its parameters")
         if stored is not None and spec is not None and stored != spec:
             raise ValueError("the stored set has other parameters")
         self.spec = stored or spec
-        self._known: set[tuple[str, int]] = set()
         if stored is None:
-            tables.write_spec(spark, spec, self.path)
             alike = like.manifest() if like is not None else {}
-            self._create(0, self._empty() | {k: alike[k] for k in ("cuts", "parts") if k in alike})
+            self._create(0, self._empty() | {"spec": spec.to_json()} | {k: alike[k] for k in ("cuts", "parts") if k in alike})
 
     @staticmethod
     def _empty() -> dict:
-        return {"epoch": 0, "version": 0, "cuts": None, "parts": [], "gens": [], "marks": {"names": [], "sources": {}}, "dead": []}
+        return {"spec": None, "epoch": 0, "version": 0, "cuts": None, "parts": [], "gens": [], "marks": {"names": [], "sources": {}}, "dead": []}
 
     # manifests
 
