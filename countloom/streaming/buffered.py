@@ -38,10 +38,11 @@ class BufferedSet:
 
     The parameters are stored with the set; one that is opened again needs none.  `buffer_bits`: quotient bits of the
     buffer; when the insertions that wait fill FLUSH of its slots they are merged.  Without it only sync() merges.
+    `guard`: with a buffer, insertions fail where both tiers need more slots than the disk's limit leaves.
     """
 
-    def __init__(self, spark: SparkSession, path: str, spec: FilterSpec | None = None, *, buffer_bits: int | None = None, ranges: int | None = None):
-        self.spark, self.buffer_bits = spark, buffer_bits
+    def __init__(self, spark: SparkSession, path: str, spec: FilterSpec | None = None, *, buffer_bits: int | None = None, ranges: int | None = None, guard: bool = True):
+        self.spark, self.buffer_bits, self.guard = spark, buffer_bits, guard
         self.tiers = TieredSet(spark, path, spec, ranges=ranges)
         self.path, self.spec = self.tiers.path, self.tiers.spec
 
@@ -75,14 +76,14 @@ class BufferedSet:
     def insert(self, rows: DataFrame, batch: str, *, key: str = "key", n: str | None = None) -> None:
         """Append counted rows as one named batch; the same batch again is left out.
 
-        OverflowError, and nothing is accepted, if both tiers together need more slots than the disk's limit leaves.
+        OverflowError, and nothing is accepted, if both tiers together need more slots than the disk's limit leaves (unless `guard` is off).
         """
         full = []
 
         def check(now: dict, new: dict) -> None:
             waiting = layout.occupied(self._delta(new), self.spec).first()["slots"]
             base = sum(s[2] for g in new["gens"] if g["kind"] == BASE for s in g["ranges"].values())
-            if waiting + base > self.spec.capacity(disk=True):
+            if self.guard and waiting + base > self.spec.capacity(disk=True):
                 raise OverflowError(f"{waiting + base} slots are needed, {self.spec.capacity(disk=True)} may be occupied")
             full.append(waiting > FLUSH * (1 << self.buffer_bits))
 
@@ -115,7 +116,7 @@ class BufferedSet:
 
     def copy(self, path: str) -> BufferedSet:
         """The same items as a set of its own, which knows the same batches."""
-        other = BufferedSet(self.spark, path, self.spec, buffer_bits=self.buffer_bits)
+        other = BufferedSet(self.spark, path, self.spec, buffer_bits=self.buffer_bits, guard=self.guard)
         other.tiers.load(self.items())
         marks = self.tiers.manifest()["marks"]
         other.tiers._commit(lambda now: now | {"marks": marks})
