@@ -81,6 +81,14 @@ def overflows(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     return layout(cs, spec).filter(F.col("slot") + F.col("len") > spec.all_slots)
 
 
+def reachable_blocks(cs: DataFrame, spec: FilterSpec) -> int:
+    """Blocks that items may begin in, those past the last slot that the spec has among them.
+
+    An item's slot is at most the largest quotient and the slots of all items before it.
+    """
+    return max(spec.blocks, -(-(spec.slots + occupied(cs, spec).first()["slots"]) // BLOCK_SLOTS))
+
+
 def first_in_block(cs: DataFrame, spec: FilterSpec) -> DataFrame:
     """(key, block_id, first_key): the first item of each item's block."""
     placed = layout(cs, spec)
